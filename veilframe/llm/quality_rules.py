@@ -79,8 +79,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The id and every statistic that a rule may name."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     has_word = lambda s: F.length(F.translate(s, WHITE, "")) > 0
-    every = " ".join(STOP_WORDS.values()).split()
-    stop = F.array(*[F.lit(w) for w in sorted(set(every))])
+    stop = sorted(set(" ".join(STOP_WORDS.values()).split()))
     words = F.filter(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), has_word)
     count = lambda c: c.cast("long")
@@ -94,7 +93,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         count(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
         count(_repeated(F.col("_w"))).alias("n_repeat_words"),
         count(F.size("_l")).alias("n_lines"),
-        count(F.size(F.filter("_w", lambda w: F.array_contains(stop, F.lower(F.translate(w, ".,!?;:", "")))))).alias("n_stop_words"),
+        count(F.size(F.filter("_w", lambda w: F.lower(F.translate(w, ".,!?;:", "")).isin(stop)))).alias("n_stop_words"),
         count(F.size(F.filter("_w", lambda w: (F.length(w) >= 2) & (w == F.upper(w)) & (w != F.lower(w))))).alias("n_shouted"),
         count(F.size(F.filter("_l", lambda s: F.rtrim(s).endswith("...") | F.rtrim(s).endswith("…")))).alias("n_ellipsis_lines"),
     )

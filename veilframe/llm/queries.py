@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from veilframe.llm import quality_rules
+from veilframe.llm import oracles, quality_rules
 from veilframe.llm.shipping import table
 
 
@@ -15,4 +14,4 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
