@@ -17,8 +17,10 @@ WITH d AS (
          list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '') AS l
   FROM documents),
-places AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
-keyed AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i+4]) AS n FROM places),
+places AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS window5
+  FROM d WHERE len(w) >= 5),
+keyed AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, window5) AS n FROM places),
 hit AS (SELECT DISTINCT doc_id, unnest([i, i+1, i+2, i+3, i+4]) AS p FROM keyed WHERE n > 1),
 rep AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY 1),
 s AS (
