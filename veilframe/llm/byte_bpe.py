@@ -1,14 +1,14 @@
 """Byte-level BPE: the merges compiled into a lazily determinised transducer, and a streaming decoder.
 
-Encoding. After reading i bytes of a piece the open question is where the token that holds
-byte i will start. A state holds every start still possible (``threads``): a thread is the
-chain of tokens from the last settled boundary to that start. Reading a byte extends each
-thread whose pending bytes still begin some vocabulary entry; the one entry that ends at the
-new byte and fits its left neighbour opens a new thread. Tokens that all threads share can
-no longer change and are emitted, so output lags input by at most the longest entry. States
-are made when first met and kept by their content, so the table is the determinised part of
-the transducer that the corpus needs, its frequent ones first; beyond ``MAX_STATES`` further
-ones are worked out each time and not kept.
+Encoding. For each position of a piece exactly one token can end there, given what stands
+before; which of these tokens are used is known once later ones have joined up. A state holds
+the starts still possible for tokens to come: how many bytes lie behind each, and the token
+that ends at it. Reading a byte drops the starts whose bytes begin no vocabulary entry and
+finds the one entry that ends at the new byte and fits the token before it; that id is the
+transition's output. All possible starts lie within the longest entry, so the paths back from
+them meet after bounded lookahead; what lies before that point is emitted. States are made
+when first met and kept by their content: the table is the determinised part of the transducer
+that the corpus needs. Beyond ``MAX_STATES`` it is dropped and grown again.
 
 Two tokens fit beside each other if merging their joint bytes by rank gives these two again.
 A piece that is itself an entry is that one token.
@@ -36,19 +36,17 @@ from pyspark.sql import DataFrame, SparkSession
 from veilframe.llm.shipping import map_batches
 
 #: States of the transducer and memorised words that a worker keeps, for flat memory; results don't depend on them.
-MAX_STATES, MAX_WORDS, LONG_WORD = 250_000, 100_000, 64
+MAX_STATES, MAX_WORDS, LONG_WORD = 300_000, 200_000, 64
+#: Bytes of a piece after which what is settled is emitted, a few times the longest entry.
+HELD_BYTES = 4096
 #: Ids that a decoder turns into text at a time.
 DECODE_IDS = 1 << 16
 
 
 class _State(dict):
-    """byte -> (next state, ids emitted on the way).
+    """byte -> (next state, id of the token that ends at this byte); ``starts``: (bytes since the start, id that ends at it)."""
 
-    ``last``: the id settled last; ``chains``: for each possible start of the token to come the
-    ids between the two, ending with the chain that spells all bytes read.
-    """
-
-    __slots__ = ("chains", "kept", "last")
+    __slots__ = ("read", "starts")
 
 
 class Transducer:
@@ -59,16 +57,19 @@ class Transducer:
             raise ValueError("a vocabulary gives each of its entries one id and has all 256 bytes")
         self.begins = {b[:n] for b in ranks for n in range(1, len(b))}
         self._fits: dict[tuple[int | None, int], bool] = {}
+        self.length = {i: len(b) for i, b in self.entries.items()}
+        self._restart()
+
+    def _restart(self) -> None:
         self._states: dict[tuple, _State] = {}
-        self.start = self._state(None, ((),))
+        self.start = self._state(b"", ((0, None),))
 
-    def _state(self, last: int | None, chains: tuple[tuple[int, ...], ...]) -> _State:
-        found = self._states.get((last, chains))
+    def _state(self, read: bytes, starts: tuple[tuple[int, int | None], ...]) -> _State:
+        """``read``: the bytes since the earliest start."""
+        found = self._states.get((read, starts))
         if found is None:
-            found = _State()
-            found.last, found.chains, found.kept = last, chains, len(self._states) < MAX_STATES
-            if found.kept:
-                self._states[last, chains] = found
+            found = self._states[read, starts] = _State()
+            found.read, found.starts = read, starts
         return found
 
     def _merged(self, data: bytes) -> list[bytes]:
@@ -95,39 +96,50 @@ class Transducer:
             known = self._fits[left, right] = self._merged(b"".join(pair)) == pair
         return known
 
-    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        spell, added, chains, new = self.entries, bytes((byte,)), [], None
-        read = b"".join([spell[t] for t in state.chains[-1]])
-        for chain in state.chains:
-            pending = read[sum([len(spell[t]) for t in chain]) :] + added
-            if new is None and (token := self.ranks.get(pending)) is not None and self.fits(chain[-1] if chain else state.last, token):
-                new = (*chain, token)
+    def _step(self, state: _State, byte: int) -> tuple[_State, int]:
+        read, starts, ends = state.read + bytes((byte,)), [], None
+        for since, left in state.starts:
+            pending = read[len(read) - 1 - since :]
+            if ends is None and (token := self.ranks.get(pending)) is not None and self.fits(left, token):
+                ends = token
             if pending in self.begins:
-                chains.append(chain)
-        if new is None:
+                starts.append((since + 1, left))
+        if ends is None:
             raise ValueError("the vocabulary's ranks are not those of merges")
-        chains.append(new)
-        first, settled = chains[0], 0
-        while settled < len(first) and all(c[settled : settled + 1] == first[settled : settled + 1] for c in chains):
-            settled += 1
-        emitted = new[:settled]
-        if settled:
-            chains = [c[settled:] for c in chains]
-        step = self._state(emitted[-1] if emitted else state.last, tuple(chains)), emitted
-        if state.kept and step[0].kept:
-            state[byte] = step
+        starts.append((0, ends))
+        if len(self._states) >= MAX_STATES:
+            self._restart()
+        state[byte] = step = self._state(read[len(read) - starts[0][0] :], tuple(starts)), ends
         return step
 
+    def _settled(self, ends: list[int], starts: tuple[tuple[int, int | None], ...]) -> int:
+        """Where the paths back from all possible starts meet: nothing before it can change."""
+        open_ = {len(ends) - since for since, _ in starts}
+        while len(open_) > 1:
+            at = max(open_)
+            open_ = open_ - {at} | {at - self.length[ends[at - 1]]}
+        return open_.pop()
+
+    def _path(self, ends: list[int], at: int) -> list[int]:
+        out = []
+        while at:
+            out.append(ends[at - 1])
+            at -= self.length[out[-1]]
+        return out[::-1]
+
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        state, out = self.start, []
-        for byte in piece:
-            step = state.get(byte) or self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        return out + list(state.chains[-1])
+        state, ends, out = self.start, [], []
+        for at in range(0, len(piece), HELD_BYTES):
+            if at:
+                settled = self._settled(ends, state.starts)
+                out += self._path(ends, settled)
+                del ends[:settled]
+            for byte in piece[at : at + HELD_BYTES]:
+                state, token = state.get(byte) or self._step(state, byte)
+                ends.append(token)
+        return out + self._path(ends, len(ends))
 
 
 class _Words(dict):
