@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import byte_bpe, oracles, quality_rules
+from veilframe.llm import byte_bpe, oracles, quality_rules, simhash
 from veilframe.llm.shipping import table
 
 
@@ -23,5 +23,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op4_simhash": op4_simhash,
+}
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
