@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     if sizes <= PIECE_BYTES:
         yield batch
         return
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i, n in enumerate(lengths):
         if held and held + n > PIECE_BYTES:
             yield batch.slice(start, i - start)
