@@ -43,4 +43,45 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b"""
 
 
-SQL = {"op1_quality_rules": _quality_rules()}
+def _decontaminate() -> str:
+    return """
+WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM benchmark)),
+dw AS (SELECT doc_id, regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+       FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)),
+windows AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i+size-1], ' ') AS key
+  FROM (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i,
+         unnest(list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(w[k:k+size-1], ' '))) AS key
+  FROM dw, sizes WHERE len(w) >= size),
+hits AS (SELECT doc_id, item, i, p.size FROM places p JOIN windows USING (size, key)),
+covered AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def _line_dedup() -> str:
+    """For unique ids: the order of first occurrences then is (id, chunk)."""
+    return """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
+           FROM documents WHERE text <> ''),
+h AS (SELECT *, CAST('0x' || md5(line)[1:8] AS BIGINT) AS here FROM l),
+e AS (SELECT *, (31 * coalesce(lag(here) OVER (PARTITION BY doc_id ORDER BY i), 0) + here) % 3 = 0 AS ends FROM h),
+n AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk,
+             len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words FROM e),
+c AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n_lines,
+             count(*) FILTER (words > 0) >= 2 OR sum(words) >= 50 AS counted FROM n GROUP BY ALL),
+m AS (SELECT *, counted AND row_number() OVER (PARTITION BY counted, body ORDER BY doc_id, chunk) > 1 AS gone FROM c),
+d AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone) AS body, count(*) FILTER (gone) AS n_chunks, coalesce(sum(n_lines) FILTER (gone), 0) AS n_lines
+      FROM m GROUP BY 1)
+SELECT doc_id, CASE WHEN d.n_chunks > 0 THEN coalesce(body, '') ELSE text END AS text,
+       CAST(coalesce(n_chunks, 0) AS BIGINT) AS n_chunks_removed, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines_removed
+FROM documents LEFT JOIN d USING (doc_id)"""
+
+
+SQL = {"op1_quality_rules": _quality_rules(), "op7_decontaminate": _decontaminate(), "op10_line_dedup": _line_dedup()}

@@ -40,7 +40,8 @@ def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     if sizes <= PIECE_BYTES:
         yield batch
         return
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    nested = pa.types.is_list(batch.column(column).type)
+    lengths = pc.fill_null((pc.list_value_length if nested else pc.binary_length)(batch.column(column)), 0).to_pylist()
     for i, n in enumerate(lengths):
         if held and held + n > PIECE_BYTES:
             yield batch.slice(start, i - start)
