@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilframe.llm.shipping import map_batches
 
 #: States of the transducer and memorised words that a worker keeps, for flat memory; results don't depend on them.
-MAX_STATES, MAX_WORDS, LONG_WORD = 300_000, 200_000, 64
+MAX_STATES, MAX_WORDS, LONG_WORD = 200_000, 150_000, 64
 #: Bytes of a piece after which what is settled is emitted, a few times the longest entry.
 HELD_BYTES = 4096
 #: Ids that a decoder turns into text at a time.
@@ -62,6 +63,7 @@ class Transducer:
 
     def _restart(self) -> None:
         self._states: dict[tuple, _State] = {}
+        self._starts: dict[tuple, tuple] = {}  # equal pairs are one object
         self.start = self._state(b"", ((0, None),))
 
     def _state(self, read: bytes, starts: tuple[tuple[int, int | None], ...]) -> _State:
@@ -90,7 +92,7 @@ class Transducer:
     def fits(self, left: int | None, right: int) -> bool:
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > 2 * MAX_STATES:
+            if len(self._fits) > MAX_STATES:
                 self._fits.clear()
             pair = [self.entries[right]] if left is None else [self.entries[left], self.entries[right]]
             known = self._fits[left, right] = self._merged(b"".join(pair)) == pair
@@ -103,10 +105,11 @@ class Transducer:
             if ends is None and (token := self.ranks.get(pending)) is not None and self.fits(left, token):
                 ends = token
             if pending in self.begins:
-                starts.append((since + 1, left))
+                start = since + 1, left
+                starts.append(self._starts.setdefault(start, start))
         if ends is None:
             raise ValueError("the vocabulary's ranks are not those of merges")
-        starts.append((0, ends))
+        starts.append(self._starts.setdefault((0, ends), (0, ends)))
         if len(self._states) >= MAX_STATES:
             self._restart()
         state[byte] = step = self._state(read[len(read) - starts[0][0] :], tuple(starts)), ends
@@ -143,16 +146,20 @@ class Transducer:
 
 
 class _Words(dict):
-    """word -> its packed ids, made by the transducer when first asked for."""
+    """word -> its packed ids, made by the transducer when first asked for; a full table is kept as the older half."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.transducer.encode(word.encode()), "<u4").tobytes()
+        packed = self.older.get(word)
+        if packed is None:
+            packed = array("I", self.transducer.encode(word.encode())).tobytes()
         if len(word) <= LONG_WORD:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= MAX_WORDS // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = packed
         return packed
@@ -249,3 +256,17 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
         return pa.RecordBatch.from_arrays(columns, names=[id_col, "text"] + [ids_col] * keep_ids)
 
     return map_batches(picked, run, f"`{id_col}` {kinds[id_col]}, text string" + f", `{ids_col}` {kinds[ids_col]}" * keep_ids)
+
+
+def transcode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and decode in one pass: ``id_col``, ``ids`` (packed) and ``text``, decoded from these ids."""
+    rank_file = _vocabulary(df.sparkSession, path)
+    picked = df.select(f"`{id_col}`", f"`{text_col}`")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = _codec(rank_file.value, pattern)
+        ids = [codec.encode_packed(t) for t in batch.column(1).to_pylist()]
+        texts = ["".join(codec.decode_pieces(x)) for x in ids]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
+
+    return map_batches(picked, run, f"`{id_col}` {dict(df.dtypes)[id_col]}, ids binary, text string")

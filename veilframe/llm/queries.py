@@ -17,8 +17,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), *vocabulary, packed=True)
-    return byte_bpe.decode(ids, *vocabulary, keep_ids=True).select(
+    return byte_bpe.transcode(table(spark, sf_dir, "documents"), *vocabulary).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
