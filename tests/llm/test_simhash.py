@@ -73,7 +73,7 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, limit):
                 x ^= 1 << b
     points |= {rnd.getrandbits(64) for _ in range(300)} | {0, (1 << 64) - 1, 7, 15}
     points = sorted(signed(p) for p in points)
-    links = S.links(spark.createDataFrame([(p,) for p in points], "fp long"), 3)
+    links = S.links(spark.createDataFrame([(p, p) for p in points], "node long, fp long"), 3)
     got = {r.node: r.root for r in components(links).collect()}
     assert {p: got.get(p, p) for p in points} == plain_roots(points, close_pairs(points, 3))
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.shipping import map_batches
 
 WINDOW, BLOCK_WORDS = 10, 5_000_000
+ADDED = ("n_words", "n_hit", "items", "spans")
 #: On lower-cased UTF-8 bytes; every byte of a character beyond ASCII belongs to a word.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -118,33 +119,39 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
     yield block
 
 
-def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``n_words``, ``n_hit``, ``items`` (sorted ids as strings) and ``spans`` of the original text."""
-    kind = dict(df.dtypes)[id_col]
-    runs_type = pa.list_(pa.int32())
-    now = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"))
+def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Per row: ``id_col``, ``n_words``, ``n_hit``, ``items`` (sorted ids as strings) and ``spans`` of the original text.
+
+    With ``keep`` all columns of ``df`` stay; the added ones replace columns of their names.
+    """
+    picked = df.drop(*ADDED) if keep else df.select(f"`{id_col}`", f"`{text_col}`")
+    names, at = picked.columns, picked.columns.index(text_col)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
+    n = len(names)
+    now = picked.select("*", F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"))
     for block in _blocks(benchmark, item_col, item_text_col):
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batch: pa.RecordBatch, name=uuid.uuid4().hex, shared=shared) -> pa.RecordBatch:
             machine, runs, items = _automaton(name, shared, window), [], []
-            for text, old_runs, old_items in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            for text, old_runs, old_items in zip(*(batch.column(k).to_pylist() for k in (at, n, n + 1))):
                 new, found = machine.scan(words_of(text))
                 pairs = merged([*zip(old_runs[::2], old_runs[1::2]), *new]) if old_runs else new
                 runs.append([x for pair in pairs for x in pair])
                 items.append(sorted(found.union(old_items)))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, runs_type), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "runs", "items"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*names, "runs", "items"])
 
-        now = map_batches(now, run, f"id {kind}, text string, runs array<int>, items array<string>")
+        now = map_batches(now, run, kinds + ", runs array<int>, items array<string>", text_at=at)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def ended(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_hit, spans = [], [], []
-        for text, flat in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for text, flat in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist()):
             runs = list(zip(flat[::2], flat[1::2]))
             n_words.append(len(words_of(text)))
             n_hit.append(sum(b - a for a, b in runs))
             spans.append(offsets(text, runs))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(3), pa.array(spans, span)], names=[id_col, "n_words", "n_hit", "items", "spans"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(n + 1), pa.array(spans, span)], names=[*names, *ADDED])
 
-    return map_batches(now, ended, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    out = map_batches(now, ended, kinds + ", n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>", text_at=at)
+    return out if keep else out.select(f"`{id_col}`", *ADDED)

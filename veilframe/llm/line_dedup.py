@@ -25,11 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.shipping import map_batches, settle
+from veilframe.llm.shipping import bounded, map_batches, settle
 
 DIVISOR, MIN_WORDS = 3, 50
-#: Rows up to which a table of some tens of bytes a row is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 300_000
 
 
 def chunks(text: str) -> list[list[str]]:
@@ -49,11 +47,6 @@ def _counted(chunk: list[str], min_words: int) -> bool:
     return sum(n > 0 for n in words) >= 2 or sum(words) >= min_words
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A checkpointed table, marked for broadcast if it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _chunk_rows(df: DataFrame, min_words: int, with_text: bool) -> DataFrame:
     """``at`` (id, text hash, chunk number), ``h`` (128-bit MD5 of the chunk) and, if asked for, its text."""
 
@@ -82,15 +75,15 @@ def dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", tex
     keyed = df.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text")).alias("key"), F.col(f"`{text_col}`").alias("text"))
     found = settle(_chunk_rows(keyed, min_words, False).distinct())
     repeated = settle(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).filter("n > 1").select("h", "first"))
-    few = _bounded(repeated)
+    few = bounded(repeated)
     bodies = _chunk_rows(keyed, min_words, True).join(few.select("h"), "h", "left_semi")
     same = settle(bodies.groupBy("h").agg((F.min("body") == F.max("body")).alias("same")).filter("same").select("h"))
     removed = settle(
-        found.join(few, "h").filter("at <> first").join(_bounded(same), "h", "left_semi")
+        found.join(few, "h").filter("at <> first").join(bounded(same), "h", "left_semi")
         .groupBy("at.key").agg(F.array_sort(F.collect_list("at.chunk")).alias("cut")))
     fresh = "_cut_key", "_cut"
     marked = df.withColumn(fresh[0], F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text")))
-    cut = _bounded(removed).select(F.col("key").alias("_key"), F.col("cut").alias(fresh[1]))
+    cut = bounded(removed).select(F.col("key").alias("_key"), F.col("cut").alias(fresh[1]))
     joined = marked.join(cut, marked._cut_key.eqNullSafe(F.col("_key")), "left")
     plain = [n for n in names if n != text_col]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import byte_bpe, decontaminate, line_dedup, oracles, quality_rules, simhash
+from veilframe.llm import byte_bpe, decontaminate, line_dedup, oracles, quality_classifier, quality_rules, simhash
 from veilframe.llm.shipping import table
 
 
@@ -26,6 +26,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+#: Ratings from the labels, and the least P(top grade) of a row that is kept.
+GRADE, LEAST_TAIL = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2), 0.65
+
+
+def graded(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """``docs`` with the scores of a model fitted on the rated rows of ``documents`` (0 toxic, 1 poor, 2 good)."""
+    model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), GRADE)
+    return quality_classifier.score(docs, model)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = graded(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= LEAST_TAIL).alias("kept"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -41,6 +56,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_decontaminate": op7_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch given to Python are handled in pieces of about so many bytes of text, so memory stays flat.
 PIECE_BYTES = 8 << 20
+#: Rows, of some tens of bytes each, up to which ``bounded`` broadcasts.
+BROADCAST_ROWS = 300_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -76,6 +78,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A checkpointed table of narrow rows, marked for broadcast if a count proves it small; beyond, joins shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """Just the named columns, however many others with clashing names there are."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

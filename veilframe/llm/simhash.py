@@ -31,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import components
-from veilframe.llm.shipping import map_batches, settle, ship
+from veilframe.llm.shipping import bounded, map_batches, settle, ship
 
 SEED = 42
 #: Points of a shard; larger branches are divided by vantage rings. A local leaf compares all its points.
@@ -88,9 +88,8 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _spanning(places_a: np.ndarray, places_b: np.ndarray, close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Few links that connect what the matrix ``close`` connects."""
-    i, j = np.nonzero(close)
+def _spanning(places_a: np.ndarray, places_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few links that connect what the pairs (i, j) connect."""
     if len(i) <= len(places_a) + len(places_b):
         return places_a[i], places_b[j]
     root = _roots(len(places_a) + len(places_b), i, j + len(places_a))
@@ -98,37 +97,52 @@ def _spanning(places_a: np.ndarray, places_b: np.ndarray, close: np.ndarray) ->
     return every, every[root]
 
 
-def _across(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for at in range(0, len(a), 512):
-        for to in range(0, len(b), 512):
-            x, y = a[at : at + 512], b[to : to + 512]
-            yield _spanning(x, y, np.bitwise_count(fp[x][:, None] ^ fp[y][None, :]) <= radius)
-
-
-def _within(fp: np.ndarray, places: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A vantage-point tree over these places, walked as it is built."""
-    stack = [places]
-    while stack:
-        here = stack.pop()
-        if len(here) > LEAF:
-            away = np.bitwise_count(fp[here] ^ fp[here[0]])
-            bound = int(np.median(away))
-            if away.max() == bound:
-                bound -= 1
-            inner, outer = here[away <= bound], here[away > bound]
-            if len(inner) and len(outer):
-                stack += [inner, outer]
-                yield from _across(fp, here[(away <= bound) & (away > bound - radius)], here[(away > bound) & (away <= bound + radius)], radius)
-                continue
-        yield from _across(fp, here, here, radius)
-
-
-def shard_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the points of each shard; rows come sorted by ``key``. Side 0: among themselves; 1 and 2: across."""
+class _Shard:
+    """Points of some shards: ``fp`` for the search and, if given, ``sketch`` (64-bit columns) to confirm what it finds."""
+
+    def __init__(self, fp: np.ndarray, sketch: np.ndarray | None, radius: int, most: int):
+        self.fp, self.sketch, self.radius, self.most = fp, sketch, radius, most
+
+    def confirmed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.sketch is None:
+            return np.ones(len(a), bool)
+        out = np.zeros(len(a), bool)
+        for at in range(0, len(a), BLOCK):
+            cut = slice(at, at + BLOCK)
+            out[cut] = np.bitwise_count(self.sketch[a[cut]] ^ self.sketch[b[cut]]).sum(1, dtype=np.int64) <= self.most
+        return out
+
+    def across(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(a), 512):
+            for to in range(0, len(b), 512):
+                x, y = a[at : at + 512], b[to : to + 512]
+                i, j = np.nonzero(np.bitwise_count(self.fp[x][:, None] ^ self.fp[y][None, :]) <= self.radius)
+                good = self.confirmed(x[i], y[j])
+                yield _spanning(x, y, i[good], j[good])
+
+    def within(self, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A vantage-point tree over these places, walked as it is built."""
+        stack, r = [places], self.radius
+        while stack:
+            here = stack.pop()
+            if len(here) > LEAF:
+                away = np.bitwise_count(self.fp[here] ^ self.fp[here[0]])
+                bound = int(np.median(away))
+                if away.max() == bound:
+                    bound -= 1
+                inner, outer = here[away <= bound], here[away > bound]
+                if len(inner) and len(outer):
+                    stack += [inner, outer]
+                    yield from self.across(here[(away <= bound) & (away > bound - r)], here[(away > bound) & (away <= bound + r)])
+                    continue
+            yield from self.across(here, here)
+
+
+def shard_links(key: np.ndarray, side: np.ndarray, points: _Shard) -> tuple[np.ndarray, np.ndarray]:
+    """Places that link the points of each shard; rows come sorted by ``key``. Side 0: among themselves; 1 and 2: across."""
     n = len(key)
     if n < 2:
-        return fp[:0], fp[:0]
-    bits = fp.view(np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(begins[1:], n)
     small = np.repeat(ends - begins <= LEAF, ends - begins) & (side == 0)
@@ -137,38 +151,40 @@ def shard_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int)
         i = np.flatnonzero(small[gap:] & (key[gap:] == key[:-gap]))
         if not len(i):
             break
-        i = i[np.bitwise_count(bits[i] ^ bits[i + gap]) <= radius]
+        i = i[np.bitwise_count(points.fp[i] ^ points.fp[i + gap]) <= points.radius]
+        i = i[points.confirmed(i, i + gap)]
         links.append((i, i + gap))
     for begin, end in zip(begins, ends):
         if not small[begin]:
             places = np.arange(begin, end)
             if side[begin] == 0:
-                links += _within(bits, places, radius)
+                links += points.within(places)
             else:
-                links += _across(bits, places[side[begin:end] == 1], places[side[begin:end] == 2], radius)
+                links += points.across(places[side[begin:end] == 1], places[side[begin:end] == 2])
     a, b = (np.concatenate([x[k] for x in links]).astype(np.int64) if links else np.zeros(0, np.int64) for k in (0, 1))
     root = _roots(n, a, b)
     moved = np.flatnonzero(root != np.arange(n))
-    return fp[moved], fp[root[moved]]
+    return moved, root[moved]
 
 
-def _shards(points: DataFrame, radius: int) -> DataFrame:
-    """``shard``, ``side`` and ``fp``: each point of ``points`` (distinct ``fp``) in every shard that may hold a partner."""
+def _shards(points: DataFrame, radius: int, prints: list[str]) -> DataFrame:
+    """``shard``, ``side``, ``fp`` and the other columns: each point in every shard that may hold a partner."""
     trees = radius + 1
     cut = [64 * t // trees for t in range(trees + 1)]
-    block = lambda t: F.shiftrightunsigned("fp", cut[t]).bitwiseAND(F.lit((1 << (cut[t + 1] - cut[t])) - 1))
-    branch = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), block(t).alias("value")) for t in range(trees)]))
-    placed = points.select("fp", branch.alias("at")).select("fp", "at.tree", "at.value")
+    block = lambda c, t: F.shiftrightunsigned(c, cut[t]).bitwiseAND(F.lit((1 << (cut[t + 1] - cut[t])) - 1))
+    branch = [F.struct(F.lit(k * trees + t).alias("tree"), block(c, t).alias("value"), F.col(c).alias("fp")) for k, c in enumerate(prints) for t in range(trees)]
+    rest = [c for c in points.columns if c not in prints]
+    placed = points.select(*rest, F.explode(F.array(*branch)).alias("at")).select(*rest, "at.*")
     large = settle(placed.groupBy("tree", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage")).filter(F.col("n") > SHARD_POINTS).drop("n"))
     if large.isEmpty():
-        return placed.select(F.struct("tree", "value", F.lit("").alias("rings")).alias("shard"), F.lit(0).alias("side"), "fp")
+        return placed.select(F.struct("tree", "value", F.lit("").alias("rings")).alias("shard"), F.lit(0).alias("side"), "fp", *rest)
     known = placed.join(large, ["tree", "value"], "left").withColumn("ring", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))))
     pieces = (
         known.filter(F.col("vantage").isNotNull()).groupBy("tree", "value", "ring").agg(F.ceil(F.count(F.lit(1)) / SHARD_POINTS).cast("int").alias("k"))
         .groupBy("tree", "value").agg(F.map_from_entries(F.collect_list(F.struct("ring", "k"))).alias("pieces"))  # 65 rings at most
     )
     ringed = known.join(settle(pieces), ["tree", "value"], "left").withColumn(
-        "piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("pieces")[F.col("ring")]).cast("int")))
+        "piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("node"), F.col("pieces")[F.col("ring")]).cast("int")))
     own = lambda r, p: F.format_string("%02d.%06d", r, p)
 
     def partners(r):
@@ -181,26 +197,34 @@ def _shards(points: DataFrame, radius: int) -> DataFrame:
 
     whole = F.array(F.struct(F.lit("").alias("rings"), F.lit(0).alias("side")))
     near = F.flatten(F.array(*[partners(r) for r in range(-radius, radius + 1)]))
-    return ringed.select("tree", "value", "fp", F.explode(F.when(F.col("pieces").isNull(), whole).otherwise(near)).alias("to")).select(
-        F.struct("tree", "value", "to.rings").alias("shard"), "to.side", "fp")
+    return ringed.select("tree", "value", "fp", *rest, F.explode(F.when(F.col("pieces").isNull(), whole).otherwise(near)).alias("to")).select(
+        F.struct("tree", "value", "to.rings").alias("shard"), "to.side", "fp", *rest)
 
 
-def links(points: DataFrame, radius: int = 3) -> DataFrame:
-    """``a`` and ``b``: links that connect exactly the fingerprints within ``radius`` bits of each other, directly or by others."""
+def links(points: DataFrame, radius: int = 3, most: int = 0) -> DataFrame:
+    """``a`` and ``b``, nodes: links that connect exactly the points within ``radius`` bits of each other, directly or by others.
+
+    ``points``: distinct ``node`` (long), one or more fingerprint columns, of which any may bring
+    two points together, and perhaps ``sketch``, packed bits of which at most ``most`` may differ.
+    """
     ship(points.sparkSession)
-    sharded = _shards(points, radius).select(F.xxhash64("shard").alias("key"), "shard", "side", "fp")
+    prints = [c for c in points.columns if c not in ("node", "sketch")]
+    sketched = "sketch" in points.columns
+    sharded = _shards(points, radius, prints).withColumn("key", F.xxhash64("shard"))
     dealt = sharded.repartition("key").sortWithinPartitions("key", "shard").select(
-        F.concat_ws(":", F.col("shard.tree"), F.col("shard.value"), F.col("shard.rings")).alias("shard"), "side", "fp")
+        F.concat_ws(":", F.col("shard.tree"), F.col("shard.value"), F.col("shard.rings")).alias("shard"), "side", "fp", "node", *["sketch"] * sketched)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def solved(rows: pa.Table) -> pa.RecordBatch:
-            shard = rows.column("shard").combine_chunks()
+            shard, node, sketch = rows.column("shard").combine_chunks(), rows.column("node").to_numpy(), None
             change = pc.not_equal(shard.slice(1), shard.slice(0, max(len(shard) - 1, 0)))
             key = np.concatenate([[0], np.cumsum(change.to_numpy(zero_copy_only=False))]) if len(shard) else np.zeros(0, int)
-            a, b = shard_links(key, rows.column("side").to_numpy(), rows.column("fp").to_numpy(), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if sketched:
+                sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+            a, b = shard_links(key, rows.column("side").to_numpy(), _Shard(rows.column("fp").to_numpy().view(np.uint64), sketch, radius, most))
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for batch in batches:  # whole shards at a time: the last one may go on in the next batch
             if not batch.num_rows:
@@ -211,20 +235,81 @@ def links(points: DataFrame, radius: int = 3) -> DataFrame:
             if first_of_last == 0 and held and held[-1].column(0)[len(held[-1]) - 1] == last:
                 held.append(batch)
                 continue
-            yield solved(pa.Table.from_batches([*held, batch.slice(0, first_of_last)]))
+            if held or first_of_last:
+                yield solved(pa.Table.from_batches([*held, batch.slice(0, first_of_last)]))
             held = [batch.slice(first_of_last)]
         if held:
             yield solved(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").filter("a <> b")
+
+
+def _rooted(points: DataFrame, roots: DataFrame, least: str) -> DataFrame:
+    """``node`` and ``least_of_root``, the least value of ``least`` in its component."""
+    known = points.select("node", least).join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
+        "node", least, F.coalesce("root", "node").alias("root"))
+    named = known.groupBy("root").agg(F.min(least).alias("least_of_root"))
+    return settle(known.select("node", "root").join(named, "root").select("node", "least_of_root"))
 
 
 def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``fingerprint`` (16 lowercase hex digits) and ``component_id``, the least id of the row's component."""
     marked = settle(fingerprints(df, words, id_col, text_col))
-    points = settle(marked.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least_id")))
-    roots = components(links(points.select("fp"), radius))
-    rooted = points.join(roots, points.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = settle(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"))
-    return marked.join(by_print, "fp").select(f"`{id_col}`", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    points = settle(marked.groupBy(F.col("fp").alias("node")).agg(F.min(f"`{id_col}`").alias("least_id")))
+    roots = components(links(points.select("node", F.col("node").alias("fp")), radius))
+    named = _rooted(points, roots, "least_id")
+    return marked.join(named, marked.fp == named.node).select(
+        f"`{id_col}`", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least_of_root").alias("component_id"))
+
+
+def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The n-th of several independent hashes derived from one (a multiply-xorshift mixer)."""
+    x = hashes + np.uint64((n * 0x9E3779B97F4A7C15) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketches(df: DataFrame, words: int, prints: int, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``node`` (hash of the text), ``fp0`` ... of single words to search by, and ``sketch`` of 64 * ``parts`` bits of the shingles."""
+    picked = df.select(f"`{id_col}`", f"`{text_col}`", F.xxhash64(f"`{text_col}`").alias("node"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, packed = [], []
+        for text in batch.column(1).to_pylist():
+            single, shingle = shingle_hashes(text, 1), shingle_hashes(text, words)
+            fps.append([majority(_mixed(single, k)) for k in range(prints)])
+            packed.append(np.array([majority(_mixed(shingle, k)) for k in range(parts)], np.int64).tobytes())
+        columns = [pa.array([f[k] for f in fps], pa.int64()) for k in range(prints)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array(packed, pa.binary())], names=[id_col, "node", *[f"fp{k}" for k in range(prints)], "sketch"])
+
+    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, node long, " + "".join(f"fp{k} long, " for k in range(prints)) + "sketch binary"
+    return map_batches(picked, run, schema)
+
+
+def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 2, parts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near copies: of each component the row of least (id, text hash) stays.
+
+    Texts link if the Jaccard similarity of their shingles is ``similarity`` or more, as their
+    sketches estimate it: sets of similarity j meet at cosine 2j / (1 + j), and SimHash bits
+    differ with probability angle / pi; one standard deviation is allowed for. The vantage-point
+    search finds the candidates by fingerprints of single words, which edits change least. Equal
+    texts are one point, by a 64-bit hash. Of rows equal in id and text one stays.
+    """
+    marked = settle(sketches(df, words, prints, parts, id_col, text_col).withColumnRenamed(id_col, "id"))
+    first = [F.first(c).alias(c) for c in marked.columns if c not in ("id", "node")]
+    points = settle(marked.groupBy("node").agg(F.min("id").alias("least"), *first))
+    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most = int(64 * parts * differ + np.sqrt(64 * parts * differ * (1 - differ)))
+    named = _rooted(points.withColumn("least", F.struct("least", "node")), components(links(points.drop("least"), radius, most)), "least")
+    keys = marked.select("id", "node").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n"))
+    repeated = settle(keys.filter("n > 1").select("id", "node"))
+    gone = settle(keys.join(named, "node").filter(~(F.col("id").eqNullSafe(F.col("least_of_root.least")) & (F.col("node") == F.col("least_of_root.node")))).select("id", F.col("node").alias("_node")))
+    held = df.withColumn("_text_hash", F.xxhash64(f"`{text_col}`"))
+    here = lambda t: F.col(f"`{id_col}`").eqNullSafe(t["id"]) & (F.col("_text_hash") == t[t.columns[1]])
+    kept = held.join(bounded(gone), here(gone), "left_anti")
+    if not repeated.isEmpty():
+        order = Window.partitionBy(f"`{id_col}`", "_text_hash").orderBy(F.lit(0))
+        twice = kept.join(bounded(repeated), here(repeated), "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+        kept = kept.join(bounded(repeated), here(repeated), "left_anti").unionByName(twice)
+    return kept.drop("_text_hash")
