@@ -84,4 +84,39 @@ SELECT doc_id, CASE WHEN d.n_chunks > 0 THEN coalesce(body, '') ELSE text END AS
 FROM documents LEFT JOIN d USING (doc_id)"""
 
 
-SQL = {"op1_quality_rules": _quality_rules(), "op7_decontaminate": _decontaminate(), "op10_line_dedup": _line_dedup()}
+def _chat_format() -> str:
+    """Digests straight from the rows; formatted size from windows of 1,024 tokens with 128 of history."""
+    escape = lambda c: f"regexp_replace(regexp_replace({c}, '<(\\\\*/?s>)', '<\\\\\\1', 'g'), '\\[(\\\\*/?INST\\])', '[\\\\\\1', 'g')"
+    return f"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) + 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+         23 + length({escape("role")}) + length({escape("text")}) AS chars
+  FROM rows_),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM t),
+w AS (SELECT *, (upto - 1) // 448 AS win FROM u),
+o AS (
+  SELECT *, coalesce(lag(win) OVER c <> win, false) AS opens, first_value(role) OVER c = 'system' AS sys, first_value(chars) OVER c AS sys_chars
+  FROM w WINDOW c AS (PARTITION BY conv_id ORDER BY place)),
+h AS (
+  SELECT *, lead(opens, 1) OVER c AND lead(upto - tokens, 1) OVER c - upto + tokens <= 128 AND (place > 1 OR NOT sys) AS h1,
+            lead(opens, 2) OVER c AND lead(upto - tokens, 2) OVER c - upto + tokens <= 128 AND (place > 1 OR NOT sys) AS h2,
+            lead(opens, 3) OVER c AND lead(upto - tokens, 3) OVER c - upto + tokens <= 128 AND (place > 1 OR NOT sys) AS h3
+  FROM o WINDOW c AS (PARTITION BY conv_id ORDER BY place))
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars * (1 + CAST(coalesce(h1, false) AS INT) + CAST(coalesce(h2, false) AS INT) + CAST(coalesce(h3, false) AS INT))
+                + CASE WHEN opens AND sys THEN sys_chars ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM h GROUP BY conv_id"""
+
+
+SQL = {
+    "op1_quality_rules": _quality_rules(),
+    "op7_decontaminate": _decontaminate(),
+    "op9_chat_format": _chat_format(),
+    "op10_line_dedup": _line_dedup(),
+}
