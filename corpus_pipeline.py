@@ -38,7 +38,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), keep=True)
+    scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), keep_columns=True)
     return scanned.filter("n_hit = 0").select(*docs.columns)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm.shipping import map_batches
+from veilframe.llm.shipping import keep, map_batches
 
 #: States of the transducer and memorised words that a worker keeps, for flat memory; results don't depend on them.
 MAX_STATES, MAX_WORDS, LONG_WORD = 200_000, 150_000, 64
@@ -209,15 +209,9 @@ class Utf8Machine:
         return rest.decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def _codec(rank_file: bytes, pattern: str) -> Codec:
     """One codec per worker process and vocabulary, kept from task to task."""
-    key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs[key] = Codec(rank_file, pattern)
-    return _codecs[key]
+    return keep(__name__, hashlib.sha256(rank_file + pattern.encode()).hexdigest(), lambda: Codec(rank_file, pattern))
 
 
 def _vocabulary(spark: SparkSession, path: str):

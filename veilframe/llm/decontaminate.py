@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.shipping import map_batches
+from veilframe.llm.shipping import keep, map_batches
 
 WINDOW, BLOCK_WORDS = 10, 5_000_000
 ADDED = ("n_words", "n_hit", "items", "spans")
@@ -97,14 +97,8 @@ def offsets(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     return spans
 
 
-_automata: dict[tuple, Automaton] = {}
-
-
 def _automaton(name: str, block, window: int) -> Automaton:
-    if (name, window) not in _automata:
-        _automata.clear()  # one per worker at a time: a worker serves one block's scan
-        _automata[name, window] = Automaton(block.value, window)
-    return _automata[name, window]
+    return keep(f"{__name__} {name}", window, lambda: Automaton(block.value, window))  # one block's automaton at a time
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list]:
@@ -119,39 +113,42 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
     yield block
 
 
-def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: bool = False) -> DataFrame:
+def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """Per row: ``id_col``, ``n_words``, ``n_hit``, ``items`` (sorted ids as strings) and ``spans`` of the original text.
 
-    With ``keep`` all columns of ``df`` stay; the added ones replace columns of their names.
+    With ``keep_columns`` all columns of ``df`` stay; the added ones replace columns of their names.
     """
-    picked = df.drop(*ADDED) if keep else df.select(f"`{id_col}`", f"`{text_col}`")
+    picked = df.drop(*ADDED) if keep_columns else df.select(f"`{id_col}`", f"`{text_col}`")
     names, at = picked.columns, picked.columns.index(text_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
     n = len(names)
+    found_so_far = "runs array<int>, items array<string>"
     now = picked.select("*", F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"))
-    for block in _blocks(benchmark, item_col, item_text_col):
-        shared = df.sparkSession.sparkContext.broadcast(block)
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
 
-        def run(batch: pa.RecordBatch, name=uuid.uuid4().hex, shared=shared) -> pa.RecordBatch:
-            machine, runs, items = _automaton(name, shared, window), [], []
+        def run(batch: pa.RecordBatch, name=uuid.uuid4().hex, shared=df.sparkSession.sparkContext.broadcast(block), last=after is None) -> pa.RecordBatch:
+            machine, runs, items, n_words, spans = _automaton(name, shared, window), [], [], [], []
             for text, old_runs, old_items in zip(*(batch.column(k).to_pylist() for k in (at, n, n + 1))):
-                new, found = machine.scan(words_of(text))
-                pairs = merged([*zip(old_runs[::2], old_runs[1::2]), *new]) if old_runs else new
-                runs.append([x for pair in pairs for x in pair])
+                words = words_of(text)
+                pairs, found = machine.scan(words)
+                if old_runs:
+                    pairs = merged([*zip(old_runs[::2], old_runs[1::2]), *pairs])
+                runs.append(pairs)
                 items.append(sorted(found.union(old_items)))
-            return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*names, "runs", "items"])
-
-        now = map_batches(now, run, kinds + ", runs array<int>, items array<string>", text_at=at)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def ended(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_words, n_hit, spans = [], [], []
-        for text, flat in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist()):
-            runs = list(zip(flat[::2], flat[1::2]))
-            n_words.append(len(words_of(text)))
-            n_hit.append(sum(b - a for a, b in runs))
-            spans.append(offsets(text, runs))
-        return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(n + 1), pa.array(spans, span)], names=[*names, *ADDED])
-
-    out = map_batches(now, ended, kinds + ", n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>", text_at=at)
-    return out if keep else out.select(f"`{id_col}`", *ADDED)
+                n_words.append(len(words))
+                spans.append(offsets(text, pairs) if last else None)
+            named = pa.array(items, pa.list_(pa.string()))
+            if not last:
+                flat = pa.array([[x for pair in pairs for x in pair] for pairs in runs], pa.list_(pa.int32()))
+                return pa.RecordBatch.from_arrays([*batch.columns[:n], flat, named], names=[*names, "runs", "items"])
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            n_hit = [sum(b - a for a, b in pairs) for pairs in runs]
+            return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), named, pa.array(spans, span)], names=[*names, *ADDED])
+
+        added = found_so_far if after is not None else "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+        now = map_batches(now, run, f"{kinds}, {added}", text_at=at)
+        block = after
+    return now if keep_columns else now.select(f"`{id_col}`", *ADDED)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.shipping import map_batches
+from veilframe.llm.shipping import keep, map_batches
 
 BITS = 18
 #: Bound of the sample for fitting.
@@ -50,9 +50,6 @@ class _Places(dict):
         return place
 
 
-_places = _Places()
-
-
 def _form(data: bytes, n_words: int, distinct: int) -> list[bytes]:
     if not n_words:
         return [b"\x00empty"]
@@ -73,7 +70,8 @@ def features(text: str | None) -> np.ndarray:
     words = data.lower().split()
     distinct = set(words)
     form = [xxhash.xxh64_intdigest(f) >> (64 - BITS) for f in _form(data, len(words), len(distinct))]
-    return np.array(sorted({*map(_places.__getitem__, distinct), *form}), np.int64)
+    places = keep(__name__, "places", _Places)
+    return np.array(sorted({*map(places.__getitem__, distinct), *form}), np.int64)
 
 
 @dataclass(frozen=True)

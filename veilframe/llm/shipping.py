@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -52,11 +53,33 @@ def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
+_kept: dict = {}
+
+
+def enter(owner: str) -> None:
+    """Free what another operator keeps in this worker: workers outlive stages, and their tables must not add up."""
+    if _kept.get("owner") != owner:
+        _kept.clear()
+        _kept["owner"] = owner
+        gc.collect()
+
+
+def keep(owner: str, key, make: Callable):
+    """What an operator keeps in a worker from batch to batch and task to task."""
+    enter(owner)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text_at: int = 1) -> DataFrame:
     """``mapInArrow`` of a function on one record batch, in pieces of bounded text."""
     ship(df.sparkSession)
 
+    owner = function.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
         for whole in batches:
             for batch in pieces(whole, text_at):
                 yield function(batch)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import components
-from veilframe.llm.shipping import bounded, map_batches, settle, ship
+from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship
 
 SEED = 42
 #: Points of a shard; larger branches are divided by vantage rings. A local leaf compares all its points.
@@ -215,6 +215,7 @@ def links(points: DataFrame, radius: int = 3, most: int = 0) -> DataFrame:
         F.concat_ws(":", F.col("shard.tree"), F.col("shard.value"), F.col("shard.rings")).alias("shard"), "side", "fp", "node", *["sketch"] * sketched)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(__name__)
         held: list[pa.RecordBatch] = []
 
         def solved(rows: pa.Table) -> pa.RecordBatch:
