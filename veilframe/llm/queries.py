@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import byte_bpe, chat_format, decontaminate, kd_sharding, line_dedup, oracles, quality_classifier, quality_rules, simhash
+from veilframe.llm import byte_bpe, chat_format, decontaminate, host_extract, kd_sharding, line_dedup, oracles, quality_classifier, quality_rules, simhash
 from veilframe.llm.shipping import table
 
 
@@ -22,6 +22,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op3_host_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
@@ -69,6 +73,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_host_extract": op3_host_extract,
     "op4_simhash": op4_simhash,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontaminate": op7_decontaminate,
