@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veilframe.llm.licenses import TEMPLATES
 from veilframe.llm.quality_rules import RULES, STOP_WORDS
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -114,7 +115,32 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM h GROUP BY conv_id"""
 
 
+def _license_scan() -> str:
+    """Without licence files by name: the stand-in paths end in numbers."""
+    rows = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))
+    mention = "(?i)licen[sc]|copyright|public domain|\\bCC[ -]BY|\\bCC0|SPDX|rights reserved"
+    return f"""
+WITH t(template, license, statement) AS (VALUES {rows}),
+p AS (SELECT doc_id, trim(unnest(string_split(replace(coalesce(text, ''), chr(10), '. '), '. ')), ' ') AS statement FROM documents),
+said AS (SELECT doc_id, statement, count(*) AS n FROM p WHERE regexp_matches(statement, '{mention}') GROUP BY ALL),
+every AS (SELECT DISTINCT statement, -1 AS template, '' AS license FROM said UNION ALL SELECT statement, template, license FROM t),
+tf AS (SELECT statement, template, license, term, count(*) AS tf FROM (SELECT *, unnest(regexp_extract_all(lower(statement), '[a-z0-9]+')) AS term FROM every) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM every)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
+w AS (SELECT statement, template, license, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+norm AS (SELECT statement, template, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dot AS (SELECT a.statement, b.statement AS other, b.template, b.license, sum(a.w * b.w) AS dot FROM w a JOIN w b USING (term) WHERE a.template = -1 AND b.template >= 0 GROUP BY ALL),
+cos AS (SELECT dot.statement, license, round(dot / (x.norm * y.norm), 6) AS score FROM dot JOIN norm x ON x.statement = dot.statement AND x.template = -1 JOIN norm y ON y.template = dot.template),
+best AS (SELECT statement, max({{'score': score, 'license': license}}) AS b FROM cos GROUP BY 1 HAVING max(score) >= 0.5),
+own AS (SELECT doc_id, max(b) AS b, sum(n * len(regexp_extract_all(lower(statement), '[a-z0-9]+'))) AS stated FROM said JOIN best USING (statement) GROUP BY 1),
+m AS (SELECT doc_id, source || '/' || lang AS dir, b.license AS license, b.score AS score, coalesce(stated >= 0.5 * len(regexp_extract_all(lower(text), '[a-z0-9]+')), false) AS whole
+      FROM documents LEFT JOIN own USING (doc_id)),
+given AS (SELECT dir, max({{'score': score, 'license': license}}).license AS given FROM m WHERE whole AND license IS NOT NULL GROUP BY 1)
+SELECT doc_id, license, score, coalesce(license, given) AS effective_license, CASE WHEN license IS NULL AND given IS NOT NULL THEN dir END AS inherited_from
+FROM m LEFT JOIN given USING (dir)"""
+
+
 SQL = {
+    "op5_license_scan": _license_scan(),
     "op1_quality_rules": _quality_rules(),
     "op7_decontaminate": _decontaminate(),
     "op9_chat_format": _chat_format(),

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import byte_bpe, chat_format, decontaminate, host_extract, kd_sharding, line_dedup, oracles, quality_classifier, quality_rules, simhash
+from veilframe.llm import byte_bpe, chat_format, decontaminate, host_extract, kd_sharding, licenses, line_dedup, oracles, quality_classifier, quality_rules, simhash
 from veilframe.llm.shipping import table
 
 
@@ -30,6 +30,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return licenses.scan(docs, id_col="doc_id")
+
+
 #: The least P(top grade) of a row that is kept.
 LEAST_TAIL = 0.65
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_host_extract": op3_host_extract,
     "op4_simhash": op4_simhash,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontaminate": op7_decontaminate,
     "op8_kd_sharding": op8_kd_sharding,
