@@ -3,8 +3,7 @@
 Large star: every node hands its greater neighbours to the least node it knows. Small star:
 every node hands itself and its smaller neighbours to the least of them. Both keep the
 components, and the edges end as stars around each component's least node. A round costs two
-aggregations with map-side combining and two joins whose hot keys adaptive execution can
-split; rounds grow with the logarithm of the longest chain. Each round's edges go to the
+aggregations with map-side combining and two joins in which a hub's rows are dealt out; rounds grow with the logarithm of the longest chain. Each round's edges go to the
 checkpoint folder, so a lost executor costs one round at most.
 
 Nulls in either column, loops and repeated edges are dropped; no edges give no rows.
@@ -23,15 +22,26 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct()
 
 
+#: Pieces in which the rows of a node, perhaps a hub with a third of all edges, meet their node's least.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """An inner join on ``key``, unique in ``small``, that deals a key's rows out by ``by``."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-    return _directed(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")))
+    return _directed(salted_join(both.filter("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("least").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    moved = salted_join(edges, least, "a", "b").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return _directed(moved.unionByName(least.select("a", F.col("least").alias("b"))))
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.components import components
+from veilframe.llm.components import components, salted_join
 from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship
 
 SEED = 42
@@ -250,7 +250,7 @@ def _rooted(points: DataFrame, roots: DataFrame, least: str) -> DataFrame:
     known = points.select("node", least).join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         "node", least, F.coalesce("root", "node").alias("root"))
     named = known.groupBy("root").agg(F.min(least).alias("least_of_root"))
-    return settle(known.select("node", "root").join(named, "root").select("node", "least_of_root"))
+    return settle(salted_join(known.select("node", "root"), named, "root", "node").select("node", "least_of_root"))
 
 
 def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
