@@ -47,6 +47,12 @@ def test_broken_markup():
     assert X.main_text(deep, None) == "deep"
 
 
+def test_an_articles_own_parts_stay():
+    html = f'<body><div class="post-header"><h1>Head</h1></div><article><header><p>{BODY}</p></header><div class="entry_content"><p>{BODY}</p></div></article>'
+    assert X.main_text(f'<body><div class="page"><div class="post-header"><h1>Head</h1></div><p>{BODY}</p><p>{BODY}</p></div>', None) == f"Head {BODY} {BODY}"
+    assert X.main_text(html, None) == f"{BODY} {BODY}"
+
+
 def test_nulls_and_repeats(spark):
     rows = [(1, None, None, "x"), (1, "", "", "x"), (2, "not a url", "<p>word</p>", "x"), (2, "not a url", "<p>word</p>", "x"), (None, "http://a", "plain", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

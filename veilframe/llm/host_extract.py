@@ -46,7 +46,9 @@ BOUNDARY = frozenset("article aside body div footer header main nav section tabl
 #: Words in class, id and role names that mark what is not the article.
 NOISE = re.compile(
     r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|footer|colophon|sidebar|aside|widget|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|"
-    r"cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|reply|respond|disqus|pagination|pager|toolbar|search)(?:$|[^a-z])")
+    r"cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|reply|respond|responses|discussion|disqus|pagination|pager|toolbar|search|toc|skip|adbox|adslot)(?:$|[^a-z])")
+#: Names of an article's own parts, which the words above would strike.
+PART = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|content)-(?:header|banner|title|body|content)(?:$|[^a-z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -70,7 +72,7 @@ class _Node:
         if attrs and not self.noise:
             names = " ".join(attrs[k] for k in ("class", "id", "role") if k in attrs).lower().replace("_", "-")
             hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-            self.noise = hidden or bool(names and tag not in ("html", "body", "article", "main") and NOISE.search(names))
+            self.noise = hidden or bool(names and tag not in ("html", "body", "article", "main") and NOISE.search(PART.sub(" ", names)))
         self.link = tag == "a" or parent is not None and parent.link
 
     @property
