@@ -178,12 +178,12 @@ def _shards(points: DataFrame, radius: int, prints: list[str]) -> DataFrame:
     large = settle(placed.groupBy("tree", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage")).filter(F.col("n") > SHARD_POINTS).drop("n"))
     if large.isEmpty():
         return placed.select(F.struct("tree", "value", F.lit("").alias("rings")).alias("shard"), F.lit(0).alias("side"), "fp", *rest)
-    known = placed.join(large, ["tree", "value"], "left").withColumn("ring", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))))
+    known = placed.join(bounded(large), ["tree", "value"], "left").withColumn("ring", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))))
     pieces = (
         known.filter(F.col("vantage").isNotNull()).groupBy("tree", "value", "ring").agg(F.ceil(F.count(F.lit(1)) / SHARD_POINTS).cast("int").alias("k"))
         .groupBy("tree", "value").agg(F.map_from_entries(F.collect_list(F.struct("ring", "k"))).alias("pieces"))  # 65 rings at most
     )
-    ringed = known.join(settle(pieces), ["tree", "value"], "left").withColumn(
+    ringed = known.join(bounded(settle(pieces)), ["tree", "value"], "left").withColumn(
         "piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("node"), F.col("pieces")[F.col("ring")]).cast("int")))
     own = lambda r, p: F.format_string("%02d.%06d", r, p)
 
@@ -288,12 +288,12 @@ def sketches(df: DataFrame, words: int, prints: int, parts: int, id_col: str = "
     return map_batches(picked, run, schema)
 
 
-def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 2, parts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 3, parts: int = 8, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row of least (id, text hash) stays.
 
     Texts link if the Jaccard similarity of their shingles is ``similarity`` or more, as their
     sketches estimate it: sets of similarity j meet at cosine 2j / (1 + j), and SimHash bits
-    differ with probability angle / pi; one standard deviation is allowed for. The vantage-point
+    differ with probability angle / pi; ``slack`` standard deviations are allowed for. The vantage-point
     search finds the candidates by fingerprints of single words, which edits change least. Equal
     texts are one point, by a 64-bit hash. Of rows equal in id and text one stays.
     """
@@ -301,7 +301,7 @@ def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, r
     first = [F.first(c).alias(c) for c in marked.columns if c not in ("id", "node")]
     points = settle(marked.groupBy("node").agg(F.min("id").alias("least"), *first))
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    most = int(64 * parts * differ + np.sqrt(64 * parts * differ * (1 - differ)))
+    most = int(64 * parts * differ + slack * np.sqrt(64 * parts * differ * (1 - differ)))
     named = _rooted(points.withColumn("least", F.struct("least", "node")), components(links(points.drop("least"), radius, most)), "least")
     keys = marked.select("id", "node").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n"))
     repeated = settle(keys.filter("n > 1").select("id", "node"))
