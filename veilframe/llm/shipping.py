@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch given to Python are handled in pieces of about so many bytes of text, so memory stays flat.
 PIECE_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows, of some tens of bytes each, up to which ``bounded`` broadcasts.
 BROADCAST_ROWS = 300_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the workers once per application; the driver serves the archive, nobody reads a shared path."""
+    """Give this package to the workers once per application; the driver serves the archive, nobody reads a shared path.
+
+    A session that has no bound of its own on the bytes of an Arrow batch gets one: rows of long
+    texts would else be gathered by the ten thousand, on both sides of the pipe.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, PIECE_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_veilframe_shipped", False):
         return
@@ -62,6 +69,7 @@ def enter(owner: str) -> None:
         _kept.clear()
         _kept["owner"] = owner
         gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def keep(owner: str, key, make: Callable):
