@@ -91,7 +91,7 @@ def test_planted_near_copies(spark):
                 w[rnd.randrange(len(w))] = "edited"
             rows.append((1000 + 10 * k + copy, " ".join(w)))
     rows += [(5000, base[0]), (5000, base[0]), (5001, None), (5002, None), (5003, "")]
-    df = spark.createDataFrame([(i, t, "fp0") for i, t in rows], "doc_id long, text string, fp0 string")
+    df = spark.createDataFrame([(i, t, "fp0") for i, t in rows], "doc_id long, text string, id string")
     out = sorted(r.doc_id for r in corpus_pipeline.simhash.distinct_documents(df).collect())
     assert out[:40] == list(range(40)) and len(out) in (41, 42) and out[40] > 5000
 

@@ -304,13 +304,13 @@ def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, r
     most = int(64 * parts * differ + slack * np.sqrt(64 * parts * differ * (1 - differ)))
     named = _rooted(points.withColumn("least", F.struct("least", "node")), components(links(points.drop("least"), radius, most)), "least")
     keys = marked.select("id", "node").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n"))
-    repeated = settle(keys.filter("n > 1").select("id", "node"))
-    gone = settle(keys.join(named, "node").filter(~(F.col("id").eqNullSafe(F.col("least_of_root.least")) & (F.col("node") == F.col("least_of_root.node")))).select("id", F.col("node").alias("_node")))
+    repeated = settle(keys.filter("n > 1").select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")))
+    gone = settle(keys.join(named, "node").filter(~(F.col("id").eqNullSafe(F.col("least_of_root.least")) & (F.col("node") == F.col("least_of_root.node")))).select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")))
     held = df.withColumn("_text_hash", F.xxhash64(f"`{text_col}`"))
-    here = lambda t: F.col(f"`{id_col}`").eqNullSafe(t["id"]) & (F.col("_text_hash") == t[t.columns[1]])
-    kept = held.join(bounded(gone), here(gone), "left_anti")
+    here = F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_node"))
+    kept = held.join(bounded(gone), here, "left_anti")
     if not repeated.isEmpty():
         order = Window.partitionBy(f"`{id_col}`", "_text_hash").orderBy(F.lit(0))
-        twice = kept.join(bounded(repeated), here(repeated), "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-        kept = kept.join(bounded(repeated), here(repeated), "left_anti").unionByName(twice)
+        twice = kept.join(bounded(repeated), here, "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+        kept = kept.join(bounded(repeated), here, "left_anti").unionByName(twice)
     return kept.drop("_text_hash")
