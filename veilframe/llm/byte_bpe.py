@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilframe.llm.shipping import keep, map_batches
 
 #: States of the transducer and memorised words that a worker keeps, for flat memory; results don't depend on them.
-MAX_STATES, MAX_WORDS, LONG_WORD = 200_000, 150_000, 64
+MAX_STATES, MAX_WORDS, LONG_WORD = 160_000, 100_000, 64
 #: Bytes of a piece after which what is settled is emitted, a few times the longest entry.
 HELD_BYTES = 4096
 #: Ids that a decoder turns into text at a time.
@@ -94,7 +94,7 @@ class Transducer:
     def fits(self, left: int | None, right: int) -> bool:
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > MAX_STATES:
+            if len(self._fits) > MAX_STATES // 2:
                 self._fits.clear()
             pair = [self.entries[right]] if left is None else [self.entries[left], self.entries[right]]
             known = self._fits[left, right] = self._merged(b"".join(pair)) == pair
