@@ -31,6 +31,12 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.withColumn("n_chars", F.when(F.col("n_chunks_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same, and runs of whole lines of 50 words or more that came before go whole."""
+    kept = line_dedup.dedup(docs, passages=True).filter((F.col("n_lines_removed") == 0) | (F.trim("text") != ""))
+    return kept.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
     return simhash.distinct_documents(docs, words=5, similarity=0.8).select(*docs.columns)
@@ -57,6 +63,8 @@ STAGES = [
     ("benchmark decontamination", without_benchmark),
     ("byte-level BPE", token_ids),
 ]
+#: What ``run`` does in the place of a stage whose plain version, by chunks alone, is pinned by its test.
+WHOLE = {"line dedup": without_repeated_passages}
 #: The classifier is fitted by iteration, which SQL cannot express; the stages are tested against plain versions instead.
 ORACLE_SQL = None
 
@@ -69,8 +77,8 @@ def _folder(spark: SparkSession) -> str:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, docs = _folder(spark), table(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+    for n, (name, stage) in enumerate(STAGES):
+        WHOLE.get(name, stage)(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
     return docs
 

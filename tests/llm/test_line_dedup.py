@@ -42,3 +42,21 @@ def test_repeated_rows_null_ids_and_empty(spark):
     tail = brute([(None, text), (1, text)])[1]
     assert got == sorted([(True, text), (False, tail), (False, tail)])
     assert L.dedup(df.limit(0)).collect() == []
+
+
+def test_planted_passages_go_whole(spark):
+    """Passages of 1 to 12 lines and over 50 words, each planted in two documents among lines of their own."""
+    rows, planted = [], {}
+    for n, (lines, words) in enumerate([(1, 60), (1, 100), (2, 30), (3, 25), (4, 20), (8, 20), (12, 5), (12, 20)] * 3):
+        passage = [" ".join(f"p{n}x{i}y{k}" for k in range(words)) for i in range(lines)]
+        for copy in (2 * n, 2 * n + 1):
+            own = [f"own line {copy} {i} of the document" for i in range(10)]
+            planted[copy] = own, passage
+            rows.append((copy, "\n".join(own[:5] + passage + own[5:])))
+    rows += [(900, "\n".join(["same five words once more"] * 40)), (None, "one line " * 30), (901, "one line " * 30), (902, None), (903, "")]
+    got = {r.doc_id: r for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), passages=True).collect()}
+    for i, (own, passage) in planted.items():
+        assert got[i].text == "\n".join(own[:5] + passage * (i % 2 == 0) + own[5:])
+        assert got[i].n_lines_removed == len(passage) * (i % 2)
+    assert 10 <= len(got[900].text.split("\n")) < 40
+    assert got[None].text == "one line " * 30 and (got[901].text, got[902].text, got[903].text) == ("", None, "")
