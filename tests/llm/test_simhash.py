@@ -94,3 +94,35 @@ def test_nulls_empty_long_and_repeated(spark):
     assert {x[2] for x in got if x[0] in (5, 6)} == {5}
     assert [x[2] for x in got if x[0] in (None, 4)] == [4, 4, 4]
     assert S.near_duplicates(df.limit(0)).collect() == []
+
+
+def own_words(rnd, n):
+    return [f"w{rnd.randint(0, 100_000)}" for _ in range(n)]
+
+
+def test_a_shared_refrain_does_not_merge(spark):
+    """Different texts with one much-repeated line: Jaccard of the shingle sets about 0.05."""
+    rnd = random.Random(5)
+    rows = []
+    for times, length in ((30, 20), (40, 8), (100, 12)):
+        line = " ".join(own_words(rnd, length))
+        rows += [" ".join(own_words(rnd, 200)) + "\n" + "\n".join([line] * times) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.distinct_documents(df).collect()) == list(range(len(rows)))
+
+
+def test_links_are_exact_on_both_sides_of_the_bound(spark):
+    """Copies whose changed tail leaves a similarity of about 0.75 stay; what goes has 0.8 and more."""
+    rnd = random.Random(6)
+    some = lambda n: rnd.choices([f"w{k}" for k in range(200)], [1 / (k + 1) for k in range(200)], k=n)
+    rows = []
+    for k in range(40):
+        base = some(400)
+        rows.append((10 * k, base))
+        rows += [(10 * k + n, base[: 400 - cut] + some(cut)) for n, cut in ((1, 57), (2, 36), (3, 8))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    left = {r.doc_id for r in S.distinct_documents(df).collect()}
+    assert all(max(like(i, j) for j in sets if j != i and j // 10 == i // 10) >= 0.8 for i in set(sets) - left)
+    assert len([i for i in left if i % 10 == 3]) <= 2

@@ -42,6 +42,8 @@ SEED = 42
 SHARD_POINTS, LEAF = 4096, 128
 #: Hashes whose bits are unpacked at a time.
 BLOCK = 1 << 15
+#: Share of a sketch's allowed differences up to which an exact comparison could not refuse a pair.
+SURE = 0.4
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -97,6 +99,16 @@ def _spanning(places_a: np.ndarray, places_b: np.ndarray, i: np.ndarray, j: np.n
     return every, every[root]
 
 
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs (i, j) of n places make a spanning forest of what they connect."""
+    seen, a, b, out = _roots(n, i, j) == np.arange(n), np.concatenate([i, j]), np.concatenate([j, i]), [np.zeros(0, np.int64)]
+    while len(at := np.flatnonzero(seen[a] & ~seen[b])):
+        at = at[np.unique(b[at], return_index=True)[1]]
+        seen[b[at]] = True
+        out.append(at % len(i))
+    return np.concatenate(out)
+
+
 class _Shard:
     """Points of some shards: ``fp`` for the search and, if given, ``sketch`` (64-bit columns) to confirm what it finds."""
 
@@ -112,13 +124,27 @@ class _Shard:
             out[cut] = np.bitwise_count(self.sketch[a[cut]] ^ self.sketch[b[cut]]).sum(1, dtype=np.int64) <= self.most
         return out
 
+    def few(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of confirmed pairs all that an exact comparison may yet refuse, and a spanning forest of those whose sketches leave no doubt."""
+        if not len(a):
+            return a, b
+        places, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        i, j = at[: len(a)], at[len(a) :]
+        sure = np.concatenate([np.bitwise_count(self.sketch[a[k : k + BLOCK]] ^ self.sketch[b[k : k + BLOCK]]).sum(1, dtype=np.int64) <= self.most * SURE for k in range(0, len(a), BLOCK)])
+        sure &= i != j
+        tree = np.flatnonzero(sure)[_forest(i[sure], j[sure], len(places))] if sure.any() else np.zeros(0, np.int64)
+        root = _roots(len(places), i[tree], j[tree])
+        kept = np.concatenate([tree, np.flatnonzero(root[i] != root[j])])
+        return a[kept], b[kept]
+
     def across(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(a), 512):
             for to in range(0, len(b), 512):
                 x, y = a[at : at + 512], b[to : to + 512]
                 i, j = np.nonzero(np.bitwise_count(self.fp[x][:, None] ^ self.fp[y][None, :]) <= self.radius)
                 good = self.confirmed(x[i], y[j])
-                yield _spanning(x, y, i[good], j[good])
+                i, j = i[good], j[good]
+                yield _spanning(x, y, i, j) if self.sketch is None else self.few(x[i], y[j])
 
     def within(self, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A vantage-point tree over these places, walked as it is built."""
@@ -139,7 +165,7 @@ class _Shard:
 
 
 def shard_links(key: np.ndarray, side: np.ndarray, points: _Shard) -> tuple[np.ndarray, np.ndarray]:
-    """Places that link the points of each shard; rows come sorted by ``key``. Side 0: among themselves; 1 and 2: across."""
+    """Places that link the points of each shard (with sketches, pairs to be compared exactly); rows come sorted by ``key``. Side 0: among themselves; 1 and 2: across."""
     n = len(key)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -162,6 +188,8 @@ def shard_links(key: np.ndarray, side: np.ndarray, points: _Shard) -> tuple[np.n
             else:
                 links += points.across(places[side[begin:end] == 1], places[side[begin:end] == 2])
     a, b = (np.concatenate([x[k] for x in links]).astype(np.int64) if links else np.zeros(0, np.int64) for k in (0, 1))
+    if points.sketch is not None:
+        return points.few(a, b)
     root = _roots(n, a, b)
     moved = np.flatnonzero(root != np.arange(n))
     return moved, root[moved]
@@ -205,7 +233,8 @@ def links(points: DataFrame, radius: int = 3, most: int = 0) -> DataFrame:
     """``a`` and ``b``, nodes: links that connect exactly the points within ``radius`` bits of each other, directly or by others.
 
     ``points``: distinct ``node`` (long), one or more fingerprint columns, of which any may bring
-    two points together, and perhaps ``sketch``, packed bits of which at most ``most`` may differ.
+    two points together, and perhaps ``sketch``, packed bits of which at most ``most`` may differ; then
+    every link is a pair that was compared, and only pairs that ``SURE`` ones connect are left out.
     """
     ship(points.sparkSession)
     prints = [c for c in points.columns if c not in ("node", "sketch")]
@@ -272,13 +301,13 @@ def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(df: DataFrame, words: int, prints: int, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``node`` (hash of the text), ``fp0`` ... of single words to search by, and ``sketch`` of 64 * ``parts`` bits of the shingles."""
+    """Per row: id, ``node`` (hash of the text), ``fp0`` ... of single words to search by, and ``sketch`` of 64 * ``parts`` bits of the distinct shingles."""
     picked = df.select(f"`{id_col}`", f"`{text_col}`", F.xxhash64(f"`{text_col}`").alias("node"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps, packed = [], []
         for text in batch.column(1).to_pylist():
-            single, shingle = shingle_hashes(text, 1), shingle_hashes(text, words)
+            single, shingle = shingle_hashes(text, 1), np.unique(shingle_hashes(text, words))
             fps.append([majority(_mixed(single, k)) for k in range(prints)])
             packed.append(np.array([majority(_mixed(shingle, k)) for k in range(parts)], np.int64).tobytes())
         columns = [pa.array([f[k] for f in fps], pa.int64()) for k in range(prints)]
@@ -288,13 +317,45 @@ def sketches(df: DataFrame, words: int, prints: int, parts: int, id_col: str = "
     return map_batches(picked, run, schema)
 
 
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``shingles``, the sorted distinct hashes as packed bytes, for rows of ``node`` and ``text``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return map_batches(texts.select("node", "text"), run, "node long, shingles binary")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (``a``, ``b``) whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more, exactly.
+
+    ``texts``: ``node`` and ``text``; only those of the pairs are shuffled.
+    """
+    pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    named = settle(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    sets = settle(_shingle_sets(texts.join(bounded(named), "node", "left_semi"), words).groupBy("node").agg(F.first("shingles").alias("shingles")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(common >= similarity * (len(x) + len(y) - common))
+        return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long", text_at=2)
+
+
 def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 3, parts: int = 8, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row of least (id, text hash) stays.
 
-    Texts link if the Jaccard similarity of their shingles is ``similarity`` or more, as their
-    sketches estimate it: sets of similarity j meet at cosine 2j / (1 + j), and SimHash bits
-    differ with probability angle / pi; ``slack`` standard deviations are allowed for. The vantage-point
-    search finds the candidates by fingerprints of single words, which edits change least. Equal
+    Texts link if the Jaccard similarity of their shingle sets is ``similarity`` or more. The
+    vantage-point search finds the candidates by fingerprints of single words, which edits change
+    least; sketches of the sets thin them out (sets of similarity j meet at cosine 2j / (1 + j), and SimHash
+    bits differ with probability angle / pi; ``slack`` standard deviations are allowed for), and
+    what is left is compared exactly. Equal
     texts are one point, by a 64-bit hash. Of rows equal in id and text one stays.
     """
     marked = settle(sketches(df, words, prints, parts, id_col, text_col).withColumnRenamed(id_col, "id"))
@@ -302,7 +363,9 @@ def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, r
     points = settle(marked.groupBy("node").agg(F.min("id").alias("least"), *first))
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(64 * parts * differ + slack * np.sqrt(64 * parts * differ * (1 - differ)))
-    named = _rooted(points.withColumn("least", F.struct("least", "node")), components(links(points.drop("least"), radius, most)), "least")
+    texts = df.select(F.xxhash64(f"`{text_col}`").alias("node"), F.col(f"`{text_col}`").alias("text"))
+    linked = similar(links(points.drop("least"), radius, most), texts, words, similarity)
+    named = _rooted(points.withColumn("least", F.struct("least", "node")), components(linked), "least")
     keys = marked.select("id", "node").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n"))
     repeated = settle(keys.filter("n > 1").select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")))
     gone = settle(keys.join(named, "node").filter(~(F.col("id").eqNullSafe(F.col("least_of_root.least")) & (F.col("node") == F.col("least_of_root.node")))).select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")))
