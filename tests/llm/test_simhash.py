@@ -126,3 +126,21 @@ def test_links_are_exact_on_both_sides_of_the_bound(spark):
     left = {r.doc_id for r in S.distinct_documents(df).collect()}
     assert all(max(like(i, j) for j in sets if j != i and j // 10 == i // 10) >= 0.8 for i in set(sets) - left)
     assert len([i for i in left if i % 10 == 3]) <= 2
+
+
+def test_short_copies_are_all_found(spark, monkeypatch):
+    """Texts of 6 to 100 words, each with a word appended, one in capitals and one with a word changed, against brute force."""
+    monkeypatch.setattr(S, "FREQUENT", 3)
+    rnd = random.Random(7)
+    rows = []
+    for n in (1, 6, 7, 8, 9, 10, 12, 15, 20, 30, 40, 60, 80, 100):
+        for _ in range(8):
+            base = own_words(rnd, n)
+            other = list(base)
+            other[rnd.randrange(n)] = "changed"
+            rows += [" ".join(w) for w in (base, [*base, "more"], [w.upper() for w in base], other)]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for t in rows for w in [t.lower().split()]]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if sets[i] & sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i for i, root in plain_roots(range(len(rows)), pairs).items() if i == root}
+    got = {r.doc_id for r in S.distinct_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == want

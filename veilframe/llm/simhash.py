@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.components import components, salted_join
+from veilframe.llm.components import SALTS, components, salted_join
 from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship
 
 SEED = 42
@@ -44,6 +44,8 @@ SHARD_POINTS, LEAF = 4096, 128
 BLOCK = 1 << 15
 #: Share of a sketch's allowed differences up to which an exact comparison could not refuse a pair.
 SURE = 0.4
+#: Distinct shingles up to which a text's near copies are found exactly; documents of a shingle from which it is dealt out.
+SHORT, FREQUENT = 100, 1000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -300,20 +302,21 @@ def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketches(df: DataFrame, words: int, prints: int, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``node`` (hash of the text), ``fp0`` ... of single words to search by, and ``sketch`` of 64 * ``parts`` bits of the distinct shingles."""
+def sketches(df: DataFrame, words: int, prints: int, parts: int, short: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``node`` (hash of the text), ``fp0`` ... of single words to search by, and ``sketch`` of 64 * ``parts`` bits of the distinct shingles, and these themselves if ``short`` at most (``few``, null for others and texts without words)."""
     picked = df.select(f"`{id_col}`", f"`{text_col}`", F.xxhash64(f"`{text_col}`").alias("node"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, packed = [], []
+        fps, packed, few = [], [], []
         for text in batch.column(1).to_pylist():
             single, shingle = shingle_hashes(text, 1), np.unique(shingle_hashes(text, words))
             fps.append([majority(_mixed(single, k)) for k in range(prints)])
             packed.append(np.array([majority(_mixed(shingle, k)) for k in range(parts)], np.int64).tobytes())
+            few.append(shingle.tobytes() if 0 < len(shingle) <= short else None)
         columns = [pa.array([f[k] for f in fps], pa.int64()) for k in range(prints)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array(packed, pa.binary())], names=[id_col, "node", *[f"fp{k}" for k in range(prints)], "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array(packed, pa.binary()), pa.array(few, pa.binary())], names=[id_col, "node", *[f"fp{k}" for k in range(prints)], "sketch", "few"])
 
-    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, node long, " + "".join(f"fp{k} long, " for k in range(prints)) + "sketch binary"
+    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, node long, " + "".join(f"fp{k} long, " for k in range(prints)) + "sketch binary, few binary"
     return map_batches(picked, run, schema)
 
 
@@ -348,6 +351,33 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long", text_at=2)
 
 
+def short_pairs(points: DataFrame, similarity: float) -> DataFrame:
+    """``a`` and ``b``: all pairs of ``points`` (``node``, ``few``: packed shingle hashes) that may have the similarity; equal sets as a star.
+
+    Sets of n and m shingles of similarity j share one of the first n - ceil(j n) + 1 in any order
+    common to all; rare ones come first here, so that a shingle of many texts seldom counts.
+    """
+    known = settle(points.filter("few is not null").select("node", "few", F.min("node").over(Window.partitionBy("few")).alias("same")))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        n = np.array([len(x) for x in sets], np.int32)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["node", "n", "h"])
+
+    held = settle(map_batches(known.filter("node = same").select("node", "few"), run, "node long, n int, h long"))
+    many = settle(held.groupBy("h").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
+    first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1
+    ranked = held.join(bounded(many), "h", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "h"))).alias("all"))
+    prefix = settle(ranked.select("node", "n", F.explode(F.slice("all", 1, first)).alias("x")).select("node", "n", "x.h", "x.many").filter("many > 1"))
+    salt = F.when(F.col("many") > FREQUENT, F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.sequence(F.lit(0), F.when(F.col("many") > FREQUENT, SALTS - 1).otherwise(0))
+    left = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), "h", salt.alias("salt"))
+    right = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), "h", F.explode(salts).alias("salt"))
+    met = left.join(right, ["h", "salt"]).filter(F.col("a") < F.col("b")).filter(F.least("na", "nb") + 1e-9 >= similarity * F.greatest("na", "nb"))
+    return met.select("a", "b").unionByName(known.filter("node <> same").select(F.col("same").alias("a"), F.col("node").alias("b")))
+
+
 def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 3, parts: int = 8, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row of least (id, text hash) stays.
 
@@ -355,17 +385,19 @@ def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, r
     vantage-point search finds the candidates by fingerprints of single words, which edits change
     least; sketches of the sets thin them out (sets of similarity j meet at cosine 2j / (1 + j), and SimHash
     bits differ with probability angle / pi; ``slack`` standard deviations are allowed for), and
-    what is left is compared exactly. Equal
+    what is left is compared exactly. Few words make few bits steady: pairs of which one text has at most ``SHORT``
+    distinct shingles are found by the shingles themselves, all of them. Equal
     texts are one point, by a 64-bit hash. Of rows equal in id and text one stays.
     """
-    marked = settle(sketches(df, words, prints, parts, id_col, text_col).withColumnRenamed(id_col, "id"))
+    marked = settle(sketches(df, words, prints, parts, int(SHORT / similarity), id_col, text_col).withColumnRenamed(id_col, "id"))
     first = [F.first(c).alias(c) for c in marked.columns if c not in ("id", "node")]
     points = settle(marked.groupBy("node").agg(F.min("id").alias("least"), *first))
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(64 * parts * differ + slack * np.sqrt(64 * parts * differ * (1 - differ)))
     texts = df.select(F.xxhash64(f"`{text_col}`").alias("node"), F.col(f"`{text_col}`").alias("text"))
-    linked = similar(links(points.drop("least"), radius, most), texts, words, similarity)
-    named = _rooted(points.withColumn("least", F.struct("least", "node")), components(linked), "least")
+    near = links(points.drop("least", "few"), radius, most).unionByName(short_pairs(points, similarity))
+    linked = similar(near, texts, words, similarity)
+    named = _rooted(points.select("node", F.struct("least", "node").alias("least")), components(linked), "least")
     keys = marked.select("id", "node").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n"))
     repeated = settle(keys.filter("n > 1").select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")))
     gone = settle(keys.join(named, "node").filter(~(F.col("id").eqNullSafe(F.col("least_of_root.least")) & (F.col("node") == F.col("least_of_root.node")))).select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")))
