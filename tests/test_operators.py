@@ -134,3 +134,21 @@ def test_grids(spark):
     assert privacy.epsilon_grid(spark, 1.0, 30.0, 0.1).count() == 290
     with pytest.raises(ValueError):
         privacy.post_process(privacy.epsilon_grid(spark, 1, 2, 1), "median")
+
+
+def test_the_registered_simulation_makes_the_references_draws(spark, sf_dir, monkeypatch):
+    import inspect
+
+    from veilframe.plans import catalog
+
+    real, made = privacy.mean_error_simulated, []
+
+    def seen(*args, **named):
+        bound = inspect.signature(real).bind(*args, **named)
+        bound.apply_defaults()
+        made.append(bound.arguments["draws"])
+        return real(*args, **named)
+
+    monkeypatch.setattr(catalog.privacy, "mean_error_simulated", seen)
+    catalog.med_mean_mae_mc(spark, sf_dir)
+    assert made == [1_000_000]

@@ -173,7 +173,7 @@ def med_mean_mae_analytic(spark, d):
 
 def med_mean_mae_mc(spark, d):
     means = aggregates.category_mean(_days(spark, d), "l_returnflag", "days", DAYS_MOST)
-    return privacy.mean_error_simulated(means, _medical_grid(spark), DAYS_MOST, draws=10_000, seed=7)
+    return privacy.mean_error_simulated(means, _medical_grid(spark), DAYS_MOST, seed=7)
 
 
 def normalized_mae(spark, d):
