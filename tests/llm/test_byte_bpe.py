@@ -46,6 +46,26 @@ def test_a_full_state_table_changes_nothing(monkeypatch):
     assert small.encode_packed(text) == CODEC.encode_packed(text)
 
 
+def test_tables_trimmed_again_and_again(monkeypatch):
+    for name, value in (("MAX_STATES", 50), ("MAX_WORDS", 4), ("SIDE_BYTES", 16), ("BLOCK_PIECES", 5), ("LONG_TEXT", 200), ("LONG_PIECE", 12), ("HELD_BYTES", 300)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    small, rnd = byte_bpe.Codec(RAW, P.PATTERN), random.Random(3)
+    for _ in range(20):
+        text = " ".join("".join(rnd.choice("etaoinshrdé") for _ in range(rnd.randint(1, 30))) for _ in range(rnd.randint(0, 60))) + "ab" * rnd.randint(0, 2000)
+        texts = [text, None, "", text[:50]]
+        assert small.encode_texts(texts) == CODEC.encode_texts(texts)
+        assert len(small.words) <= 4 and len(small.transducer._content) <= 1000
+
+
+def test_fits_is_what_merging_both_gives():
+    t, rnd = CODEC.transducer, random.Random(5)
+    ids_ = sorted(t.entries)
+    for n in (300, 3000, len(ids_)):
+        for a, b in ((rnd.choice(ids_[:n]), rnd.choice(ids_[:n])) for _ in range(1500)):
+            pair = [t.entries[a], t.entries[b]]
+            assert t.fits(a, b) == (t._merged(b"".join(pair), len(t.length)) == pair)
+
+
 @given(st.binary(max_size=40), st.lists(st.integers(1, 5)))
 def test_utf8_machine_gives_what_one_call_gives(data, cuts):
     machine, out, at = byte_bpe.Utf8Machine(), "", 0
