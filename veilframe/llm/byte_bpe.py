@@ -38,9 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from veilframe.llm.shipping import keep, map_batches
 
 #: States of the transducer and memorised words that a worker keeps, for flat memory; results don't depend on them.
-MAX_STATES, MAX_WORDS = 300_000, 250_000
+MAX_STATES, MAX_WORDS = 150_000, 150_000
 #: Pieces encoded at a time, bytes of new ones that go side by side, and bytes from which a piece is read on its own and not kept.
-BLOCK_PIECES, SIDE_BYTES, LONG_PIECE = 1 << 18, 1 << 18, 256
+BLOCK_PIECES, SIDE_BYTES, LONG_PIECE = 1 << 16, 1 << 17, 256
 #: Bytes of a long piece after which what is settled is emitted, a few times the longest entry.
 HELD_BYTES = 4096
 #: Characters from which a text's pieces are not held all together, and ids that a decoder turns into text at a time.
@@ -80,7 +80,7 @@ class _Moves:
         if 2 * (self.n + len(keys)) > len(self.keys):
             old = np.flatnonzero(self.keys != _FREE)
             keys, to, token = np.concatenate([self.keys[old], keys]), np.concatenate([self.next[old], to]), np.concatenate([self.token[old], token])
-            self.__init__(1 << (4 * len(keys)).bit_length())
+            self.__init__(1 << (3 * len(keys)).bit_length())
         self.n += len(keys)
         at, left = self._home(keys), np.arange(len(keys))
         while len(left):
@@ -103,7 +103,7 @@ class Transducer:
         self.length = np.zeros(max(self.entries) + 1, np.int64)
         self.length[list(self.entries)] = [len(b) for b in self.entries.values()]
         self._made_of: dict[int, tuple[int, ...]] = {}
-        self._fits: dict[tuple[int | None, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._starts: dict[tuple, tuple] = {}  # equal pairs are one object
         self._states: dict[tuple, int] = {}  # (bytes since the earliest start, starts) -> number
         self._content: list[tuple] = []
@@ -140,8 +140,6 @@ class Transducer:
         self._moves, self._near = _Moves(), {}
         self._moves.add(keys, to[both].astype(np.int32), token[both])
         self._starts.clear()
-        if len(self._fits) > MAX_STATES:
-            self._fits.clear()
 
     def _merged(self, data: bytes, below: int) -> list[bytes]:
         """The parts left when the pair of lowest rank is joined until none is under ``below``; for a few bytes only."""
@@ -171,9 +169,12 @@ class Transducer:
 
     def fits(self, left: int | None, right: int) -> bool:
         """Walk back through the making of both along their boundary; ranks are the times at which parts are joined."""
-        known = self._fits.get((left, right))
+        pair = (-1 if left is None else left) << 32 | right
+        known = self._fits.get(pair)
         if known is None:
-            known = self._fits[left, right] = self._reached(right) and (left is None or self._reached(left) and self._apart(left, right))
+            if len(self._fits) > MAX_STATES // 2:
+                self._fits.clear()
+            known = self._fits[pair] = self._reached(right) and (left is None or self._reached(left) and self._apart(left, right))
         return known
 
     def _apart(self, x: int, y: int) -> bool:
