@@ -19,8 +19,12 @@ def accumulate(df: DataFrame, value: str, keys: Sequence[str] = GRAIN) -> DataFr
         F.coalesce(F.sum(v.cast("double")), F.lit(0.0)).alias("output_attribute_sum"), F.count(v).alias("output_attribute_count"), F.max(v).alias("output_attribute_max"))
 
 
-def supported(grain: DataFrame, per_day: int, tile: str = "HAT", date: str = "Date") -> DataFrame:
-    """Rows of tiles whose plates, counted per day and summed, reach ``per_day`` times the number of days in the frame."""
+def supported(grain: DataFrame, per_day: float, tile: str = "HAT", date: str = "Date") -> DataFrame:
+    """Rows of tiles whose plates, counted per day and summed, reach ``per_day`` times the number of days in the frame.
+
+    The grain is read three times, so it is persisted, lazily and on disk beyond memory: raw rows are scanned once.
+    """
+    grain = grain.persist()
     days = grain.agg((F.count_distinct(date) * per_day).alias("least"))
     kept = grain.groupBy(tile).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(days), F.col("n") >= F.col("least")).select(tile)  # one row of days
     return grain.join(kept, tile, "left_semi")

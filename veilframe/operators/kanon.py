@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.columns import bin_label
@@ -16,10 +16,15 @@ def width_table(hist: DataFrame, k: int, value: str, least: int = 0) -> DataFram
     or k is the total, the width is mx. If none does it is mx + 1. A k beyond the total, or below 1,
     gives -1.
     """
-    at = hist.select((F.col(f"`{value}`") - least).alias("a"), F.col("Count").alias("n"))
+    at = hist.select((F.col(f"`{value}`") - least).cast("long").alias("a"), F.col("Count").alias("n"))
     whole = at.agg(F.max("a").alias("mx"), F.sum("n").alias("total"))
     tries = whole.select("mx", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mx") + 1)).alias("r"))
-    bins = tries.filter("r <= mx").join(at.filter("a >= 1")).groupBy("r", F.least(F.expr("(a - 1) div r"), F.expr("mx div r - 1")).alias("bin")).agg(F.sum("n").alias("c"))
+    # running sums over the domain, a row per value: a bin of any width is the difference of two, mx ln mx bins in all
+    domain = whole.select(F.explode(F.sequence(F.lit(0).cast("long"), "mx")).alias("a")).join(at.filter("a >= 1").groupBy("a").agg(F.sum("n").alias("n")), "a", "left")
+    upto = domain.select("a", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    edges = tries.filter("r <= mx").select("mx", "r", F.explode(F.expr("sequence(0L, mx div r - 1)")).alias("bin")).select(
+        "r", (F.col("bin") * F.col("r")).alias("low"), F.when(F.col("bin") == F.expr("mx div r - 1"), F.col("mx")).otherwise((F.col("bin") + 1) * F.col("r")).alias("high"))
+    bins = edges.join(upto.toDF("low", "before"), "low").join(upto.toDF("high", "upto"), "high").select("r", (F.col("upto") - F.col("before")).alias("c"))
     bad = bins.filter((F.col("c") > 0) & (F.col("c") < k)).select("r").distinct()
     first = tries.join(bad, "r", "left_anti").agg(F.min("r").alias("w"))
     return whole.join(first).select(

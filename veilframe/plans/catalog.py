@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import aggregates, kanon, privacy, transforms
 
-FIRST_HOUR, LAST_HOUR, EVENTS_PER_DAY, THRESHOLD, LEAST, MOST, EPSILON, STEP = 9, 20, 7, 60.0, 0.0, 65.0, 2.0, 0.1
+FIRST_HOUR, LAST_HOUR, THRESHOLD, LEAST, MOST, EPSILON, STEP = 9, 20, 60.0, 0.0, 65.0, 2.0, 0.1
+#: Plates a day that a tile needs, for each event of the table: the tables differ in users, and a fixed bound would keep all tiles of one and none of another.
+PER_DAY_AND_EVENT = 0.00065
 DAYS_MOST, K, AGE_LEAST, AGE_MOST = 8.0, 200, 0, 51
 
 
@@ -34,7 +36,7 @@ def _grain(spark, d):
 
 
 def _supported(spark, d):
-    return aggregates.supported(_grain(spark, d), EVENTS_PER_DAY)
+    return aggregates.supported(_grain(spark, d), PER_DAY_AND_EVENT * _table(spark, d, "events").count())  # the count is in the files' footers
 
 
 def _means(spark, d):
@@ -100,11 +102,11 @@ def st_event_filter(spark, d):
 
 
 def st_mean_query(spark, d):
-    return _rounded(aggregates.mean_query(_grain(spark, d)), "sum_of_sums", "query_output")
+    return _rounded(aggregates.mean_query(_supported(spark, d)), "sum_of_sums", "query_output")
 
 
 def st_count_query(spark, d):
-    return _rounded(aggregates.count_query(_grain(spark, d), THRESHOLD), "query_output")
+    return _rounded(aggregates.count_query(_supported(spark, d), THRESHOLD), "query_output")
 
 
 def st_time_range(spark, d):
@@ -193,30 +195,46 @@ def k_width(spark, d):
     return kanon.width_table(_ages(spark, d), K, "p_size").select(F.lit(K).alias("k"), "width")
 
 
-def k_assign_full(spark, d, strict=False):
-    bins = kanon.width_table(_ages(spark, d), K, "p_size").first()["width"]
-    return kanon.assign(_table(spark, d, "part", "p_partkey", "p_size"), "p_size", max(bins, 1), AGE_LEAST, AGE_MOST, strict).withColumnRenamed("p_size Bin", "bin")
+def k_unattainable(spark, d):
+    """A k beyond the whole table: no width, and nothing to publish."""
+    total = _table(spark, d, "part").count()
+    return kanon.width_table(_ages(spark, d), total + 1, "p_size").select("width").join(_assigned(spark, d, total + 1, True).agg(F.count(F.lit(1)).alias("published")))  # one row each
+
+
+def _assigned(spark, d, k=K, strict=False):
+    """Nothing is published where no width makes groups of k."""
+    bins, rows = kanon.width_table(_ages(spark, d), k, "p_size").first()["width"], _table(spark, d, "part", "p_partkey", "p_size")
+    return kanon.assign(rows if bins > 0 else rows.limit(0), "p_size", max(bins, 1), AGE_LEAST, AGE_MOST, strict).withColumnRenamed("p_size Bin", "bin")
+
+
+def k_assign_full(spark, d):
+    return _assigned(spark, d)
 
 
 def k_assign_strict(spark, d):
-    return k_assign_full(spark, d, strict=True)
+    return _assigned(spark, d, strict=True)
+
+
+def k_strict_sizes(spark, d):
+    """Rows by strict bin at a tenth of k, where the last bin takes what its width leaves over: none is smaller than that."""
+    return _assigned(spark, d, K // 10, True).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def k_assign_counts(spark, d):
-    bins = kanon.width_table(_ages(spark, d), K, "p_size").first()["width"]
-    return kanon.assign(_ages(spark, d), "p_size", max(bins, 1), AGE_LEAST, AGE_MOST, keep=True).withColumnRenamed("p_size Bin", "bin")
+    bins, ages = kanon.width_table(_ages(spark, d), K, "p_size").first()["width"], _ages(spark, d)
+    return kanon.assign(ages if bins > 0 else ages.limit(0), "p_size", max(bins, 1), AGE_LEAST, AGE_MOST, keep=True).withColumnRenamed("p_size Bin", "bin")
 
 
 QUERIES = {f.__name__: f for f in (
     suppress, pseudonymize, suppress_pseudonymize, dedup_keep_first, dedup_arrays_aside, temporal_generalize, temporal_filter, hat_create, coords_parse,
     st_accumulate, st_event_filter, st_mean_query, st_count_query, st_time_range, st_sensitivity, st_eps_table, st_eps_table_avg, st_count_eps_table,
     st_dp_mean, st_dp_count, med_count_query, med_mean_query, med_dp_count, med_dp_mean, med_count_eps_table, med_mean_mae_analytic, med_mean_mae_mc,
-    normalized_mae, age_histogram, k_width, k_assign_full, k_assign_counts, k_assign_strict)}
+    normalized_mae, age_histogram, k_width, k_assign_full, k_assign_counts, k_assign_strict, k_strict_sizes, k_unattainable)}
 
 _G = """o AS (SELECT CAST(event_id AS VARCHAR) AS trip_id, CAST(user_id AS VARCHAR) AS license_plate, ts, value AS speed, CAST(hour(ts) AS INT) AS slot,
   CAST(hour(ts) AS VARCHAR) || ' ' || CAST(user_id % 2 AS VARCHAR) AS HAT, CAST(ts AS DATE) AS Date FROM events),
 g AS (SELECT HAT, Date, license_plate, coalesce(sum(speed), 0) AS s, count(speed) AS c, max(speed) AS m FROM o WHERE slot BETWEEN 9 AND 20 GROUP BY ALL),
-f AS (SELECT * FROM g WHERE HAT IN (SELECT HAT FROM g GROUP BY HAT HAVING count(*) >= 7 * (SELECT count(DISTINCT Date) FROM g)))"""
+f AS (SELECT * FROM g WHERE HAT IN (SELECT HAT FROM g GROUP BY HAT HAVING count(*) >= (SELECT count(*) FROM events) * 0.00065::DOUBLE * (SELECT count(DISTINCT Date) FROM g)))"""
 _MEANS = """(SELECT HAT, CAST(sum(c) AS BIGINT) AS sum_of_counts, sum(s) AS sum_of_sums, CAST(max(c) AS BIGINT) AS max_of_sum_of_counts_per_lp,
   sum(s) / sum(c) AS query_output, max(c) * 65.0 / sum(c) AS sensitivity FROM (SELECT HAT, license_plate, sum(c) AS c, sum(s) AS s FROM {0} GROUP BY ALL) GROUP BY HAT)"""
 _COUNTS = "(SELECT HAT, avg(n) AS query_output FROM (SELECT HAT, Date, count(*) FILTER (m > 60) AS n FROM {0} GROUP BY ALL) GROUP BY HAT)"
@@ -227,10 +245,15 @@ _DAYS = """(SELECT l_returnflag, CAST(sum(least(v, 8)) AS DOUBLE) AS s, count(v)
   WHERE v IS DISTINCT FROM 0 GROUP BY 1)"""
 _POSITIVE = "(SELECT c_nationkey, count(*) AS q FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1)"
 _HIST = "h AS (SELECT i AS a, count(p_size) AS n FROM range(50) t(i) LEFT JOIN part ON p_size = i GROUP BY 1)"
-_WIDTH = _HIST + """, whole AS (SELECT max(a) AS mx, sum(n) AS total FROM h), r AS (SELECT unnest(range(1, 51)) AS r),
+
+def _width(k: int) -> str:
+    return _HIST + f""", whole AS (SELECT max(a) AS mx, sum(n) AS total FROM h), r AS (SELECT unnest(range(1, 51)) AS r),
 b AS (SELECT r, least((a - 1) // r, 49 // r - 1) AS bin, sum(n) AS c FROM h, r WHERE a >= 1 AND r <= 49 GROUP BY ALL),
-w AS (SELECT min(r) AS w FROM r WHERE r NOT IN (SELECT r FROM b WHERE c > 0 AND c < 200)),
-k AS (SELECT CAST(CASE WHEN 200 > total THEN -1 WHEN 200 = total OR 49 // w = 1 THEN 49 ELSE w END AS BIGINT) AS width FROM whole, w)"""
+w AS (SELECT min(r) AS w FROM r WHERE r NOT IN (SELECT r FROM b WHERE c > 0 AND c < {k})),
+k AS (SELECT CAST(CASE WHEN {k} > total THEN -1 WHEN {k} = total OR 49 // w = 1 THEN 49 ELSE w END AS BIGINT) AS width FROM whole, w)"""
+
+
+_WIDTH = _width(200)
 
 
 def _lap(key: str, scale: str, name: str = "noise") -> str:
@@ -266,8 +289,8 @@ ORACLES = {
         CAST(CAST(floor((CAST(printf('%.4f', 77.0::DOUBLE + (user_id % 7) * 0.013::DOUBLE) AS DOUBLE) + 180.0) / {_SIDE}::DOUBLE) AS BIGINT) AS VARCHAR) AS cell FROM events""",
     "st_accumulate": f"WITH {_G} SELECT HAT, Date, license_plate, round(s, 6) AS output_attribute_sum, c AS output_attribute_count, m AS output_attribute_max FROM g",
     "st_event_filter": f"WITH {_G} SELECT HAT, Date, license_plate, c AS output_attribute_count FROM f",
-    "st_mean_query": f"WITH {_G} SELECT HAT, sum_of_counts, round(sum_of_sums, 6) AS sum_of_sums, max_of_sum_of_counts_per_lp, round(query_output, 6) AS query_output FROM {_MEANS.format('g')}",
-    "st_count_query": f"WITH {_G} SELECT HAT, round(query_output, 6) AS query_output FROM {_COUNTS.format('g')}",
+    "st_mean_query": f"WITH {_G} SELECT HAT, sum_of_counts, round(sum_of_sums, 6) AS sum_of_sums, max_of_sum_of_counts_per_lp, round(query_output, 6) AS query_output FROM {_MEANS.format('f')}",
+    "st_count_query": f"WITH {_G} SELECT HAT, round(query_output, 6) AS query_output FROM {_COUNTS.format('f')}",
     "st_time_range": f"WITH {_G} SELECT CAST(date_diff('day', min(Date), max(Date)) + 1 AS BIGINT) AS time_range FROM g",
     "st_sensitivity": f"WITH {_G} SELECT HAT, round(CAST(sensitivity AS DOUBLE), 6) AS sensitivity FROM {_MEANS.format('f')}",
     "st_eps_table": f"WITH {_G} SELECT HAT, epsilon, round(CAST(sensitivity AS DOUBLE) / epsilon, 6) AS b FROM {_MEANS.format('f')}, {_E}",
@@ -286,7 +309,9 @@ ORACLES = {
     "normalized_mae": f"WITH {_G} SELECT epsilon, round(avg(CAST(sensitivity AS DOUBLE) / epsilon / query_output), 6) AS normalized_mae FROM {_MEANS.format('f')}, {_E} GROUP BY 1",
     "age_histogram": f"WITH {_HIST} SELECT a AS p_size, n AS Count FROM h",
     "k_width": f"WITH {_WIDTH} SELECT 200 AS k, width FROM k",
-    "k_assign_full": f"WITH {_WIDTH} SELECT p_partkey, {_bin(False)} AS bin FROM part, (SELECT greatest(width, 1) AS width FROM k)",
-    "k_assign_strict": f"WITH {_WIDTH} SELECT p_partkey, {_bin(True)} AS bin FROM part, (SELECT greatest(width, 1) AS width FROM k)",
-    "k_assign_counts": f"WITH {_WIDTH} SELECT p_size, n AS Count, {_bin(False)} AS bin FROM (SELECT a AS p_size, n FROM h), (SELECT greatest(width, 1) AS width FROM k)",
+    "k_assign_full": f"WITH {_WIDTH} SELECT p_partkey, {_bin(False)} AS bin FROM part, (SELECT width FROM k WHERE width > 0)",
+    "k_assign_strict": f"WITH {_WIDTH} SELECT p_partkey, {_bin(True)} AS bin FROM part, (SELECT width FROM k WHERE width > 0)",
+    "k_assign_counts": f"WITH {_WIDTH} SELECT p_size, n AS Count, {_bin(False)} AS bin FROM (SELECT a AS p_size, n FROM h), (SELECT width FROM k WHERE width > 0)",
+    "k_strict_sizes": f"WITH {_width(20)} SELECT bin, count(*) AS n FROM (SELECT {_bin(True)} AS bin FROM part, (SELECT width FROM k WHERE width > 0)) GROUP BY 1",
+    "k_unattainable": "SELECT CAST(-1 AS BIGINT) AS width, CAST(0 AS BIGINT) AS published",
 }
