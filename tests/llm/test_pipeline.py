@@ -48,22 +48,46 @@ def test_classifier_keeps_what_a_plain_score_keeps(spark, sf_dir, staged):
     assert texts(staged[1]) == {i: docs[i] for i in kept}
 
 
-def test_line_dedup_is_the_plain_one(staged):
-    before, seen, want = texts(staged[1]), set(), {}
+def plain_spans(words, least):
+    """From each line with words the shortest run of ``least`` words on, and back: (first, end), by trying all."""
+    runs = set()
+    for i, n in enumerate(words):
+        if n:
+            on = next(((i, e) for e in range(i + 1, len(words) + 1) if sum(words[i:e]) >= least), None)
+            back = next(((b, i + 1) for b in range(i, -1, -1) if sum(words[b : i + 1]) >= least), None)
+            runs |= {r for r in (on, back) if r}
+    return sorted(runs)
+
+
+def plain_line_dedup(before, least=line_dedup.MIN_WORDS):
+    """Ids with unique texts: chunks and runs of lines that came before, in the order of ids and places, go."""
+    chunks_seen, runs_seen, out = set(), {}, {}
     for i in sorted(before):
-        left, cut = [], 0
-        for chunk in line_dedup.chunks(before[i]):
-            body, counts = "\n".join(chunk), [len(x.split()) for x in chunk]
-            counted = sum(n > 0 for n in counts) >= 2 or sum(counts) >= line_dedup.MIN_WORDS
-            if counted and body in seen:
-                cut += 1
-                continue
-            if counted:
-                seen.add(body)
-            left += chunk
-        if not cut or "\n".join(left).strip(" "):
-            want[i] = "\n".join(left)
-    assert texts(staged[2]) == want
+        lines = before[i].split("\n")
+        words, gone, at = [len(x.split()) for x in lines], set(), 0
+        for chunk in line_dedup.chunks(before[i]) if before[i] else []:
+            body, counts = tuple(chunk), words[at : at + len(chunk)]
+            if sum(n > 0 for n in counts) >= 2 or sum(counts) >= least:
+                if body in chunks_seen:
+                    gone |= set(range(at, at + len(chunk)))
+                chunks_seen.add(body)
+            at += len(chunk)
+        for first, end in plain_spans(words, least):
+            run = tuple(lines[first:end])
+            if run not in runs_seen:
+                runs_seen[run] = i, first
+            else:
+                doc, place = runs_seen[run]
+                gone |= set(range(max(first, place + len(run)) if doc == i else first, end))
+        left = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        if not gone or left.strip(" "):
+            out[i] = left
+    return out
+
+
+def test_line_dedup_is_the_plain_one(staged):
+    before = texts(staged[1])
+    assert texts(staged[2]) == plain_line_dedup(before)
     assert all(r.n_chars == len(r.text) for r in staged[2].collect() if r.text != before[r.doc_id])
 
 
@@ -118,3 +142,44 @@ def test_an_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.collect() == []
+
+
+def test_nulls_and_clashing_columns_in_each_stage(spark, sf_dir):
+    """Columns named as the operators' own results keep their values; null and empty texts and ids do no harm."""
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    names = ["tail_probability", "expected_grade", "n_chunks_removed", "n_lines_removed", "n_words", "n_hit", "items", "spans", "_text_hash", "fp0", "id", "key", "column 1"]
+    from pyspark.sql import functions as F
+
+    odd = spark.createDataFrame([(None, None), (7_000_001, None), (7_000_002, ""), (7_000_003, " \n "), (7_000_003, " \n ")], "doc_id long, text string")
+    docs = base.unionByName(odd, allowMissingColumns=True).select("*", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id"), F.lit(0))).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, sf_dir).collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id or 0}" for r in rows for n in names), name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert len(last) == docs.count() and all(r.n_tokens == 0 for r in last if r.doc_id in (None, 7_000_001, 7_000_002))
+
+
+def test_run_leaves_the_last_stage_only(spark, sf_dir):
+    rows = corpus_pipeline.run(spark, sf_dir)
+    assert rows.count() > 0 and rows.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+def test_each_stage_on_planted_cases(spark, sf_dir):
+    """Near copies of 0.8 and more by length and kind of edit: how many of the copies go."""
+    import random
+
+    rnd, rows, kinds = random.Random(11), [], {}
+    vocabulary, weights = [f"w{k}" for k in range(5000)], [1 / (k + 10) for k in range(5000)]
+    for n in (120, 200, 400, 800):
+        for k in range(25):
+            base, at = rnd.choices(vocabulary, weights, k=n), len(rows)
+            scattered, appended = list(base), base + rnd.choices(vocabulary, weights, k=n // 20)
+            for _ in range(max(1, n // 100)):
+                scattered[rnd.randrange(n)] = "edited"
+            rows += [(at, " ".join(base)), (at + 1, " ".join(scattered)), (at + 2, " ".join(appended)), (at + 3, " ".join(base).upper())]
+            kinds |= {at + 1: "scattered", at + 2: "appended", at + 3: "capitals"}
+    left = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()}
+    assert {i for i, _ in rows} - set(kinds) <= left
+    for kind, least in (("capitals", 1.0), ("scattered", 0.9), ("appended", 0.9)):
+        of = [i for i in kinds if kinds[i] == kind]
+        assert sum(i not in left for i in of) >= least * len(of), (kind, sum(i not in left for i in of), len(of))

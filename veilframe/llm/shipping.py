@@ -12,12 +12,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampType
 
 #: Rows of a batch given to Python are handled in pieces of about so many bytes of text, so memory stays flat.
 PIECE_BYTES = 8 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Rows, of some tens of bytes each, up to which ``bounded`` broadcasts.
-BROADCAST_ROWS = 300_000
+#: Rows, and bytes of all their values, up to which ``bounded`` broadcasts.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -95,12 +96,25 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def folder_for(spark: SparkSession) -> str:
+    """The shared place that the cluster names. Where none is named, a temporary folder if all tasks run on this machine (tests, notebooks); an error elsewhere."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="veilframe-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own, by whatever file system holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared_folder(spark: SparkSession) -> None:
-    """Leave the cluster's spark.checkpoint.dir alone; set a folder of our own only where none is named (tests, notebooks)."""
+    """Leave the cluster's checkpoint folder alone; set one only where none is set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-checkpoints-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder_for(spark))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -110,8 +124,12 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """A checkpointed table of narrow rows, marked for broadcast if a count proves it small; beyond, joins shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A checkpointed table, marked for broadcast if its counted rows and bytes prove it small; beyond, joins shuffle."""
+    wide = [f.name for f in df.schema if not isinstance(f.dataType, (NumericType, BooleanType, DateType, TimestampType, StringType, BinaryType))]
+    plain_bytes = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    size = F.lit(16 * len(df.columns)) + sum(plain_bytes, F.lit(0)) + (F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide]))) if wide else 0)
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= BROADCAST_ROWS and (found["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:

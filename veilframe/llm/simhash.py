@@ -6,13 +6,15 @@ of the shingles have it. Texts without words, null ones included, have fingerpri
 
 Search for all pairs within ``radius`` bits, exactly:
 
-* A pair at most r bits apart differs in at most r of r + 1 blocks, so it agrees on one. Tree
-  number t ranks points by Hamming distance within block t; at bound zero its first level has
-  one branch for each block value, and no pair of tree t crosses branches.
-* A branch of more than ``SHARD_POINTS`` points is partitioned by whole Hamming distance from a
-  vantage point of its own, into rings. By the triangle inequality, points of rings more than r
-  apart are more than r apart themselves; so a ring, in pieces of about ``SHARD_POINTS``, is
-  sent only to the shards that pair it with a ring within r of it.
+* Two trees. A pair at most r bits apart is at most r // 2 apart in the lower or in the upper
+  half of its bits: tree t tells points apart by Hamming distance within half t, where distances
+  spread wider against so small a bound than whole ones do against r.
+* Cells of more than ``SHARD_POINTS`` points are divided in Spark by vantage points of their own,
+  ``AXES`` at a time, each at the median distance of the cell: inner and outer points. By the triangle
+  inequality no pair crosses but between points that lie within the bound of that boundary, so of the
+  outer points only these are sent to the inner side as well. Every third round, and where a half no longer tells
+  points apart, whole distances are used, with r itself as the bound.
+* A cell that neither divides, a dense ball, is dealt out in pieces, and each pair of pieces is a shard.
 * Within a shard a local tree splits at the median distance from its vantage point, and only
   the points within r of that boundary are compared across it.
 
@@ -38,12 +40,16 @@ from veilframe.llm.components import SALTS, components, salted_join
 from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship
 
 SEED = 42
-#: Points of a shard; larger branches are divided by vantage rings. A local leaf compares all its points.
+#: Points of a shard; larger cells are divided by vantage points. A local leaf compares all its points.
 SHARD_POINTS, LEAF = 4096, 128
+#: Vantage points of a cell in a round, and the share of its points that a side may keep for a division to count as one.
+AXES, KEPT = 3, 0.9
 #: Hashes whose bits are unpacked at a time.
 BLOCK = 1 << 15
 #: Share of a sketch's allowed differences up to which an exact comparison could not refuse a pair.
 SURE = 0.4
+#: A word ends a segment where its hash divides by so much; least words of a segment that counts.
+SEGMENT, SEGMENT_WORDS = 12, 8
 #: Distinct shingles up to which a text's near copies are found exactly; documents of a shingle from which it is dealt out.
 SHORT, FREQUENT = 100, 1000
 
@@ -112,10 +118,11 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Shard:
-    """Points of some shards: ``fp`` for the search and, if given, ``sketch`` (64-bit columns) to confirm what it finds."""
+    """Points of some shards: ``fp`` for the search and, if given, ``sketch`` (64-bit columns) to confirm what it finds. Points of one ``label`` are known to be connected."""
 
-    def __init__(self, fp: np.ndarray, sketch: np.ndarray | None, radius: int, most: int):
-        self.fp, self.sketch, self.radius, self.most = fp, sketch, radius, most
+    def __init__(self, fp: np.ndarray, sketch: np.ndarray | None, radius: int, most: int, label: np.ndarray | None = None):
+        self.fp, self.sketch, self.radius, self.most, self.label = fp, sketch, radius, most, label
+        self.compared = 0  # pairs whose distance was taken
 
     def confirmed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.sketch is None:
@@ -127,22 +134,27 @@ class _Shard:
         return out
 
     def few(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of confirmed pairs all that an exact comparison may yet refuse, and a spanning forest of those whose sketches leave no doubt."""
+        """Of confirmed pairs a spanning forest, of the likeliest ones as far as they go; with labels all pairs between these."""
+        if self.label is not None:
+            other = self.label[a] != self.label[b]
+            return a[other], b[other]
+        a, b = a[a != b], b[a != b]
         if not len(a):
             return a, b
         places, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         i, j = at[: len(a)], at[len(a) :]
         sure = np.concatenate([np.bitwise_count(self.sketch[a[k : k + BLOCK]] ^ self.sketch[b[k : k + BLOCK]]).sum(1, dtype=np.int64) <= self.most * SURE for k in range(0, len(a), BLOCK)])
-        sure &= i != j
-        tree = np.flatnonzero(sure)[_forest(i[sure], j[sure], len(places))] if sure.any() else np.zeros(0, np.int64)
+        tree = np.flatnonzero(sure)[_forest(i[sure], j[sure], len(places))]
         root = _roots(len(places), i[tree], j[tree])
-        kept = np.concatenate([tree, np.flatnonzero(root[i] != root[j])])
+        rest = np.flatnonzero(root[i] != root[j])
+        kept = np.concatenate([tree, rest[_forest(root[i[rest]], root[j[rest]], len(places))]])
         return a[kept], b[kept]
 
     def across(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(a), 512):
             for to in range(0, len(b), 512):
                 x, y = a[at : at + 512], b[to : to + 512]
+                self.compared += len(x) * len(y)
                 i, j = np.nonzero(np.bitwise_count(self.fp[x][:, None] ^ self.fp[y][None, :]) <= self.radius)
                 good = self.confirmed(x[i], y[j])
                 i, j = i[good], j[good]
@@ -182,6 +194,7 @@ def shard_links(key: np.ndarray, side: np.ndarray, points: _Shard) -> tuple[np.n
         i = i[np.bitwise_count(points.fp[i] ^ points.fp[i + gap]) <= points.radius]
         i = i[points.confirmed(i, i + gap)]
         links.append((i, i + gap))
+        points.compared += int(small[gap:].sum())
     for begin, end in zip(begins, ends):
         if not small[begin]:
             places = np.arange(begin, end)
@@ -197,53 +210,93 @@ def shard_links(key: np.ndarray, side: np.ndarray, points: _Shard) -> tuple[np.n
     return moved, root[moved]
 
 
+def _distance(fp, vantage, whole: bool):
+    """Hamming distance of the tree's half of the bits, or of all."""
+    differ = fp.bitwiseXOR(vantage)
+    half = F.when(F.col("tree") % 2 == 0, differ.bitwiseAND(F.lit((1 << 32) - 1))).otherwise(F.shiftrightunsigned(differ, 32))
+    return F.bit_count(differ if whole else half)
+
+
+def _large(rows: DataFrame) -> DataFrame:
+    """The open cells of more than ``SHARD_POINTS`` points: their size and vantage points, members of the cell."""
+    return settle(rows.filter("open").groupBy("tree", "cell").agg(
+        F.count(F.lit(1)).alias("n"), *[F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"v{k}") for k in range(AXES)]).filter(F.col("n") > SHARD_POINTS))
+
+
+def _crossed(sides, own):
+    """Numbers of the cells below: each of ``sides``, with each of a further division's own sides."""
+    return F.flatten(F.transform(sides, lambda s: F.transform(own, lambda x: 2 * s + x)))
+
+
+def _divided(rows: DataFrame, large: DataFrame, radius: int, whole: bool) -> DataFrame:
+    """``rows`` with the large cells divided: each point on its side of each boundary, those just outside on the inner one too."""
+    cell, bound = ["tree", "cell"], radius if whole else radius // 2
+    away = [_distance(F.col("fp"), F.col(f"v{k}"), whole) for k in range(AXES)]
+    each = rows.join(bounded(large.drop("n")), cell).select(*cell, F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), d.alias("d")) for k, d in enumerate(away)])).alias("at")).select(*cell, "at.*")
+    counts = settle(each.groupBy(*cell, "axis", "d").agg(F.count(F.lit(1)).alias("n")))  # 65 distances at most
+    axis = Window.partitionBy(*cell, "axis")
+    upto = counts.withColumn("upto", F.sum("n").over(axis.orderBy("d"))).withColumn("of", F.sum("n").over(axis))
+    middle = upto.withColumn("middle", F.min(F.when(2 * F.col("upto") >= F.col("of"), F.col("d"))).over(axis))
+    cuts = middle.groupBy(*cell, "axis").agg(
+        F.first("middle").alias("middle"), F.first("of").alias("of"), F.sum(F.when(F.col("d") <= F.col("middle") + bound, F.col("n"))).alias("inner"))
+    cuts = cuts.withColumn("cut", F.when(F.col("inner") <= KEPT * F.col("of"), F.col("middle")).otherwise(64))  # at 64 bits all are inner: no division
+    known = settle(large.drop("n").join(cuts.groupBy(*cell).agg(*[F.max(F.when(F.col("axis") == k, F.col("cut"))).alias(f"c{k}") for k in range(AXES)]), cell))
+    sides = F.array(F.lit(0))
+    for k, d in enumerate(away):
+        own = F.when(d <= F.col(f"c{k}"), F.array(F.lit(0))).when(d <= F.col(f"c{k}") + bound, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+        sides = _crossed(sides, own)
+    below = F.transform(sides, lambda s: F.concat("cell", s.cast("string")))
+    rest = [c for c in rows.columns if c not in ("cell", "open")]
+    return rows.join(bounded(known), cell, "left").select(
+        *rest, F.col("v0").isNotNull().alias("open"), F.explode(F.when(F.col("v0").isNull(), F.array("cell")).otherwise(below)).alias("cell"))
+
+
+def _in_tree(column: str, tree: int):
+    return F.transform(column, lambda x: F.struct(F.lit(tree).alias("tree"), x.alias("fp")))
+
+
 def _shards(points: DataFrame, radius: int, prints: list[str]) -> DataFrame:
     """``shard``, ``side``, ``fp`` and the other columns: each point in every shard that may hold a partner."""
-    trees = radius + 1
-    cut = [64 * t // trees for t in range(trees + 1)]
-    block = lambda c, t: F.shiftrightunsigned(c, cut[t]).bitwiseAND(F.lit((1 << (cut[t + 1] - cut[t])) - 1))
-    branch = [F.struct(F.lit(k * trees + t).alias("tree"), block(c, t).alias("value"), F.col(c).alias("fp")) for k, c in enumerate(prints) for t in range(trees)]
-    rest = [c for c in points.columns if c not in prints]
-    placed = points.select(*rest, F.explode(F.array(*branch)).alias("at")).select(*rest, "at.*")
-    large = settle(placed.groupBy("tree", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage")).filter(F.col("n") > SHARD_POINTS).drop("n"))
-    if large.isEmpty():
-        return placed.select(F.struct("tree", "value", F.lit("").alias("rings")).alias("shard"), F.lit(0).alias("side"), "fp", *rest)
-    known = placed.join(bounded(large), ["tree", "value"], "left").withColumn("ring", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))))
-    pieces = (
-        known.filter(F.col("vantage").isNotNull()).groupBy("tree", "value", "ring").agg(F.ceil(F.count(F.lit(1)) / SHARD_POINTS).cast("int").alias("k"))
-        .groupBy("tree", "value").agg(F.map_from_entries(F.collect_list(F.struct("ring", "k"))).alias("pieces"))  # 65 rings at most
-    )
-    ringed = known.join(bounded(settle(pieces)), ["tree", "value"], "left").withColumn(
-        "piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("node"), F.col("pieces")[F.col("ring")]).cast("int")))
-    own = lambda r, p: F.format_string("%02d.%06d", r, p)
-
-    def partners(r):
-        other = F.col("ring") + r
-        return F.transform(
-            F.when(F.col("pieces")[other].isNotNull(), F.sequence(F.lit(0), F.col("pieces")[other] - 1)).otherwise(F.array().cast("array<int>")),
-            lambda p: F.when((other == F.col("ring")) & (p == F.col("piece")), F.struct(own(other, p).alias("rings"), F.lit(0).alias("side"))).otherwise(F.struct(
-                F.concat_ws("-", F.array_sort(F.array(own(F.col("ring"), F.col("piece")), own(other, p)))).alias("rings"),
-                F.when(own(F.col("ring"), F.col("piece")) < own(other, p), 1).otherwise(2).alias("side"))))
-
-    whole = F.array(F.struct(F.lit("").alias("rings"), F.lit(0).alias("side")))
-    near = F.flatten(F.array(*[partners(r) for r in range(-radius, radius + 1)]))
-    return ringed.select("tree", "value", "fp", *rest, F.explode(F.when(F.col("pieces").isNull(), whole).otherwise(near)).alias("to")).select(
-        F.struct("tree", "value", "to.rings").alias("shard"), "to.side", "fp", *rest)
+    rest = [c for c in points.columns if c not in (*prints, "segments")]
+    trees = range(2 if points.limit(SHARD_POINTS + 1).count() > SHARD_POINTS else 1)  # few points are one cell, and one tree sees all
+    start = [F.struct(F.lit(2 * k + t).alias("tree"), F.col(c).alias("fp")) for k, c in enumerate(prints) for t in trees]
+    at = F.array(*start)
+    if "segments" in points.columns:  # any may meet any
+        at = F.concat(at, *[_in_tree("segments", 2 * len(prints) + t) for t in trees])
+    rows = points.select(*rest, F.explode(at).alias("at")).select(*rest, "at.*", F.lit("").alias("cell"), F.lit(True).alias("open"))
+    left: list[int] = []
+    while True:
+        large = _large(rows)
+        left.append(large.agg(F.sum("n")).first()[0] or 0)
+        if not left[-1] or len(left) > 3 and left[-1] > KEPT * left[-4]:
+            break
+        rows = _divided(rows, large, radius, len(left) % 3 == 0)
+    if not left[-1]:
+        return rows.select(F.struct("tree", "cell", F.lit("").alias("pieces")).alias("shard"), F.lit(0).alias("side"), "fp", *rest)
+    balls = large.select("tree", "cell", F.ceil(F.col("n") / SHARD_POINTS).cast("int").alias("k"))
+    dealt = rows.join(bounded(balls), ["tree", "cell"], "left").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    name = lambda p, q: F.format_string("%06d-%06d", F.least(p, q), F.greatest(p, q))
+    to = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda p: F.struct(
+        name(p, F.col("piece")).alias("pieces"), F.when(p == F.col("piece"), 0).when(F.col("piece") < p, 1).otherwise(2).alias("side")))
+    alone = F.array(F.struct(F.lit("").alias("pieces"), F.lit(0).alias("side")))
+    return dealt.select("tree", "cell", "fp", *rest, F.explode(F.when(F.col("k").isNull(), alone).otherwise(to)).alias("to")).select(
+        F.struct("tree", "cell", "to.pieces").alias("shard"), "to.side", "fp", *rest)
 
 
 def links(points: DataFrame, radius: int = 3, most: int = 0) -> DataFrame:
     """``a`` and ``b``, nodes: links that connect exactly the points within ``radius`` bits of each other, directly or by others.
 
     ``points``: distinct ``node`` (long), one or more fingerprint columns, of which any may bring
-    two points together, and perhaps ``sketch``, packed bits of which at most ``most`` may differ; then
-    every link is a pair that was compared, and only pairs that ``SURE`` ones connect are left out.
+    two points together, perhaps ``segments``, an array of more that may, and ``sketch``, packed bits of which at most ``most`` may differ; then
+    every link is a pair that was compared: a forest of them for each shard or, with a column ``label``, all
+    pairs of unequal labels.
     """
     ship(points.sparkSession)
-    prints = [c for c in points.columns if c not in ("node", "sketch")]
-    sketched = "sketch" in points.columns
+    prints = [c for c in points.columns if c not in ("node", "sketch", "label", "segments")]
+    sketched, labelled = "sketch" in points.columns, "label" in points.columns
     sharded = _shards(points, radius, prints).withColumn("key", F.xxhash64("shard"))
     dealt = sharded.repartition("key").sortWithinPartitions("key", "shard").select(
-        F.concat_ws(":", F.col("shard.tree"), F.col("shard.value"), F.col("shard.rings")).alias("shard"), "side", "fp", "node", *["sketch"] * sketched)
+        F.concat_ws(":", F.col("shard.tree"), F.col("shard.cell"), F.col("shard.pieces")).alias("shard"), "side", "fp", "node", *["sketch"] * sketched, *["label"] * labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter(__name__)
@@ -255,7 +308,7 @@ def links(points: DataFrame, radius: int = 3, most: int = 0) -> DataFrame:
             key = np.concatenate([[0], np.cumsum(change.to_numpy(zero_copy_only=False))]) if len(shard) else np.zeros(0, int)
             if sketched:
                 sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
-            a, b = shard_links(key, rows.column("side").to_numpy(), _Shard(rows.column("fp").to_numpy().view(np.uint64), sketch, radius, most))
+            a, b = shard_links(key, rows.column("side").to_numpy(), _Shard(rows.column("fp").to_numpy().view(np.uint64), sketch, radius, most, rows.column("label").to_numpy() if labelled else None))
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for batch in batches:  # whole shards at a time: the last one may go on in the next batch
@@ -302,21 +355,38 @@ def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketches(df: DataFrame, words: int, prints: int, parts: int, short: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``node`` (hash of the text), ``fp0`` ... of single words to search by, and ``sketch`` of 64 * ``parts`` bits of the distinct shingles, and these themselves if ``short`` at most (``few``, null for others and texts without words)."""
+def segment_prints(single: np.ndarray, most: int) -> list[int]:
+    """SimHashes of the ``most`` segments of least hash; ``single``: hashes of the words.
+
+    Segments begin after words that their own hashes choose, so an edit changes those it lies in and no
+    others, and texts that share most segments share some of the least ones, however long they are.
+    """
+    ends = np.flatnonzero(single % np.uint64(SEGMENT) == 0)
+    if len(ends) < 2:
+        return []
+    name, n = np.add.reduceat(_mixed(single, 99), ends + 1 - (ends + 1 == len(single)))[:-1], np.diff(ends)
+    long = np.flatnonzero(n >= SEGMENT_WORDS)
+    least = long[np.unique(_mixed(name[long], 98), return_index=True)[1][:most]]
+    return [majority(single[ends[k] + 1 : ends[k + 1] + 1]) for k in least.tolist()]
+
+
+def sketches(df: DataFrame, words: int, prints: int, parts: int, short: int, segments: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``node`` (hash of the text), ``fp0`` ... of all its words and ``segments`` of some of them to search by, and ``sketch`` of 64 * ``parts`` bits of the distinct shingles, and these themselves if ``short`` at most (``few``, null for others and texts without words)."""
     picked = df.select(f"`{id_col}`", f"`{text_col}`", F.xxhash64(f"`{text_col}`").alias("node"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, packed, few = [], [], []
+        fps, packed, few, some = [], [], [], []
         for text in batch.column(1).to_pylist():
             single, shingle = shingle_hashes(text, 1), np.unique(shingle_hashes(text, words))
             fps.append([majority(_mixed(single, k)) for k in range(prints)])
             packed.append(np.array([majority(_mixed(shingle, k)) for k in range(parts)], np.int64).tobytes())
             few.append(shingle.tobytes() if 0 < len(shingle) <= short else None)
+            some.append(segment_prints(single, segments) if len(shingle) > SHORT else [])
         columns = [pa.array([f[k] for f in fps], pa.int64()) for k in range(prints)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array(packed, pa.binary()), pa.array(few, pa.binary())], names=[id_col, "node", *[f"fp{k}" for k in range(prints)], "sketch", "few"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array(packed, pa.binary()), pa.array(few, pa.binary()), pa.array(some, pa.list_(pa.int64()))],
+                                          names=[id_col, "node", *[f"fp{k}" for k in range(prints)], "sketch", "few", "segments"])
 
-    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, node long, " + "".join(f"fp{k} long, " for k in range(prints)) + "sketch binary, few binary"
+    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, node long, " + "".join(f"fp{k} long, " for k in range(prints)) + "sketch binary, few binary, segments array<long>"
     return map_batches(picked, run, schema)
 
 
@@ -351,8 +421,8 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long", text_at=2)
 
 
-def short_pairs(points: DataFrame, similarity: float) -> DataFrame:
-    """``a`` and ``b``: all pairs of ``points`` (``node``, ``few``: packed shingle hashes) that may have the similarity; equal sets as a star.
+def _prefixes(points: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of ``points`` (``node``, ``few``: packed shingle hashes) ``node``, ``n``, ``h`` and ``many``: what decides about each distinct set, and ``same`` and ``node`` of points of equal sets.
 
     Sets of n and m shingles of similarity j share one of the first n - ceil(j n) + 1 in any order
     common to all; rare ones come first here, so that a shingle of many texts seldom counts.
@@ -370,33 +440,67 @@ def short_pairs(points: DataFrame, similarity: float) -> DataFrame:
     first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1
     ranked = held.join(bounded(many), "h", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "h"))).alias("all"))
     prefix = settle(ranked.select("node", "n", F.explode(F.slice("all", 1, first)).alias("x")).select("node", "n", "x.h", "x.many").filter("many > 1"))
+    return prefix, known.filter("node <> same").select("same", "node")
+
+
+def short_pairs(prefix: DataFrame, similarity: float, label: DataFrame | None = None) -> DataFrame:
+    """``a`` and ``b``: texts that share a shingle of their prefixes and may have the similarity.
+
+    Without labels a star for each shingle; with ``label`` (``node``, ``label``) all pairs of unequal
+    labels, from shingles of more than one label.
+    """
+    size = F.least("na", "nb") + 1e-9 >= similarity * F.greatest("na", "nb")
+    if label is None:
+        star = prefix.groupBy("h").agg(F.min(F.struct("node", "n")).alias("to"))
+        return salted_join(prefix.select("node", "n", "h"), star, "h", "node").select(F.col("to.node").alias("a"), F.col("to.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).filter(size & (F.col("a") != F.col("b"))).select("a", "b")
+    named = prefix.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = settle(named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h"))
+    named = named.join(bounded(mixed), "h", "left_semi")
     salt = F.when(F.col("many") > FREQUENT, F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.sequence(F.lit(0), F.when(F.col("many") > FREQUENT, SALTS - 1).otherwise(0))
-    left = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), "h", salt.alias("salt"))
-    right = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), "h", F.explode(salts).alias("salt"))
-    met = left.join(right, ["h", "salt"]).filter(F.col("a") < F.col("b")).filter(F.least("na", "nb") + 1e-9 >= similarity * F.greatest("na", "nb"))
-    return met.select("a", "b").unionByName(known.filter("node <> same").select(F.col("same").alias("a"), F.col("node").alias("b")))
+    left = named.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "h", salt.alias("salt"))
+    right = named.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "h", F.explode(salts).alias("salt"))
+    return left.join(right, ["h", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & size).select("a", "b")
 
 
-def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 3, parts: int = 8, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _alike(points: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, most: int) -> DataFrame:
+    """``a`` and ``b``: links that connect all texts of the similarity that the searches find.
+
+    First a forest of candidates is compared, a few for each text, which connects what a large group of
+    near copies has in common; then every candidate pair of texts that this has left apart.
+    """
+    prints = [c for c in points.columns if c.startswith("fp")]
+    prefix, equal = _prefixes(points, similarity)
+    groups = settle(points.groupBy(*prints, "sketch").agg(F.min(F.struct("node", "segments")).alias("first"), F.count(F.lit(1)).alias("n")).select(*prints, "sketch", "first.*", "n"))
+    twins = points.select("node", F.xxhash64(*prints, "sketch").alias("key")).join(
+        bounded(settle(groups.filter("n > 1").select(F.xxhash64(*prints, "sketch").alias("key"), F.col("node").alias("first")))), "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    search = groups.drop("n")
+    stars = short_pairs(prefix, similarity).unionByName(equal.toDF("a", "b")).unionByName(twins)
+    linked = settle(similar(links(search, radius, most).unionByName(stars), texts, words, similarity))
+    label = settle(components(linked).withColumnRenamed("root", "label"))
+    named = search.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = settle(links(named, radius, most).unionByName(short_pairs(prefix, similarity, label)).distinct())
+    return linked if rest.isEmpty() else settle(linked.unionByName(similar(rest, texts, words, similarity)))
+
+
+def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 2, parts: int = 8, slack: float = 2.0, segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row of least (id, text hash) stays.
 
     Texts link if the Jaccard similarity of their shingle sets is ``similarity`` or more. The
     vantage-point search finds the candidates by fingerprints of single words, which edits change
-    least; sketches of the sets thin them out (sets of similarity j meet at cosine 2j / (1 + j), and SimHash
+    least, of the whole text and of a few of its segments, which most edits leave alone; sketches of the sets thin them out (sets of similarity j meet at cosine 2j / (1 + j), and SimHash
     bits differ with probability angle / pi; ``slack`` standard deviations are allowed for), and
     what is left is compared exactly. Few words make few bits steady: pairs of which one text has at most ``SHORT``
     distinct shingles are found by the shingles themselves, all of them. Equal
     texts are one point, by a 64-bit hash. Of rows equal in id and text one stays.
     """
-    marked = settle(sketches(df, words, prints, parts, int(SHORT / similarity), id_col, text_col).withColumnRenamed(id_col, "id"))
+    marked = settle(sketches(df, words, prints, parts, int(SHORT / similarity), segments, id_col, text_col).withColumnRenamed(id_col, "id"))
     first = [F.first(c).alias(c) for c in marked.columns if c not in ("id", "node")]
     points = settle(marked.groupBy("node").agg(F.min("id").alias("least"), *first))
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(64 * parts * differ + slack * np.sqrt(64 * parts * differ * (1 - differ)))
     texts = df.select(F.xxhash64(f"`{text_col}`").alias("node"), F.col(f"`{text_col}`").alias("text"))
-    near = links(points.drop("least", "few"), radius, most).unionByName(short_pairs(points, similarity))
-    linked = similar(near, texts, words, similarity)
+    linked = _alike(points, texts, words, similarity, radius, most)
     named = _rooted(points.select("node", F.struct("least", "node").alias("least")), components(linked), "least")
     keys = marked.select("id", "node").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n"))
     repeated = settle(keys.filter("n > 1").select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")))
