@@ -53,9 +53,32 @@ def test_query_against_brute_force(spark, sf_dir):
     assert {r.doc_id: r.component_id for r in rows} == plain_roots(docs, pairs)
 
 
-@pytest.mark.parametrize("limit", [4096, 40])
-def test_links_connect_what_brute_force_connects(spark, monkeypatch, limit):
-    """A dense ball, chains and scattered points; a low limit forces vantage rings."""
+def test_boundaries_prune_and_no_pair_is_lost(spark, monkeypatch):
+    """6000 scattered points in shards of some hundreds: few of all pairs meet, within shards fewer are compared, and every close pair meets."""
+    monkeypatch.setattr(S, "SHARD_POINTS", 500)
+    rnd = random.Random(9)
+    points = sorted({signed(rnd.getrandbits(64)) for _ in range(6000)})
+    points += [signed((p ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64)) & (1 << 64) - 1) for p in points[:300]]
+    points = sorted(set(points))
+    for trees in (256, 1):
+        monkeypatch.setattr(S, "ONE_TREE", trees)
+        members = {}
+        for r in S.shards(spark.createDataFrame([(p, p) for p in points], "node long, fp long"), 3).collect():
+            members.setdefault(tuple(r.shard), set()).add(r.node)
+        sizes = [len(m) for m in members.values()]
+        assert max(sizes) <= 500 and sum(n * n for n in sizes) < 0.4 * len(points) ** 2
+        assert all(any(a in m and b in m for m in members.values()) for a, b in close_pairs(points, 3))
+        compared = 0
+        for m in members.values():
+            shard = S._Shard(np.array(sorted(m), np.int64).view(np.uint64), None, 3, 0)
+            list(shard.within(np.arange(len(m))))
+            compared += shard.compared
+        assert compared < 0.35 * len(points) ** 2
+
+
+@pytest.mark.parametrize("limit,trees", [(4096, 256), (40, 256), (40, 1)])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, limit, trees):
+    """A dense ball, chains and scattered points; a low limit forces division in Spark, by whole distances and by halves."""
     monkeypatch.setattr(S, "SHARD_POINTS", limit)
     rnd = random.Random(3)
     centre = rnd.getrandbits(64)
@@ -73,7 +96,9 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, limit):
                 x ^= 1 << b
     points |= {rnd.getrandbits(64) for _ in range(300)} | {0, (1 << 64) - 1, 7, 15}
     points = sorted(signed(p) for p in points)
-    links = S.links(spark.createDataFrame([(p, p) for p in points], "node long, fp long"), 3)
+    monkeypatch.setattr(S, "ONE_TREE", trees)
+    placed = S.shards(spark.createDataFrame([(p, p) for p in points], "node long, fp long"), 3)
+    links = S.links(placed, radius=3)
     got = {r.node: r.root for r in components(links).collect()}
     assert {p: got.get(p, p) for p in points} == plain_roots(points, close_pairs(points, 3))
 

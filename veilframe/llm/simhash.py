@@ -6,14 +6,14 @@ of the shingles have it. Texts without words, null ones included, have fingerpri
 
 Search for all pairs within ``radius`` bits, exactly:
 
-* Two trees. A pair at most r bits apart is at most r // 2 apart in the lower or in the upper
-  half of its bits: tree t tells points apart by Hamming distance within half t, where distances
-  spread wider against so small a bound than whole ones do against r.
-* Cells of more than ``SHARD_POINTS`` points are divided in Spark by vantage points of their own,
-  ``AXES`` at a time, each at the median distance of the cell: inner and outer points. By the triangle
-  inequality no pair crosses but between points that lie within the bound of that boundary, so of the
-  outer points only these are sent to the inner side as well. Every third round, and where a half no longer tells
-  points apart, whole distances are used, with r itself as the bound.
+* Cells of more than ``SHARD_POINTS`` points are divided in Spark by vantage points of their own, as
+  many of ``AXES`` at a time as their size asks for, each at the median distance of the cell: inner and outer points. By the
+  triangle inequality no pair crosses but between points that lie within r of that boundary, so of
+  the outer points only these are sent to the inner side as well.
+* That overlap is a quarter of a cell, since whole distances lie close together. Beyond ``ONE_TREE`` shards
+  two trees cost less: a pair at most r bits apart is at most r // 2 apart in the lower or in the upper half of
+  its bits, and tree t divides by distance within half t; every third round takes whole distances,
+  where a half no longer tells points apart.
 * A cell that neither divides, a dense ball, is dealt out in pieces, and each pair of pieces is a shard.
 * Within a shard a local tree splits at the median distance from its vantage point, and only
   the points within r of that boundary are compared across it.
@@ -41,7 +41,7 @@ from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship
 
 SEED = 42
 #: Points of a shard; larger cells are divided by vantage points. A local leaf compares all its points.
-SHARD_POINTS, LEAF = 4096, 128
+SHARD_POINTS, LEAF, ONE_TREE = 1 << 13, 128, 256
 #: Vantage points of a cell in a round, and the share of its points that a side may keep for a division to count as one.
 AXES, KEPT = 3, 0.9
 #: Hashes whose bits are unpacked at a time.
@@ -218,9 +218,9 @@ def _distance(fp, vantage, whole: bool):
 
 
 def _large(rows: DataFrame) -> DataFrame:
-    """The open cells of more than ``SHARD_POINTS`` points: their size and vantage points, members of the cell."""
-    return settle(rows.filter("open").groupBy("tree", "cell").agg(
-        F.count(F.lit(1)).alias("n"), *[F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"v{k}") for k in range(AXES)]).filter(F.col("n") > SHARD_POINTS))
+    """The cells of more than ``SHARD_POINTS`` points: their size and vantage points, members of the cell, by a hash that differs from that of the cell above."""
+    return settle(rows.groupBy("tree", "cell").agg(
+        F.count(F.lit(1)).alias("n"), *[F.min_by("fp", F.xxhash64("fp", F.lit(k), "cell")).alias(f"v{k}") for k in range(AXES)]).filter(F.col("n") > SHARD_POINTS))
 
 
 def _crossed(sides, own):
@@ -228,11 +228,11 @@ def _crossed(sides, own):
     return F.flatten(F.transform(sides, lambda s: F.transform(own, lambda x: 2 * s + x)))
 
 
-def _divided(rows: DataFrame, large: DataFrame, radius: int, whole: bool) -> DataFrame:
-    """``rows`` with the large cells divided: each point on its side of each boundary, those just outside on the inner one too."""
+def _divided(rows: DataFrame, large: DataFrame, radius: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of the large cells in the cells below: each point on its side of each boundary, those just outside on the inner one too. And the cells that whole distances do not divide, whose rows are left out."""
     cell, bound = ["tree", "cell"], radius if whole else radius // 2
     away = [_distance(F.col("fp"), F.col(f"v{k}"), whole) for k in range(AXES)]
-    each = rows.join(bounded(large.drop("n")), cell).select(*cell, F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), d.alias("d")) for k, d in enumerate(away)])).alias("at")).select(*cell, "at.*")
+    each = rows.join(bounded(large), cell).select(*cell, F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), d.alias("d")) for k, d in enumerate(away)])).alias("at")).select(*cell, "at.*")
     counts = settle(each.groupBy(*cell, "axis", "d").agg(F.count(F.lit(1)).alias("n")))  # 65 distances at most
     axis = Window.partitionBy(*cell, "axis")
     upto = counts.withColumn("upto", F.sum("n").over(axis.orderBy("d"))).withColumn("of", F.sum("n").over(axis))
@@ -240,62 +240,77 @@ def _divided(rows: DataFrame, large: DataFrame, radius: int, whole: bool) -> Dat
     cuts = middle.groupBy(*cell, "axis").agg(
         F.first("middle").alias("middle"), F.first("of").alias("of"), F.sum(F.when(F.col("d") <= F.col("middle") + bound, F.col("n"))).alias("inner"))
     cuts = cuts.withColumn("cut", F.when(F.col("inner") <= KEPT * F.col("of"), F.col("middle")).otherwise(64))  # at 64 bits all are inner: no division
+    cuts = cuts.withColumn("cut", F.when(F.col("of") > SHARD_POINTS * F.pow(F.lit(1.5), F.col("axis")), F.col("cut")).otherwise(64))
     known = settle(large.drop("n").join(cuts.groupBy(*cell).agg(*[F.max(F.when(F.col("axis") == k, F.col("cut"))).alias(f"c{k}") for k in range(AXES)]), cell))
+    uncut = F.least(*[F.col(f"c{k}") for k in range(AXES)]) == 64
+    stuck = known.filter(uncut if whole else F.lit(False)).select(*cell)
+    known = known.filter(~uncut) if whole else known
     sides = F.array(F.lit(0))
     for k, d in enumerate(away):
         own = F.when(d <= F.col(f"c{k}"), F.array(F.lit(0))).when(d <= F.col(f"c{k}") + bound, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
         sides = _crossed(sides, own)
     below = F.transform(sides, lambda s: F.concat("cell", s.cast("string")))
-    rest = [c for c in rows.columns if c not in ("cell", "open")]
-    return rows.join(bounded(known), cell, "left").select(
-        *rest, F.col("v0").isNotNull().alias("open"), F.explode(F.when(F.col("v0").isNull(), F.array("cell")).otherwise(below)).alias("cell"))
+    rest = [c for c in rows.columns if c != "cell"]
+    return settle(rows.join(bounded(known), cell).select(*rest, F.explode(below).alias("cell"))), stuck
 
 
 def _in_tree(column: str, tree: int):
     return F.transform(column, lambda x: F.struct(F.lit(tree).alias("tree"), x.alias("fp")))
 
 
-def _shards(points: DataFrame, radius: int, prints: list[str]) -> DataFrame:
-    """``shard``, ``side``, ``fp`` and the other columns: each point in every shard that may hold a partner."""
-    rest = [c for c in points.columns if c not in (*prints, "segments")]
-    trees = range(2 if points.limit(SHARD_POINTS + 1).count() > SHARD_POINTS else 1)  # few points are one cell, and one tree sees all
-    start = [F.struct(F.lit(2 * k + t).alias("tree"), F.col(c).alias("fp")) for k, c in enumerate(prints) for t in trees]
-    at = F.array(*start)
-    if "segments" in points.columns:  # any may meet any
+def shards(points: DataFrame, radius: int = 3) -> DataFrame:
+    """``shard``, ``side``, ``fp`` and ``node``: each point in every shard that may hold a partner.
+
+    ``points``: distinct ``node`` (long), fingerprint columns, of which any may bring two points together, each with its
+    like, and perhaps ``segments``, an array of more, any of which may meet any.
+    """
+    prints = [c for c in points.columns if c not in ("node", "segments")]
+    halves = points.limit(SHARD_POINTS * ONE_TREE + 1).count() > SHARD_POINTS * ONE_TREE
+    trees = range(2 if halves else 1)
+    at = F.array(*[F.struct(F.lit(2 * k + t).alias("tree"), F.col(c).alias("fp")) for k, c in enumerate(prints) for t in trees])
+    if "segments" in points.columns:
         at = F.concat(at, *[_in_tree("segments", 2 * len(prints) + t) for t in trees])
-    rows = points.select(*rest, F.explode(at).alias("at")).select(*rest, "at.*", F.lit("").alias("cell"), F.lit(True).alias("open"))
-    left: list[int] = []
-    while True:
-        large = _large(rows)
-        left.append(large.agg(F.sum("n")).first()[0] or 0)
-        if not left[-1] or len(left) > 3 and left[-1] > KEPT * left[-4]:
-            break
-        rows = _divided(rows, large, radius, len(left) % 3 == 0)
-    if not left[-1]:
-        return rows.select(F.struct("tree", "cell", F.lit("").alias("pieces")).alias("shard"), F.lit(0).alias("side"), "fp", *rest)
-    balls = large.select("tree", "cell", F.ceil(F.col("n") / SHARD_POINTS).cast("int").alias("k"))
-    dealt = rows.join(bounded(balls), ["tree", "cell"], "left").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    rows = points.select("node", F.explode(at).alias("at")).select("node", "at.*", F.lit("").alias("cell"))
+    alone = F.lit("").alias("pieces"), F.lit(0).alias("side")
+    done, turn = [], 0
+    while not (large := _large(rows)).isEmpty():  # a division leaves KEPT of a cell together at most
+        turn += 1
+        done.append(rows.join(bounded(large.select("tree", "cell")), ["tree", "cell"], "left_anti").select("*", *alone))
+        below, stuck = _divided(rows, large, radius, not halves or turn % 3 == 0)
+        balls = large.join(stuck, ["tree", "cell"], "left_semi")
+        if not balls.isEmpty():
+            done.append(_pieces(rows, balls))
+        rows = below
+    done.append(rows.select("*", *alone))
+    columns = [F.struct("tree", "cell", "pieces").alias("shard"), "side", "fp", "node"]
+    out = done[0].select(*columns)
+    for d in done[1:]:
+        out = out.unionByName(d.select(*columns))
+    return out
+
+
+def _pieces(rows: DataFrame, balls: DataFrame) -> DataFrame:
+    """The points of cells that do not divide, in pieces: a shard for each pair of these."""
+    sizes = balls.select("tree", "cell", F.ceil(F.col("n") / SHARD_POINTS).cast("int").alias("k"))
+    dealt = rows.join(bounded(sizes), ["tree", "cell"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     name = lambda p, q: F.format_string("%06d-%06d", F.least(p, q), F.greatest(p, q))
     to = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda p: F.struct(
         name(p, F.col("piece")).alias("pieces"), F.when(p == F.col("piece"), 0).when(F.col("piece") < p, 1).otherwise(2).alias("side")))
-    alone = F.array(F.struct(F.lit("").alias("pieces"), F.lit(0).alias("side")))
-    return dealt.select("tree", "cell", "fp", *rest, F.explode(F.when(F.col("k").isNull(), alone).otherwise(to)).alias("to")).select(
-        F.struct("tree", "cell", "to.pieces").alias("shard"), "to.side", "fp", *rest)
+    return dealt.select("node", "tree", "fp", "cell", F.explode(to).alias("to")).select("node", "tree", "fp", "cell", "to.*")
 
 
-def links(points: DataFrame, radius: int = 3, most: int = 0) -> DataFrame:
+def links(placed: DataFrame, known: DataFrame | None = None, radius: int = 3, most: int = 0) -> DataFrame:
     """``a`` and ``b``, nodes: links that connect exactly the points within ``radius`` bits of each other, directly or by others.
 
-    ``points``: distinct ``node`` (long), one or more fingerprint columns, of which any may bring
-    two points together, perhaps ``segments``, an array of more that may, and ``sketch``, packed bits of which at most ``most`` may differ; then
-    every link is a pair that was compared: a forest of them for each shard or, with a column ``label``, all
-    pairs of unequal labels.
+    ``placed``: :func:`shards`. ``known``, if given: ``node`` and ``sketch``, packed bits of which at most ``most`` may
+    differ; then every link is a pair that was compared: a forest of them for each shard or, with a column
+    ``label``, all pairs of unequal labels.
     """
-    ship(points.sparkSession)
-    prints = [c for c in points.columns if c not in ("node", "sketch", "label", "segments")]
-    sketched, labelled = "sketch" in points.columns, "label" in points.columns
-    sharded = _shards(points, radius, prints).withColumn("key", F.xxhash64("shard"))
-    dealt = sharded.repartition("key").sortWithinPartitions("key", "shard").select(
+    ship(placed.sparkSession)
+    sketched, labelled = known is not None, known is not None and "label" in known.columns
+    if known is not None:
+        placed = placed.join(known.select("node", "sketch", *["label"] * labelled), "node")
+    dealt = placed.withColumn("key", F.xxhash64("shard")).repartition("key").sortWithinPartitions("key", "shard").select(
         F.concat_ws(":", F.col("shard.tree"), F.col("shard.cell"), F.col("shard.pieces")).alias("shard"), "side", "fp", "node", *["sketch"] * sketched, *["label"] * labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +356,7 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, id_col: str
     """``id_col``, ``fingerprint`` (16 lowercase hex digits) and ``component_id``, the least id of the row's component."""
     marked = settle(fingerprints(df, words, id_col, text_col))
     points = settle(marked.groupBy(F.col("fp").alias("node")).agg(F.min(f"`{id_col}`").alias("least_id")))
-    roots = components(links(points.select("node", F.col("node").alias("fp")), radius))
+    roots = components(links(shards(points.select("node", F.col("node").alias("fp")), radius), radius=radius))
     named = _rooted(points, roots, "least_id")
     return marked.join(named, marked.fp == named.node).select(
         f"`{id_col}`", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least_of_root").alias("component_id"))
@@ -474,16 +489,16 @@ def _alike(points: DataFrame, texts: DataFrame, words: int, similarity: float, r
     groups = settle(points.groupBy(*prints, "sketch").agg(F.min(F.struct("node", "segments")).alias("first"), F.count(F.lit(1)).alias("n")).select(*prints, "sketch", "first.*", "n"))
     twins = points.select("node", F.xxhash64(*prints, "sketch").alias("key")).join(
         bounded(settle(groups.filter("n > 1").select(F.xxhash64(*prints, "sketch").alias("key"), F.col("node").alias("first")))), "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    search = groups.drop("n")
+    search, placed = groups.select("node", "sketch"), settle(shards(groups.drop("n", "sketch"), radius))
     stars = short_pairs(prefix, similarity).unionByName(equal.toDF("a", "b")).unionByName(twins)
-    linked = settle(similar(links(search, radius, most).unionByName(stars), texts, words, similarity))
+    linked = settle(similar(links(placed, search, radius, most).unionByName(stars), texts, words, similarity))
     label = settle(components(linked).withColumnRenamed("root", "label"))
     named = search.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = settle(links(named, radius, most).unionByName(short_pairs(prefix, similarity, label)).distinct())
+    rest = settle(links(placed, named, radius, most).unionByName(short_pairs(prefix, similarity, label)).distinct())
     return linked if rest.isEmpty() else settle(linked.unionByName(similar(rest, texts, words, similarity)))
 
 
-def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 2, parts: int = 8, slack: float = 2.0, segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 1, parts: int = 8, slack: float = 2.0, segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row of least (id, text hash) stays.
 
     Texts link if the Jaccard similarity of their shingle sets is ``similarity`` or more. The
