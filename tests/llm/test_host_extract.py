@@ -58,3 +58,34 @@ def test_nulls_and_repeats(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted(r.text for r in X.extract(df).collect()) == ["", "", "plain", "word", "word"]
     assert X.extract(df.limit(0)).collect() == []
+
+
+def test_text_beside_the_winning_container_stays():
+    long = BODY * 12
+    intro = f"<div class=content><p>A short lead.</p><section>{long}</section><p>And a closing.</p></div>"
+    assert X.main_text(f"<body><div class=menu>Menu</div>{intro}</body>", None) == f"A short lead. {long} And a closing."
+    post = f"<div class=post><h1>Title</h1><div class=entry-content><p>{long}</p></div></div>"
+    assert X.main_text(f"<body>{post}<div><a href=x>Another story</a></div></body>", None) == f"Title {long}"
+    two = f"<div class=text><p>Lead.</p><section>{long}</section><section>{long}</section></div>"
+    assert X.main_text(f"<body>{two}<div class=box><a href=y>Link</a></div></body>", None) == f"Lead. {long} {long}"
+
+
+def test_a_host_with_two_templates(spark):
+    long = BODY * 4
+    a, b = (lambda i: f"<body><div class=story><p>{long} {i}</p></div><div class=extra><p>Extra words.</p></div>"), (lambda i: f"<body><div class=report><p>{long} {i}</p></div><div class=extra><p>Extra words.</p></div>")
+    rows = [(i, "http://h.org/", (a if i % 3 else b)(i)) for i in range(12)] + [(12, "http://h.org/", f"<body><div class=report><p>Tiny.</p></div><div class=extra><p>{long} {long}</p></div>")]
+    got = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{long} {i}" for i in range(12)) and got[12] == "Tiny."
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    for piece in ("<a '", "<div>x", "<b></x>", "<!x", "<li>a <b>", "<x y=\"", "<p><span>a"):
+        took = []
+        for n in (4000, 32000):
+            began = time.process_time()
+            X.main_text(piece * n, None)
+            X.votes(piece * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * took[0] + 0.5, (piece, took)

@@ -2,12 +2,15 @@
 
 1. Each page is parsed into blocks of text, each under a chain of elements. Containers are scored:
    the letters of blocks that look like prose, less what stands in links, discounted by depth
-   below boilerplate. The best containers' generalised tag-class paths (digits dropped, ids left
-   out) are the page's votes, weighted by their share of the page's prose.
+   below boilerplate. All containers vote, once for each generalised tag-class path (digits dropped, ids left
+   out; a digest stands for it), with their share of the page's scores; the best one is marked.
 2. Votes are summed by host and path in Spark, partly before the shuffle, so a hot host is a few
-   rows a task; the path of most weight wins, ties by the longer share of pages, then by name.
-3. Pages are parsed again. A page with elements at its host's winning path takes these; one
-   without takes its own best container. Within them, menus, headers, footers, sidebars, notices,
+   rows a task. A host's winners are the ``TEMPLATES`` paths that were best on most pages, ties by weight, then by
+   name: a host may have several templates.
+3. Pages are parsed again. A page takes the elements at the first of its host's winning paths that it
+   has, or else its own best container. From there it climbs while the element above adds
+   paragraphs, headings or other prose, and nothing else but that: a lead, a title or a closing beside
+   the winning container. Menus, headers, footers, sidebars, notices,
    adverts, forms, scripts, styles and reader comments are left out.
 
 Blocks are joined in page order by one space, white space inside them is one space, character
@@ -17,23 +20,27 @@ The winners are a row per host: they are broadcast if a count proves them few; e
 them in a join that adaptive execution can split.
 
 Defined cases: null, empty and text-free pages give the empty text; broken mark-up is parsed as
-far as it goes, unclosed elements end with their parents; a null or odd url is a host of its own
+far as it goes, unclosed elements end with their parents, those nested deeper than ``DEEPEST`` count as
+their parent's own text; time and memory grow with the page's length, whatever it holds; a null or odd url is a host of its own
 kind, voting like others; repeated pages vote each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_right
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.shipping import bounded, map_batches, settle
 
-#: Votes of a page.
-VOTES = 3
+#: Winning paths of a host, and the depth from which elements are not told apart, as browsers have it too.
+TEMPLATES, DEEPEST = 4, 256
 #: Elements without end tags, elements that never hold text to keep, elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title nav header footer aside form button select textarea menu dialog".split())
@@ -52,8 +59,9 @@ PART = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|content)-(?:header|b
 _SPACE = re.compile(r"\s+")
 
 
-#: A comment, a tag with its quoted values, or a declaration. What looks like none of them is text.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A comment, a tag with its quoted values, or a declaration. What looks like none of them is text. A tag ends before the next "<" outside
+#: of quotes of some length, so that no start is searched from to the page's end.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"'](?=[^\"'<>]*+>))*+)>|<[!?/][^<>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Elements whose content is no mark-up.
 RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
@@ -64,11 +72,14 @@ def _attributes(written: str) -> dict[str, str]:
 
 
 class _Node:
-    __slots__ = ("_path", "link", "names", "noise", "parent", "tag")
+    __slots__ = ("_path", "article", "at", "depth", "last", "link", "names", "noise", "parent", "tag")
 
-    def __init__(self, tag: str, parent: _Node | None, attrs: dict[str, str]):
+    def __init__(self, tag: str, parent: _Node | None, attrs: dict[str, str], at: int):
         self.tag, self.parent, self._path, self.names = tag, parent, None, attrs.get("class", "")
-        self.noise = parent is not None and parent.noise or tag in SILENT and not (tag == "header" and parent is not None and parent.within("article"))
+        self.at = self.last = at  # the number of this node and of the last below it
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.article = tag == "article" or parent is not None and parent.article
+        self.noise = parent is not None and parent.noise or tag in SILENT and not (tag == "header" and parent is not None and parent.article)
         if attrs and not self.noise:
             names = " ".join(attrs[k] for k in ("class", "id", "role") if k in attrs).lower().replace("_", "-")
             hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
@@ -77,37 +88,30 @@ class _Node:
 
     @property
     def path(self) -> str:
-        """Tags and sorted classes from the root, digits dropped."""
-        unknown = []
-        for node in self.chain():
-            if node._path is not None:
-                break
+        """A digest of tags and sorted classes from the root, digits dropped."""
+        unknown, node = [], self
+        while node is not None and node._path is None:
             unknown.append(node)
+            node = node.parent
         for node in reversed(unknown):
             kinds = sorted(set(re.sub(r"\d+", "", node.names.lower()).split()))
-            node._path = (node.parent._path + ">" if node.parent else "") + ".".join([node.tag, *kinds])
+            above = node.parent._path if node.parent is not None else ""
+            node._path = hashlib.blake2b(f"{above}>{'.'.join([node.tag, *kinds])}".encode(), digest_size=12).hexdigest()
         return self._path
 
-    def within(self, tag: str) -> bool:
-        return any(n.tag == tag for n in self.chain())
-
-    def chain(self):
-        node: _Node | None = self
-        while node is not None:
-            yield node
-            node = node.parent
-
 
 class Page:
-    """``blocks``: (text, container, letters in links) in page order, boilerplate left out."""
+    """``blocks``: (text, container, letters in links, tag of the block) in page order, boilerplate left out; ``nodes`` in page order."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, _Node, int]] = []
-        self._open = _Node("#", None, {})
+        self.blocks: list[tuple[str, _Node, int, str]] = []
+        self._open = _Node("#", None, {}, 0)
+        self.nodes = [self._open]
+        self._is_open: Counter[str] = Counter()
+        self._beyond: Counter[str] = Counter()
         self._text: list[str] = []
         self._holder: _Node | None = None
-        self._linked = 0
-        at = 0
+        self._linked, self._kind, at = 0, "", 0
         while (m := _TOKEN.search(html, at)) is not None:
             if m.start() > at:
                 self._data(html[at : m.start()])
@@ -126,18 +130,29 @@ class Page:
         if at < len(html):
             self._data(html[at:])
         self._end_block()
+        for node in reversed(self.nodes):
+            if node.parent is not None and node.last > node.parent.last:
+                node.parent.last = node.last
 
     def _end_block(self) -> None:
         text = _SPACE.sub(" ", "".join(self._text)).strip()
         if text and self._holder is not None:
-            self.blocks.append((text, self._holder, self._linked))
+            self.blocks.append((text, self._holder, self._linked, self._kind))
         self._text, self._holder, self._linked = [], None, 0
 
+    def _up_to(self, node: _Node) -> None:
+        """Close all that is open below ``node``."""
+        while self._open is not node:
+            self._is_open[self._open.tag] -= 1
+            self._open = self._open.parent
+
     def _close_to(self, tags, inside=BOUNDARY) -> None:
+        if not any(self._is_open[t] for t in tags):
+            return
         node = self._open
         while node.parent is not None:
             if node.tag in tags:
-                self._open = node.parent
+                self._up_to(node.parent)
                 return
             if node.tag in inside:
                 return
@@ -150,17 +165,25 @@ class Page:
             self._close_to(CLOSES[tag], BOUNDARY - {"td", "th"} if tag in ("td", "th", "tr") else BOUNDARY)
         if tag in BLOCK:
             self._end_block()
-        if tag not in VOID:
-            self._open = _Node(tag, self._open, _attributes(written))
+        if tag in VOID:
+            return
+        if self._open.depth >= DEEPEST and tag not in SILENT:
+            self._beyond[tag] += 1
+            return
+        self._open = _Node(tag, self._open, _attributes(written), len(self.nodes))
+        self.nodes.append(self._open)
+        self._is_open[tag] += 1
 
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
             self._end_block()
-        node = self._open
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self._open = node.parent
+        if self._beyond[tag]:
+            self._beyond[tag] -= 1
+        elif self._is_open[tag]:
+            node = self._open
+            while node.tag != tag:
+                node = node.parent
+            self._up_to(node.parent)
 
     def _data(self, data: str) -> None:
         if self._open.noise:
@@ -168,7 +191,11 @@ class Page:
         if "&" in data:
             data = unescape(data)
         if self._holder is None and data.strip():
-            self._holder = next(n for n in self._open.chain() if n.tag in BOUNDARY or n.parent is None)
+            node, self._kind = self._open, ""
+            while node.parent is not None and node.tag not in BOUNDARY:
+                self._kind = self._kind or (node.tag if node.tag in BLOCK else "")
+                node = node.parent
+            self._kind, self._holder = self._kind or node.tag, node
         if self._holder is not None:
             self._text.append(data)
             if self._open.link:
@@ -179,28 +206,62 @@ class Page:
 WEIGHT, DEPTH = {"article": 2.0, "main": 1.5, "section": 1.1, "body": 0.6, "html": 0.4, "#": 0.3}, 0.9
 
 
-def containers(page: Page) -> list[tuple[float, _Node]]:
-    """Candidates by falling score: prose letters of the blocks below, fading with distance."""
-    score: dict[_Node, float] = {}
-    for text, holder, linked in page.blocks:
-        prose = max(0, len(text) - 2 * linked) * (1.0 if len(text) > 80 or text[-1:] in ".!?:…\"'" else 0.5)
-        for up, node in enumerate(holder.chain()):
-            score[node] = score.get(node, 0.0) + prose * DEPTH**up * WEIGHT.get(node.tag, 1.0)
-    return sorted(((s, n) for n, s in score.items() if n.tag in BOUNDARY or n.parent is None), key=lambda x: (-x[0], x[1].path))
+#: Elements whose text belongs to the article beside them.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption details summary".split())
 
 
-def votes(html: str | None) -> list[tuple[str, float]]:
-    found = containers(Page(html or ""))[:VOTES]
-    total = sum(s for s, _ in found) or 1.0
-    return [(node.path, s / total) for s, node in found if s > 0]
+def _prose(text: str) -> bool:
+    return len(text) > 80 or text[-1:] in ".!?:…\"'"
 
 
-def main_text(html: str | None, path: str | None) -> str:
+def containers(page: Page) -> list[tuple[float, _Node]]:
+    """Candidates by falling score: prose letters of the blocks below, fading with distance, carried up once for each element."""
+    score = [0.0] * len(page.nodes)
+    for text, holder, linked, _ in page.blocks:
+        score[holder.at] += max(0, len(text) - 2 * linked) * (1.0 if _prose(text) else 0.5)
+    for node in reversed(page.nodes[1:]):
+        score[node.parent.at] += DEPTH * score[node.at]
+    found = [(s * WEIGHT.get(n.tag, 1.0), n) for s, n in zip(score, page.nodes) if s > 0 and (n.tag in BOUNDARY or n.parent is None)]
+    return sorted(found, key=lambda x: (-x[0], x[1].path))
+
+
+def votes(html: str | None) -> list[tuple[str, float, int]]:
+    """path, share of the page's scores, and 1 for the page's best; of several elements at a path the best one speaks."""
+    found: dict[str, float] = {}
+    for score, node in containers(Page(html or "")):
+        found.setdefault(node.path, score)
+    total = sum(found.values())
+    return [(path, score / total, int(n == 0)) for n, (path, score) in enumerate(found.items())]
+
+
+def _climbed(page: Page, chosen: list[_Node]) -> list[_Node]:
+    """Up from the chosen elements as long as the ones above add text of an article and nothing else."""
+    while True:
+        above = list({n.parent.at: n.parent for n in chosen if n.parent is not None}.values())
+        if not above or len(above) > 1 or above[0].tag in ("body", "html", "#") or any(n.tag in ("article", "main") for n in chosen):
+            return chosen
+        inside = [(n.at, n.last) for n in chosen]
+        added = [b for b in page.blocks if above[0].at <= b[1].at <= above[0].last and not any(x <= b[1].at <= y for x, y in inside)]
+        if not all(2 * linked <= len(text) and (kind in TEXTUAL or _prose(text)) for text, _, linked, kind in added):
+            return chosen
+        chosen = above
+
+
+def main_text(html: str | None, paths: list[str] | None) -> str:
     page = Page(html or "")
-    at_path = {n for _, holder, _ in page.blocks for n in holder.chain() if n.path == path}
-    if not at_path:
-        at_path = {n for _, n in containers(page)[:1]}
-    return " ".join(text for text, holder, _ in page.blocks if any(n in at_path for n in holder.chain()))
+    chosen: list[_Node] = []
+    for path in paths or ():
+        if chosen := [n for n in page.nodes if not n.noise and (n.tag in BOUNDARY or n.parent is None) and n.path == path]:
+            break
+    if not any(n.at <= b[1].at <= n.last for n in chosen[:50] for b in page.blocks):
+        chosen = [n for _, n in containers(page)[:1]]
+    spans, top = [], -1
+    for n in _climbed(page, chosen):  # in page order; those inside others are covered
+        if n.at > top:
+            spans.append((n.at, n.last))
+            top = n.last
+    starts = [a for a, _ in spans]
+    return " ".join(text for text, holder, _, _ in page.blocks if (k := bisect_right(starts, holder.at)) and holder.at <= spans[k - 1][1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -209,18 +270,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     picked = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html"), F.col(f"`{url_col}`").alias("url"), host.alias("host"))
 
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(k, path, weight) for k, html in enumerate(batch.column(1).to_pylist()) for path, weight in votes(html)]
+        rows = [(k, *vote) for k, html in enumerate(batch.column(1).to_pylist()) for vote in votes(html)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array([r[0] for r in rows], pa.int32())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["host", "path", "weight"])
+            [batch.column(0).take(pa.array([r[0] for r in rows], pa.int32())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64())], names=["host", "path", "weight", "best"])
 
-    cast = map_batches(picked.select("host", "html"), vote, "host string, path string, weight double")
-    sums = cast.groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
-    winner = sums.groupBy("host").agg(F.max_by("path", F.struct("weight", "n", "path")).alias("path"))
-    joined = picked.join(bounded(settle(winner)), "host", "left")
+    cast = map_batches(picked.select("host", "html"), vote, "host string, path string, weight double, best long")
+    sums = cast.groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight"), F.sum("best").alias("best")).filter("best > 0")
+    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("best"), F.desc("weight"), "path"))).filter(F.col("rank") <= TEMPLATES)
+    winners = ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("won")).select("host", F.col("won.path").alias("paths"))
+    joined = picked.join(bounded(settle(winners)), "host", "left")
     kind, url_kind = dict(pages.dtypes)[id_col], dict(pages.dtypes)[url_col]
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
-    return map_batches(joined.select("id", "html", "url", "path"), cut, f"`{id_col}` {kind}, `{url_col}` {url_kind}, text string")
+    return map_batches(joined.select("id", "html", "url", "paths"), cut, f"`{id_col}` {kind}, `{url_col}` {url_kind}, text string")
