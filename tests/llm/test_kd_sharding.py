@@ -1,3 +1,5 @@
+import statistics
+
 import random
 import zlib
 from collections import defaultdict
@@ -45,3 +47,36 @@ def test_few_rows_nulls_and_targets(spark):
     assert K.shard(df.limit(0), 4).collect() == []
     many = spark.createDataFrame([(i, "word " * 20) for i in range(50)], "doc_id long, text string")
     assert len({r.shard for r in K.shards_for(many, 1200).collect()}) == 5
+
+
+def test_cuts_against_plain_recursion(spark):
+    """Shards, axes and all, of a small table without equal texts, by sorting."""
+    import random
+    import zlib
+
+    rnd = random.Random(4)
+    texts = ["\n".join("é日a"[i % 3] * rnd.randint(1, 60) for _ in range(rnd.randint(1, 12))) for i in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.id: r.asDict() for r in K.measured(df, "doc_id", "text").collect()}
+    for i, t in enumerate(texts):
+        assert (rows[i]["size"], rows[i]["crc"]) == (len(t.encode()) + 1, zlib.crc32(t.encode()))
+    spread = lambda ids, a: statistics.pstdev([rows[i][a] for i in ids])
+    whole, want = {a: spread(rows, a) for a in K.AXES}, {}
+
+    def split(ids, first, k, axes):
+        if k == 1:
+            want.update({i: (first, ">".join(axes)) for i in ids})
+            return
+        axis = max(K.AXES, key=lambda a: (round(spread(ids, a) / whole[a], 9), -K.AXES.index(a)))
+        order = sorted(ids, key=lambda i: (rows[i][axis], rows[i]["crc"]))
+        goal, below, n = sum(rows[i]["size"] for i in ids) * (k // 2) / k, 0, 0
+        while below + rows[order[n]]["size"] < goal:
+            below += rows[order[n]]["size"]
+            n += 1
+        n += goal - below >= rows[order[n]]["size"] / 2
+        split(order[:n], first, k // 2, [*axes, axis])
+        split(order[n:], first + k // 2, k - k // 2, [*axes, axis])
+
+    split(list(rows), 0, 6, [])
+    assert {r.doc_id: (r.shard, r.axes) for r in K.shard(df, 6).collect()} == want
+    assert len({a for _, axes in want.values() for a in axes.split(">")}) >= 2

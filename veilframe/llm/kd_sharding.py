@@ -1,14 +1,15 @@
 """Sharding by a k-d tree: nodes split at weighted medians along their widest dimension until leaves reach the target.
 
-A row's weight is its text's UTF-8 bytes plus one. Its coordinates are functions of the text:
-size, bytes per character and CRC-32; so equal texts, which form a group, have equal places.
-A node for k leaves is split for floor(k/2) and the rest, at the key where the left side has its
-share of the node's bytes. A key is a coordinate followed by the CRC-32, so cuts pass between
+A row's weight is its text's UTF-8 bytes plus one. Its coordinates are metadata that the text decides:
+size, bytes per character (its script) and lines; so equal texts, which form a group, have equal places.
+The widest dimension of a node is that whose spread is the greatest part of the whole table's, the first of equals.
+A node for k leaves, so many as its bytes are targets, is split for floor(k/2) and the rest, at the key where the left side has its
+share of the node's bytes. A key is a coordinate followed by the CRC-32, which only breaks ties, so cuts pass between
 groups; only a group of more than ``LOOSE`` of a leaf's bytes is itself cut, along hashed ids.
 
 Medians are found without sorting: all nodes narrow their brackets together, each pass one
 aggregation into ``BINS`` bins in all, to one of its bins each time. The driver holds the tree,
-a row for each shard, and the bins; what is broadcast has a row for each node. Texts are read once; later passes read narrow checkpointed tables.
+a row for each shard (up to some tens of thousands, shards of gigabytes at 100 TB), and the bins; what is broadcast has a row for each node. Texts are read once; later passes read narrow checkpointed tables.
 
 Defined cases: a null text has no bytes and weight 1, the CRC-32 of the empty text; null and
 repeated ids get slots like others; with fewer groups than leaves some shards stay empty; an
@@ -22,17 +23,17 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.shipping import bounded, settle
 
-BINS, LOOSE, SLOT_ROWS = 1 << 15, 0.002, 20_000
-AXES = ("by_size", "by_density", "by_crc")
+BINS, LOOSE = 1 << 15, 0.002
+AXES = ("by_size", "by_density", "by_lines")
 
 
 def measured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, ``size``, ``crc`` and a 31-bit coordinate for each axis."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.length(text).alias("chars"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.length(text).alias("chars"), (F.length(text) - F.length(F.replace(text, F.lit("\n")))).alias("lines"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
     unit = lambda c: F.least(F.greatest((c * (1 << 31)).cast("long"), F.lit(0)), F.lit((1 << 31) - 1))
     return rows.select(
-        "id", "size", "crc", unit(F.log2("size") / 32).alias("by_size"), unit(F.col("size") / (F.col("chars") + 1) / 5).alias("by_density"), unit(F.col("crc") / F.lit(1 << 32)).alias("by_crc"))
+        "id", "size", "crc", unit(F.log2("size") / 32).alias("by_size"), unit(F.col("size") / (F.col("chars") + 1) / 5).alias("by_density"), unit(F.log2(F.col("lines") + 1) / 32).alias("by_lines"))
 
 
 def _cuts(rows: DataFrame, goals: dict[int, tuple[float, float]]) -> dict[int, tuple[int, int, int, int, int]]:
@@ -67,12 +68,18 @@ def _cuts(rows: DataFrame, goals: dict[int, tuple[float, float]]) -> dict[int, t
     return done
 
 
-def _level(rows: DataFrame, nodes: dict[int, int]) -> DataFrame:
+def _spreads(rows: DataFrame) -> dict[str, float]:
+    """The whole table's spread along each axis, the unit of the nodes' ones."""
+    found = rows.agg(*[F.stddev_pop(a).alias(a) for a in AXES]).first()
+    return {a: found[a] or 1.0 for a in AXES}
+
+
+def _level(rows: DataFrame, nodes: dict[int, int], whole: dict[str, float]) -> DataFrame:
     """For each node of several leaves the axis and cut that halve it: node, half, axis, cut, and up to which hashed id a hot group goes left."""
     spark = rows.sparkSession
-    spread = [F.struct(F.coalesce(F.stddev_pop(a), F.lit(0.0)).alias("s"), F.lit(i).alias("axis")) for i, a in enumerate(AXES)]
+    spread = [F.struct(F.round(F.coalesce(F.stddev_pop(a), F.lit(0.0)) / whole[a], 9).alias("s"), F.lit(-i).alias("axis")) for i, a in enumerate(AXES)]
     several = spark.createDataFrame([(n,) for n, k in nodes.items() if k > 1], "node int")
-    found = rows.join(F.broadcast(several), "node").groupBy("node").agg(F.sum("size").alias("total"), F.array_max(F.array(*spread))["axis"].alias("axis")).collect()
+    found = rows.join(F.broadcast(several), "node").groupBy("node").agg(F.sum("size").alias("total"), (-F.array_max(F.array(*spread))["axis"]).alias("axis")).collect()
     axes = {r.node: r.axis for r in found}
     goals = {r.node: (r.total * (nodes[r.node] // 2) / nodes[r.node], LOOSE / 4 * r.total / nodes[r.node]) for r in found}
     chosen = spark.createDataFrame(list(axes.items()), "node int, axis int")
@@ -104,40 +111,40 @@ def _id_key() -> Column:
 
 
 def leaves(rows: DataFrame, n_leaves: int) -> DataFrame:
-    """``rows`` of :func:`measured` with ``shard``, 0 .. ``n_leaves`` - 1."""
+    """``rows`` of :func:`measured` with ``shard``, 0 .. ``n_leaves`` - 1, and ``axes``, those of the cuts down to it."""
     nodes = {0: n_leaves}  # a node is the number of its first leaf
-    rows = rows.withColumn("node", F.lit(0))
+    rows, whole = rows.withColumns({"node": F.lit(0), "axes": F.lit("")}), _spreads(rows)
     if rows.isEmpty():
         return rows.withColumnRenamed("node", "shard")
     while max(nodes.values()) > 1:
-        cuts = _level(rows, nodes)
+        cuts = _level(rows, nodes, whole)
         key = _key()
         goes = (key > F.col("cut")) | (F.col("id_cut").isNotNull() & (key == F.col("cut")) & (_id_key() > F.col("id_cut")))
-        names = [c for c in rows.columns if c != "node"]
-        rows = settle(rows.join(F.broadcast(cuts), "node", "left").select(*names, F.when(F.col("cut").isNotNull() & goes, F.col("node") + F.col("half")).otherwise(F.col("node")).alias("node")))
+        names = [c for c in rows.columns if c not in ("node", "axes")]
+        of_axis = F.element_at(F.array(*[F.lit(a) for a in AXES]), F.col("axis") + 1)
+        down = F.when(F.col("cut").isNotNull(), F.concat_ws(">", F.when(F.col("axes") != "", F.col("axes")), of_axis)).otherwise(F.col("axes")).alias("axes")
+        rows = settle(rows.join(F.broadcast(cuts), "node", "left").select(*names, down, F.when(F.col("cut").isNotNull() & goes, F.col("node") + F.col("half")).otherwise(F.col("node")).alias("node")))
         nodes = {n: k for n, k in nodes.items() if k == 1} | {m: j for n, k in nodes.items() if k > 1 for m, j in ((n, k // 2), (n + k // 2, k - k // 2))}
     return rows.withColumnRenamed("node", "shard")
 
 
 def _slots(rows: DataFrame) -> DataFrame:
-    """Gapless numbers within each shard: ranks within buckets of about SLOT_ROWS rows plus the buckets' running counts."""
-    n = max(64, rows.count() // SLOT_ROWS)
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)))
+    """Gapless numbers within each shard: ranks within the partitions of the checkpointed rows, which no key makes large, plus these partitions' running counts."""
+    dealt = settle(rows).select("*", F.spark_partition_id().alias("bucket"), F.monotonically_increasing_id().alias("place"))
     counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = settle(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "crc"))
-    ranked = dealt.withColumn("rank", rank)
-    return ranked.join(bounded(offsets), ["shard", "bucket"]).withColumn("slot", (F.col("offset") + F.col("rank") - 1).cast("long")).drop("offset", "rank", "bucket")
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("place"))
+    return dealt.withColumn("rank", rank).join(bounded(offsets), ["shard", "bucket"]).withColumn("slot", (F.col("offset") + F.col("rank") - 1).cast("long")).drop("offset", "rank", "bucket", "place")
 
 
 def shards_for(df: DataFrame, target_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`shard`, with as many leaves as bring each to ``target_bytes`` or less, on average."""
     rows = settle(measured(df, id_col, text_col))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    return _slots(leaves(rows, max(1, -(-total // target_bytes)))).select(F.col("id").alias(id_col), "size", "crc", "shard", "slot")
+    return _slots(leaves(rows, max(1, -(-total // target_bytes)))).select(F.col("id").alias(id_col), "size", "crc", "shard", "slot", "axes")
 
 
 def shard(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``size``, ``crc``, ``shard`` (int) and ``slot`` (long) for each row of ``df``."""
-    return _slots(leaves(settle(measured(df, id_col, text_col)), n_shards)).select(F.col("id").alias(id_col), "size", "crc", "shard", "slot")
+    """``id_col``, ``size``, ``crc``, ``shard`` (int), ``slot`` (long) and ``axes`` for each row of ``df``."""
+    return _slots(leaves(settle(measured(df, id_col, text_col)), n_shards)).select(F.col("id").alias(id_col), "size", "crc", "shard", "slot", "axes")

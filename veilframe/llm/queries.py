@@ -61,7 +61,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_sharding.shard(table(spark, sf_dir, "documents"), n_shards=8)
     return placed.select(
-        "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "axes")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
