@@ -1,14 +1,16 @@
 """License scans: TF-IDF cosine of licence statements to templates, then inheritance from the nearest directory above.
 
-Statements are the pieces of a text, cut at line ends and after full stops, that speak of a
-licence. Equal statements are one from then on, so a header in a third of all files costs no
+Statements are of two kinds: the pieces of a text, cut at line ends and after full stops, for licences
+named in passing, and its paragraphs, lines joined without their comment marks and cut at blank lines, for
+headers and the wording of licence files. Only those count that hold a word by which licences speak.
+Equal statements are one from then on, so a header in a third of all files costs no
 more than a rare one. Terms are runs of ASCII letters and digits, lower-cased; a term's weight is
 its count times ln((1 + n) / (1 + df)) + 1 over all distinct statements and templates. The best
-template at cosine ``LEAST`` or more names a statement's licence, the best statement a file's;
-ties go to the later name.
+template whose own least cosine is reached names a statement's licence, the best statement a file's; a reserved
+copyright yields to any licence, ties go to the later name.
 
-A licence file is one that is so called or of whose words at least half are in statements that
-matched. A file without a licence of its own takes that of the nearest directory above with a
+A licence file is one that is so called, or of whose words ``FILE_SHARE`` at least are in statements that
+matched, so that it says nothing else. A file without a licence of its own takes that of the nearest directory above with a
 licence file; directories, once each, meet their ancestors in joins on whole paths.
 
 Built-in functions only. Defined cases: null and empty texts have no statements; a null path
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.shipping import bounded, settle
 
-LEAST, FILE_SHARE = 0.5, 0.5
-MENTION = r"(?i)licen[sc]|copyright|public domain|\bCC[ -]BY|\bCC0|SPDX|rights reserved"
+LEAST, SPDX_LEAST, FILE_SHARE = 0.5, 0.9, 0.9
+MENTION = r"(?i)licen[sc]|copyright|public domain|\bCC[ -]BY|\bCC0|SPDX|rights reserved|redistribution and use|permission is hereby granted|permission to use|free software"
+#: What stands before the words of a commented line.
+MARKS = r"^[ \t\r]*(//+|#+|/\*+|\*+/?|--+|;+|%+|<!--+)?[ \t]*"
 FILE_NAME = r"(?i)^(un)?licen[sc]es?([.-].*)?$|^copying([.-].*)?$"
 #: Statements by which licences are named in headers and licence files.
 TEMPLATES = (
@@ -47,7 +51,32 @@ TEMPLATES = (
     ("MIT", "SPDX License Identifier MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
     ("Proprietary", "Copyright All rights reserved"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD style license that can be found in the LICENSE file"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
+#: SPDX identifiers, written out as they stand in files, and whose licence they are.
+SPDX = {
+    "AGPL-3.0": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "Apache-2.0": ("Apache-2.0",), "BSD-2-Clause": ("BSD-2-Clause",), "BSD-3-Clause": ("BSD-3-Clause",),
+    "CC-BY-4.0": ("CC-BY-4.0",), "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "CC-BY-SA-4.0": ("CC-BY-SA-4.0",), "CC0-1.0": ("CC0-1.0",), "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"),
+    "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"), "ISC": ("ISC",), "LGPL-3.0": ("LGPL-3.0-only", "LGPL-3.0-or-later"), "MIT": ("MIT",), "MPL-2.0": ("MPL-2.0",),
+}
+
+
+def templates() -> list[tuple[str, str, float]]:
+    """licence, statement and the least cosine at which it counts: an identifier must be the very one."""
+    said = [(name, text, SPDX_LEAST if text.startswith("SPDX") else LEAST) for name, text in TEMPLATES]
+    return said + [(name, f"SPDX-License-Identifier: {i}", SPDX_LEAST) for name, every in SPDX.items() for i in every]
 
 
 def _terms(text: Column) -> Column:
@@ -55,20 +84,30 @@ def _terms(text: Column) -> Column:
 
 
 def _pieces(text: Column) -> Column:
-    cut = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(". ")), r"\. ")
-    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: F.rlike(s, F.lit(MENTION)))
+    return F.transform(F.split(F.replace(text, F.lit("\n"), F.lit(". ")), r"\. "), lambda s: F.trim(s))
+
+
+def _paragraphs(text: Column) -> Column:
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, MARKS, ""))
+    return F.transform(F.split(F.array_join(lines, "\n"), "\n\n+"), lambda s: F.trim(F.replace(s, F.lit("\n"), F.lit(" "))))
 
 
 def statements(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``statement`` and ``n`` (its repeats) for each file and distinct statement."""
-    return files.select(F.col(f"`{id_col}`").alias("id"), F.explode(_pieces(F.col(f"`{text_col}`"))).alias("statement")).groupBy("id", "statement").agg(F.count(F.lit(1)).alias("n"))
+    """``id``, ``kind`` (0 piece, 1 paragraph), ``statement`` and ``n`` (its repeats) for each file and distinct statement."""
+    speaking = files.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.rlike("text", F.lit(MENTION)))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.filter(cut(F.col("text")), lambda s: F.rlike(s, F.lit(MENTION))).alias("of")) for k, cut in enumerate((_pieces, _paragraphs))])
+    return speaking.select("id", F.inline(kinds)).select("id", "kind", F.explode("of").alias("statement")).groupBy("id", "kind", "statement").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _order() -> list[Column]:
+    return [(F.col("license") != "Proprietary").alias("named"), F.col("score"), F.col("license")]
 
 
-def match(distinct: DataFrame, least: float = LEAST) -> DataFrame:
+def match(distinct: DataFrame) -> DataFrame:
     """``statement``, ``license`` and ``score`` of those that a template matches."""
     spark = distinct.sparkSession
-    templates = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template int, license string, statement string")
-    every = distinct.select("statement", F.lit(None).cast("int").alias("template"), F.lit(None).cast("string").alias("license")).unionByName(templates.select("statement", "template", "license"))
+    known = spark.createDataFrame([(i, *t) for i, t in enumerate(templates())], "template int, license string, statement string, least double")
+    every = distinct.select("statement", F.lit(None).cast("int").alias("template"), F.lit(None).cast("string").alias("license")).unionByName(known.select("statement", "template", "license"))
     counted = settle(every.select("*", F.explode(_terms(F.col("statement"))).alias("term")).groupBy("statement", "template", "license", "term").agg(F.count(F.lit(1)).alias("tf")))
     n = every.agg(F.count(F.lit(1)).alias("all"))
     frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", (F.ln((1 + F.col("all")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
@@ -79,17 +118,20 @@ def match(distinct: DataFrame, least: float = LEAST) -> DataFrame:
     dots = ours.join(F.broadcast(theirs), "term").groupBy("statement", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     own = norms.filter("template is null").select("statement", F.col("norm").alias("a"))
     fixed = norms.filter("template is not null").select("template", F.col("norm").alias("b"))
-    scored = dots.join(own, "statement").join(F.broadcast(fixed), "template").select("statement", "license", F.round(F.col("dot") / (F.col("a") * F.col("b")), 6).alias("score"))
-    best = scored.groupBy("statement").agg(F.max(F.struct("score", "license")).alias("best"))
-    return best.select("statement", "best.*").filter(F.col("score") >= least)
+    scored = dots.join(own, "statement").join(F.broadcast(fixed), "template").select("statement", "template", "license", F.round(F.col("dot") / (F.col("a") * F.col("b")), 6).alias("score"))
+    enough = scored.join(F.broadcast(known.select("template", "least")), "template").filter("score >= least")  # some tens of rows, fixed
+    best = enough.groupBy("statement").agg(F.max(F.struct(*_order())).alias("best"))
+    return best.select("statement", "best.license", "best.score")
 
 
 def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """``id_col``, ``license``, ``score`` (of the file's own), ``effective_license`` and ``inherited_from`` (a directory) per row."""
     said = settle(statements(files, id_col, text_col))
     known = bounded(settle(match(said.select("statement").distinct())))
+    words = F.col("n") * F.size(_terms(F.col("statement")))
     own = settle(said.join(known, "statement").groupBy("id").agg(
-        F.max(F.struct("score", "license")).alias("best"), F.sum(F.col("n") * F.size(_terms(F.col("statement")))).alias("stated")).select("id", "best.*", "stated"))
+        F.max(F.struct(*_order())).alias("best"), *[F.coalesce(F.sum(F.when(F.col("kind") == k, words)), F.lit(0)).alias(f"stated{k}") for k in (0, 1)],
+    ).select("id", "best.score", "best.license", F.greatest("stated0", "stated1").alias("stated")))
     path = F.coalesce(F.col(f"`{path_col}`"), F.lit(""))
     listed = files.select(
         F.col(f"`{id_col}`").alias("id"), F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract(path, "([^/]*)$", 1).alias("name"),
