@@ -46,7 +46,8 @@ def test_windows_against_a_plain_reading(spark):
             assert repeated == turns[done - len(repeated) : done]
             assert sum(sizes[done - len(repeated) : done]) <= C.HISTORY and len(repeated) <= C.HISTORY_TURNS
             n = len(w.turns) - w.n_repeated
-            assert n == 1 or sum(sizes[done : done + n]) <= C.BUDGET - C.HISTORY or max(sizes[done : done + n]) > (C.BUDGET - C.HISTORY) // 2
+            whole = sum(C.TURN_TOKENS + -(-len(t) // C.TOKEN_CHARS) for _, t in w.turns)
+            assert whole <= C.BUDGET or n == 1 and not repeated
             done += n
 
 
@@ -64,3 +65,14 @@ def test_odd_roles(spark, roles):
     df = spark.createDataFrame([(5, i, r, f"text {i}") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
     (r,) = C.digests(C.windows(df)).collect()
     assert r.n_turns == len(roles) and r.loss_chars == 6 * roles.count("assistant")
+
+
+def test_windows_are_filled_within_the_budget_system_turn_included(spark):
+    rnd = random.Random(8)
+    rows = [(c, t, "system" if t == 0 and c % 2 else ("user", "assistant")[t % 2], "x" * rnd.randint(0, 900 if t else 2000)) for c in range(30) for t in range(40)]
+    out = C.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("*", C.read_back(F.col("formatted")).alias("turns")).collect()
+    size = lambda turns: sum(C.TURN_TOKENS + -(-len(t.text) // C.TOKEN_CHARS) for t in turns)
+    last = {c: max(w.window for w in out if w.conv_id == c) for c in range(30)}
+    assert all(size(w.turns) <= C.BUDGET for w in out)
+    own = [size(w.turns[w.n_repeated :]) for w in out if w.window < last[w.conv_id] and w.conv_id % 2 == 0]
+    assert sum(own) / len(own) > 0.6 * (C.BUDGET - C.HISTORY)

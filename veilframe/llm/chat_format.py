@@ -4,12 +4,13 @@ A turn is written ``<s>[INST] role [/INST] text</s>``. Inside roles and texts a
 whatever number of backslashes follows its first character, gets one more there; reading back
 takes one away. So escaped text holds no control string, and the step is one to one.
 
-Windows: a turn counts ``TURN_TOKENS`` and a token for each ``TOKEN_CHARS`` characters, and
-running sums of these place it in the window of number (sum - 1) div stride, where the stride
-is half of what ``budget`` leaves beside ``history``. Turns up to a stride long so fill a window
-to the budget at most; a longer turn is kept whole. A later window begins with the
+Windows: a turn counts ``TURN_TOKENS`` and a token for each ``TOKEN_CHARS`` characters. What ``budget`` leaves
+beside ``history`` and the conversation's system turn is its room. Turns of over a third of the room
+stand alone; the others are placed by running sums since the last such turn, into slots of two thirds: a
+slot's turns, the one that reaches into it included, so fill the room at most. No window is over the budget but that of a
+single turn that is. A later window begins with the
 conversation's first turn, if that is a system turn, and with up to ``HISTORY_TURNS`` of the
-turns before its own, as far as ``history`` tokens go. Such repeated turns are under no loss:
+turns before its own, as far as ``history`` tokens, or what a turn that stands alone leaves of the budget, go. Such repeated turns are under no loss:
 each assistant text is a target once, in the window that owns its turn.
 
 Defined cases: rows are ordered by turn, then role, then text, so ties and repeated rows have
@@ -36,7 +37,6 @@ def unescape(text: Column) -> Column:
 
 def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Per window: ``id_col``, ``window``, ``formatted``, ``n_repeated`` (its leading repeated turns) and ``loss`` (character spans of targets)."""
-    stride = max(1, (budget - history) // 2)
     turns = df.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -44,21 +44,27 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, id_col:
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     placed = turns.withColumn("tokens", F.ceil(F.length("text") / TOKEN_CHARS) + TURN_TOKENS).select(
         "id", "role", "tokens", F.row_number().over(ordered).alias("place"), F.sum("tokens").over(so_far).alias("upto"),
+        (F.first("role").over(so_far) == "system").alias("is_system"), F.first("tokens").over(so_far).alias("first_tokens"),
         escape(F.col("role")).alias("marked"), escape(F.col("text")).alias("body"))
-    placed = placed.withColumn("window", ((F.col("upto") - 1) / stride).cast("long")).withColumn(
-        "piece", F.concat(F.lit(BEGIN), "marked", F.lit(MIDDLE), "body", F.lit(END)))
     by_place = Window.partitionBy("id").orderBy("place")
-    first = F.first("piece").over(by_place.rowsBetween(Window.unboundedPreceding, 0))
-    is_system = F.first("role").over(by_place.rowsBetween(Window.unboundedPreceding, 0)) == "system"
-    opens = F.coalesce(F.lag("window").over(by_place) != F.col("window"), F.lit(False))
-    known = placed.select("*", opens.alias("opens"), F.when(is_system, first).alias("system"))
+    running = by_place.rowsBetween(Window.unboundedPreceding, 0)
+    system_tokens = F.when(F.col("is_system"), F.col("first_tokens")).otherwise(0)
+    room = F.greatest(F.lit(budget - history) - system_tokens, F.lit(0))
+    placed = placed.withColumn("third", F.floor(room / 3)).withColumn("stride", F.greatest(room - F.col("third"), F.lit(1))).withColumn("alone", F.col("tokens") > F.col("third"))
+    placed = placed.withColumn("spare", F.when(F.col("alone"), F.least(F.lit(history), F.greatest(F.lit(budget) - system_tokens - F.col("tokens"), F.lit(0)))).otherwise(history))
+    placed = placed.withColumn("short", F.sum(F.when(~F.col("alone"), F.col("tokens")).otherwise(0)).over(running)).withColumn("run", F.sum(F.col("alone").cast("int")).over(running))
+    since = F.col("short") - F.coalesce(F.max(F.when(F.col("alone"), F.col("short"))).over(running), F.lit(0))
+    placed = placed.withColumn("slot", F.struct("run", F.when(F.col("alone"), -1).otherwise(F.floor((since - 1) / F.col("stride"))).alias("n")))
+    piece = F.concat(F.lit(BEGIN), "marked", F.lit(MIDDLE), "body", F.lit(END))
+    placed = placed.withColumn("opens", F.coalesce(F.lag("slot").over(by_place) != F.col("slot"), F.lit(False))).withColumn("piece", piece)
+    known = placed.withColumn("window", F.sum(F.col("opens").cast("long")).over(running)).withColumn("system", F.when(F.col("is_system"), F.first("piece").over(running)))
     # a turn d places before the first turn of a later window is repeated there, if the turns from it on fit the history
-    ahead = [F.lead(F.struct("opens", (F.col("upto") - F.col("tokens")).alias("before"), "window"), d).over(by_place).alias(f"ahead{d}") for d in range(1, HISTORY_TURNS + 1)]
+    ahead = [F.lead(F.struct("opens", (F.col("upto") - F.col("tokens")).alias("before"), "window", "spare"), d).over(by_place).alias(f"ahead{d}") for d in range(1, HISTORY_TURNS + 1)]
     base = known.select("*", *ahead)
 
     def repeated_in(d: int) -> Column:
         later = F.col(f"ahead{d}")
-        fits = later["before"] - F.col("upto") + F.col("tokens") <= history
+        fits = later["before"] - F.col("upto") + F.col("tokens") <= later["spare"]
         return F.when(later["opens"] & fits & ((F.col("place") > 1) | F.col("system").isNull()), later["window"])
 
     use = lambda window, rank, piece, own: F.struct(window.alias("window"), rank.alias("rank"), piece.alias("piece"), F.lit(own).alias("own"))

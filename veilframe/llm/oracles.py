@@ -97,14 +97,20 @@ t AS (
          23 + length({escape("role")}) + length({escape("text")}) AS chars
   FROM rows_),
 u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM t),
-w AS (SELECT *, (upto - 1) // 448 AS win FROM u),
-o AS (
-  SELECT *, coalesce(lag(win) OVER c <> win, false) AS opens, first_value(role) OVER c = 'system' AS sys, first_value(chars) OVER c AS sys_chars
-  FROM w WINDOW c AS (PARTITION BY conv_id ORDER BY place)),
+f AS (
+  SELECT *, first_value(role) OVER c = 'system' AS sys, first_value(chars) OVER c AS sys_chars, CASE WHEN first_value(role) OVER c = 'system' THEN first_value(tokens) OVER c ELSE 0 END AS sys_tokens
+  FROM u WINDOW c AS (PARTITION BY conv_id ORDER BY place)),
+r AS (SELECT *, greatest(896 - sys_tokens, 0) AS room, tokens > greatest(896 - sys_tokens, 0) // 3 AS alone FROM f),
+s AS (
+  SELECT *, CASE WHEN alone THEN least(128, greatest(1024 - sys_tokens - tokens, 0)) ELSE 128 END AS spare, greatest(room - room // 3, 1) AS stride,
+         sum(CASE WHEN alone THEN 0 ELSE tokens END) OVER c AS short, sum(CAST(alone AS INT)) OVER c AS run
+  FROM r WINDOW c AS (PARTITION BY conv_id ORDER BY place)),
+w AS (SELECT *, CASE WHEN alone THEN -1 ELSE (short - min(short) OVER (PARTITION BY conv_id, run) - 1 + CASE WHEN run = 0 THEN min(short) OVER (PARTITION BY conv_id, run) ELSE 0 END) // stride END AS slot FROM s),
+o AS (SELECT *, coalesce(lag(slot) OVER c <> slot OR lag(run) OVER c <> run, false) AS opens FROM w WINDOW c AS (PARTITION BY conv_id ORDER BY place)),
 h AS (
-  SELECT *, lead(opens, 1) OVER c AND lead(upto - tokens, 1) OVER c - upto + tokens <= 128 AND (place > 1 OR NOT sys) AS h1,
-            lead(opens, 2) OVER c AND lead(upto - tokens, 2) OVER c - upto + tokens <= 128 AND (place > 1 OR NOT sys) AS h2,
-            lead(opens, 3) OVER c AND lead(upto - tokens, 3) OVER c - upto + tokens <= 128 AND (place > 1 OR NOT sys) AS h3
+  SELECT *, lead(opens, 1) OVER c AND lead(upto - tokens, 1) OVER c - upto + tokens <= lead(spare, 1) OVER c AND (place > 1 OR NOT sys) AS h1,
+            lead(opens, 2) OVER c AND lead(upto - tokens, 2) OVER c - upto + tokens <= lead(spare, 2) OVER c AND (place > 1 OR NOT sys) AS h2,
+            lead(opens, 3) OVER c AND lead(upto - tokens, 3) OVER c - upto + tokens <= lead(spare, 3) OVER c AND (place > 1 OR NOT sys) AS h3
   FROM o WINDOW c AS (PARTITION BY conv_id ORDER BY place))
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
