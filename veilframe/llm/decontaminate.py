@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.shipping import keep, map_batches
 
-WINDOW, BLOCK_WORDS = 10, 5_000_000
+#: Some 1.1 KB of a worker a word: a block's automaton takes about 230 MB.
+WINDOW, BLOCK_WORDS = 10, 200_000
 ADDED = ("n_words", "n_hit", "items", "spans")
 #: On lower-cased UTF-8 bytes; every byte of a character beyond ASCII belongs to a word.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
