@@ -123,13 +123,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """A checkpointed table, marked for broadcast if its counted rows and bytes prove it small; beyond, joins shuffle."""
+def small(df: DataFrame) -> bool:
+    """Whether a checkpointed table's counted rows and bytes prove it small."""
     wide = [f.name for f in df.schema if not isinstance(f.dataType, (NumericType, BooleanType, DateType, TimestampType, StringType, BinaryType))]
     plain_bytes = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
     size = F.lit(16 * len(df.columns)) + sum(plain_bytes, F.lit(0)) + (F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide]))) if wide else 0)
     found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
-    return F.broadcast(df) if found["rows"] <= BROADCAST_ROWS and (found["bytes"] or 0) <= BROADCAST_BYTES else df
+    return found["rows"] <= BROADCAST_ROWS and (found["bytes"] or 0) <= BROADCAST_BYTES
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A checkpointed table, marked for broadcast if it is proved small; beyond, joins shuffle."""
+    return F.broadcast(df) if small(df) else df
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:

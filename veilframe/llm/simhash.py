@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import SALTS, components, salted_join
-from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship
+from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship, small
 
 SEED = 42
 #: Points of a shard; larger cells are divided by vantage points. A local leaf compares all its points.
-SHARD_POINTS, LEAF, ONE_TREE = 1 << 13, 128, 256
+SHARD_POINTS, LEAF, ONE_TREE = 1 << 14, 128, 256
 #: Vantage points of a cell in a round, and the share of its points that a side may keep for a division to count as one.
-AXES, KEPT = 3, 0.9
+AXES, KEPT = 6, 0.9
 #: Hashes whose bits are unpacked at a time.
 BLOCK = 1 << 15
 #: Share of a sketch's allowed differences up to which an exact comparison could not refuse a pair.
@@ -228,11 +228,11 @@ def _crossed(sides, own):
     return F.flatten(F.transform(sides, lambda s: F.transform(own, lambda x: 2 * s + x)))
 
 
-def _divided(rows: DataFrame, large: DataFrame, radius: int, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows of the large cells in the cells below: each point on its side of each boundary, those just outside on the inner one too. And the cells that whole distances do not divide, whose rows are left out."""
+def _divided(rows: DataFrame, large: DataFrame, radius: int, whole: bool, mark) -> tuple[DataFrame, DataFrame]:
+    """The rows of the large cells in the cells below: each point on its side of each boundary, those just outside on the inner one too. And the cells that whole distances do not divide, whose rows are left out. ``mark``: for tables of a row per large cell, for broadcast if these are few."""
     cell, bound = ["tree", "cell"], radius if whole else radius // 2
     away = [_distance(F.col("fp"), F.col(f"v{k}"), whole) for k in range(AXES)]
-    each = rows.join(bounded(large), cell).select(*cell, F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), d.alias("d")) for k, d in enumerate(away)])).alias("at")).select(*cell, "at.*")
+    each = rows.join(large, cell).select(*cell, F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), d.alias("d")) for k, d in enumerate(away)])).alias("at")).select(*cell, "at.*")
     counts = settle(each.groupBy(*cell, "axis", "d").agg(F.count(F.lit(1)).alias("n")))  # 65 distances at most
     axis = Window.partitionBy(*cell, "axis")
     upto = counts.withColumn("upto", F.sum("n").over(axis.orderBy("d"))).withColumn("of", F.sum("n").over(axis))
@@ -244,14 +244,14 @@ def _divided(rows: DataFrame, large: DataFrame, radius: int, whole: bool) -> tup
     known = settle(large.drop("n").join(cuts.groupBy(*cell).agg(*[F.max(F.when(F.col("axis") == k, F.col("cut"))).alias(f"c{k}") for k in range(AXES)]), cell))
     uncut = F.least(*[F.col(f"c{k}") for k in range(AXES)]) == 64
     stuck = known.filter(uncut if whole else F.lit(False)).select(*cell)
-    known = known.filter(~uncut) if whole else known
+    known = mark(known.filter(~uncut) if whole else known)
     sides = F.array(F.lit(0))
     for k, d in enumerate(away):
         own = F.when(d <= F.col(f"c{k}"), F.array(F.lit(0))).when(d <= F.col(f"c{k}") + bound, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
         sides = _crossed(sides, own)
-    below = F.transform(sides, lambda s: F.concat("cell", s.cast("string")))
+    below = F.transform(sides, lambda s: F.concat_ws(".", "cell", s.cast("string")))
     rest = [c for c in rows.columns if c != "cell"]
-    return settle(rows.join(bounded(known), cell).select(*rest, F.explode(below).alias("cell"))), stuck
+    return settle(rows.join(known, cell).select(*rest, F.explode(below).alias("cell"))), stuck
 
 
 def _in_tree(column: str, tree: int):
@@ -275,8 +275,9 @@ def shards(points: DataFrame, radius: int = 3) -> DataFrame:
     done, turn = [], 0
     while not (large := _large(rows)).isEmpty():  # a division leaves KEPT of a cell together at most
         turn += 1
-        done.append(rows.join(bounded(large.select("tree", "cell")), ["tree", "cell"], "left_anti").select("*", *alone))
-        below, stuck = _divided(rows, large, radius, not halves or turn % 3 == 0)
+        mark = F.broadcast if small(large) else (lambda df: df)
+        done.append(rows.join(mark(large.select("tree", "cell")), ["tree", "cell"], "left_anti").select("*", *alone))
+        below, stuck = _divided(rows, mark(large), radius, not halves or turn % 3 == 0, mark)
         balls = large.join(stuck, ["tree", "cell"], "left_semi")
         if not balls.isEmpty():
             done.append(_pieces(rows, balls))
@@ -479,7 +480,7 @@ def short_pairs(prefix: DataFrame, similarity: float, label: DataFrame | None =
 
 
 def _alike(points: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, most: int) -> DataFrame:
-    """``a`` and ``b``: links that connect all texts of the similarity that the searches find.
+    """``node`` and ``root``: components of all links of the similarity that the searches find.
 
     First a forest of candidates is compared, a few for each text, which connects what a large group of
     near copies has in common; then every candidate pair of texts that this has left apart.
@@ -495,7 +496,10 @@ def _alike(points: DataFrame, texts: DataFrame, words: int, similarity: float, r
     label = settle(components(linked).withColumnRenamed("root", "label"))
     named = search.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = settle(links(placed, named, radius, most).unionByName(short_pairs(prefix, similarity, label)).distinct())
-    return linked if rest.isEmpty() else settle(linked.unionByName(similar(rest, texts, words, similarity)))
+    more = None if rest.isEmpty() else settle(similar(rest, texts, words, similarity))
+    if more is None or more.isEmpty():
+        return label.withColumnRenamed("label", "root")
+    return components(label.toDF("a", "b").unionByName(more))  # what the first links have joined are stars by now
 
 
 def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 1, parts: int = 8, slack: float = 2.0, segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -515,8 +519,8 @@ def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, r
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(64 * parts * differ + slack * np.sqrt(64 * parts * differ * (1 - differ)))
     texts = df.select(F.xxhash64(f"`{text_col}`").alias("node"), F.col(f"`{text_col}`").alias("text"))
-    linked = _alike(points, texts, words, similarity, radius, most)
-    named = _rooted(points.select("node", F.struct("least", "node").alias("least")), components(linked), "least")
+    roots = _alike(points, texts, words, similarity, radius, most)
+    named = _rooted(points.select("node", F.struct("least", "node").alias("least")), roots, "least")
     keys = marked.select("id", "node").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n"))
     repeated = settle(keys.filter("n > 1").select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")))
     gone = settle(keys.join(named, "node").filter(~(F.col("id").eqNullSafe(F.col("least_of_root.least")) & (F.col("node") == F.col("least_of_root.node")))).select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")))
