@@ -151,8 +151,11 @@ def fit(df: DataFrame, ratings: DataFrame, grade: Column | str = "grade", max_ro
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["grade", "places"])
 
     rows = map_batches(texts.join(sample, "id").select("grade", "text"), run, "grade int, places array<int>").toArrow()
-    pairs = sorted(zip(rows.column("grade").to_pylist(), rows.column("places").to_pylist()))  # whatever order the partitions came in
-    return fit_rows([np.array(p, np.int64) for _, p in pairs], np.array([g for g, _ in pairs], np.int64))
+    grades, places = rows.column("grade").to_numpy(), rows.column("places").combine_chunks()  # flat arrays: lists of numbers would take ten times their bytes
+    ends, flat = places.offsets.to_numpy(), places.values.to_numpy()
+    each = [flat[a:b] for a, b in zip(ends, ends[1:])]
+    order = sorted(range(len(each)), key=lambda k: (grades[k], each[k].astype(">i4").tobytes()))  # whatever order the partitions came in
+    return fit_rows([each[k] for k in order], grades[order].astype(np.int64))
 
 
 def score(df: DataFrame, model: Model, tail: int | None = None, text_col: str = "text") -> DataFrame:
