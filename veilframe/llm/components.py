@@ -49,6 +49,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first())
 
 
+def contracted(edges: DataFrame, rounds: int) -> DataFrame:
+    """``a`` and ``b`` after some rounds: the same components, their edges nearer to stars; nodes of one ``b`` are in one component."""
+    now = settle(_directed(edges.select(F.col(edges.columns[0]).alias("a"), F.col(edges.columns[1]).alias("b"))))
+    for _ in range(rounds):
+        now = settle(_small_star(_large_star(now)))
+    return now
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node`` and ``root``, the least node of its component, for each node but the roots."""
     now = settle(_directed(edges.select(F.col(edges.columns[0]).alias("a"), F.col(edges.columns[1]).alias("b"))))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.components import SALTS, components, salted_join
+from veilframe.llm.components import SALTS, components, contracted, salted_join
 from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship, small
 
 SEED = 42
@@ -493,13 +493,11 @@ def _alike(points: DataFrame, texts: DataFrame, words: int, similarity: float, r
     search, placed = groups.select("node", "sketch"), settle(shards(groups.drop("n", "sketch"), radius))
     stars = short_pairs(prefix, similarity).unionByName(equal.toDF("a", "b")).unionByName(twins)
     linked = settle(similar(links(placed, search, radius, most).unionByName(stars), texts, words, similarity))
-    label = settle(components(linked).withColumnRenamed("root", "label"))
+    near = contracted(linked, 2)  # whoever is not yet under one label is only compared once more
+    label = settle(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     named = search.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = settle(links(placed, named, radius, most).unionByName(short_pairs(prefix, similarity, label)).distinct())
-    more = None if rest.isEmpty() else settle(similar(rest, texts, words, similarity))
-    if more is None or more.isEmpty():
-        return label.withColumnRenamed("label", "root")
-    return components(label.toDF("a", "b").unionByName(more))  # what the first links have joined are stars by now
+    return components(near if rest.isEmpty() else near.unionByName(similar(rest, texts, words, similarity)))
 
 
 def distinct_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, prints: int = 1, parts: int = 8, slack: float = 2.0, segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
