@@ -107,21 +107,22 @@ def match(distinct: DataFrame) -> DataFrame:
     """``statement``, ``license`` and ``score`` of those that a template matches."""
     spark = distinct.sparkSession
     known = spark.createDataFrame([(i, *t) for i, t in enumerate(templates())], "template int, license string, statement string, least double")
-    every = distinct.select("statement", F.lit(None).cast("int").alias("template"), F.lit(None).cast("string").alias("license")).unionByName(known.select("statement", "template", "license"))
-    counted = settle(every.select("*", F.explode(_terms(F.col("statement"))).alias("term")).groupBy("statement", "template", "license", "term").agg(F.count(F.lit(1)).alias("tf")))
+    named = distinct.select("statement", F.md5("statement").alias("key"))  # a paragraph may be long: its digest goes with its terms
+    every = named.select("key", "statement", F.lit(None).cast("int").alias("template"), F.lit(None).cast("string").alias("license")).unionByName(known.select(F.md5("statement").alias("key"), "statement", "template", "license"))
+    counted = settle(every.select("key", "template", "license", F.explode(_terms(F.col("statement"))).alias("term")).groupBy("key", "template", "license", "term").agg(F.count(F.lit(1)).alias("tf")))
     n = every.agg(F.count(F.lit(1)).alias("all"))
     frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", (F.ln((1 + F.col("all")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-    weighed = settle(counted.join(bounded(settle(frequency)), "term").select("statement", "template", "license", "term", (F.col("tf") * F.col("idf")).alias("w")))
-    norms = weighed.groupBy("statement", "template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    ours = weighed.filter("template is null").select("statement", "term", "w")
+    weighed = settle(counted.join(bounded(settle(frequency)), "term").select("key", "template", "license", "term", (F.col("tf") * F.col("idf")).alias("w")))
+    norms = weighed.groupBy("key", "template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    ours = weighed.filter("template is null").select("key", "term", "w")
     theirs = weighed.filter("template is not null").select("template", "license", "term", F.col("w").alias("v"))  # a few hundred rows, fixed
-    dots = ours.join(F.broadcast(theirs), "term").groupBy("statement", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    own = norms.filter("template is null").select("statement", F.col("norm").alias("a"))
+    dots = ours.join(F.broadcast(theirs), "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    own = norms.filter("template is null").select("key", F.col("norm").alias("a"))
     fixed = norms.filter("template is not null").select("template", F.col("norm").alias("b"))
-    scored = dots.join(own, "statement").join(F.broadcast(fixed), "template").select("statement", "template", "license", F.round(F.col("dot") / (F.col("a") * F.col("b")), 6).alias("score"))
+    scored = dots.join(own, "key").join(F.broadcast(fixed), "template").select("key", "template", "license", F.round(F.col("dot") / (F.col("a") * F.col("b")), 6).alias("score"))
     enough = scored.join(F.broadcast(known.select("template", "least")), "template").filter("score >= least")  # some tens of rows, fixed
-    best = enough.groupBy("statement").agg(F.max(F.struct(*_order())).alias("best"))
-    return best.select("statement", "best.license", "best.score")
+    best = enough.groupBy("key").agg(F.max(F.struct(*_order())).alias("best"))
+    return named.join(best, "key").select("statement", "best.license", "best.score")
 
 
 def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text") -> DataFrame:
