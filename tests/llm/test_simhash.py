@@ -103,7 +103,9 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, limit, tree
     assert {p: got.get(p, p) for p in points} == plain_roots(points, close_pairs(points, 3))
 
 
-def test_components_of_a_long_chain_a_star_and_odd_rows(spark):
+@pytest.mark.parametrize("nodes", [0, 300_000])
+def test_components_of_a_long_chain_a_star_and_odd_rows(spark, monkeypatch, nodes):
+    monkeypatch.setattr("veilframe.llm.components.BROADCAST_ROWS", nodes)  # dealt out, or by broadcast
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (None, 3), (7, None), (1001, 1000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {i: 0 for i in range(1, 301)} | {1000 + i: 1000 for i in range(1, 200)}
