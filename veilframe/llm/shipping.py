@@ -17,7 +17,7 @@ from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, St
 #: Rows of a batch given to Python are handled in pieces of about so many bytes of text, so memory stays flat.
 PIECE_BYTES = 8 << 20
 #: Checkpoints after which the driver's garbage is collected.
-TIDY = 4
+TIDY = 2
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows, and bytes of all their values, up to which ``bounded`` broadcasts.
 BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
