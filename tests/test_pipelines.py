@@ -3,8 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe import cli
 from veilframe.config import MEDICAL_COUNT, MEDICAL_MEAN, Config, KAnonymity, Privacy
-from veilframe.operators import privacy
+from veilframe.operators import privacy, transforms
 from veilframe.pipelines import anonymize
 from veilframe.sources import readers, sinks
 from veilframe.streaming import accumulate
@@ -91,3 +92,65 @@ def test_sinks(spark, tmp_path):
     table = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.1, 1.0)], "HAT string, epsilon double, b double")
     sinks.write_table(table, "HAT", str(tmp_path / "t.json"))
     assert json.loads((tmp_path / "t.json").read_text()) == {"a": {"1.0": 2.0, "1.1": 1.0}}
+
+
+SECTIONS = {
+    "data_type": "medical",
+    "medical": {
+        "suppress": ["Name"], "pseudonymize": ["Patient ID", "Phone"], "k_anonymize": {"generalize": "Age", "k": 20, "min_bin_value": 0, "max_bin_value": 61},
+        "differential_privacy": {"dp_query": "mean", "dp_output_attribute": "Days To Negative", "dp_selected_output": "Positive", "dp_aggregate_attribute": "Gender", "dp_max_value_output_attribute": 40, "dp_epsilon": 0.5}},
+    "spatioTemporal": {
+        "suppress": ["id", "location.type"], "pseudonymize": ["license_plate", "trip_id"],
+        "spatial_generalize": {"spatial_attribute": "location.coordinates", "h3_resolution": 7, "filter_attribute": "license_plate", "filter_event_occurences": 1, "filter_attribute_by": ["HAT", "Date"]},
+        "temporal_generalize": {"temporal_attribute": "observationDateTime", "start_time": 10, "end_time": 12},
+        "differential_privacy": {"dp_query": "mean", "dp_output_attribute": "speed", "dp_aggregate_attribute": ["HAT", "Date", "license_plate"], "dp_query_value_threshold": 60, "dp_epsilon": 1, "dp_epsilon_step": 0.5, "global_max_value": 65, "global_min_value": 5}},
+}
+
+
+def test_configuration_by_sections():
+    medical = Config.of(SECTIONS)
+    assert medical.operations == ("suppress", "pseudonymize", "k_anonymize", "dp") and medical.k_anonymize == KAnonymity("Age", 20, 0, 61)
+    assert medical.privacy == Privacy(query="mean", output_attribute="Days To Negative", aggregate=("Gender",), selected="Positive", epsilon=0.5, most=40)
+    count = Config.of(SECTIONS, operations=("dp",), query="count")
+    assert count.operations == ("dp",) and (count.privacy.output_attribute, count.privacy.aggregate) == ("Test Result", ("PIN Code",))
+    spatio = Config.of(SECTIONS, dataset="spatioTemporal", query="count")
+    assert (spatio.hours, spatio.events_per_day, spatio.privacy.query, spatio.privacy.least, spatio.privacy.most) == ((10, 12), 1, "count", 5, 65)
+    beside = Config.of({"data_type": "medical", "medical": {"generalize": "Age", "k_anonymize": {"k": 5, "min_bin_value": 0, "max_bin_value": 1000}}})
+    assert beside.operations == ("k_anonymize",) and beside.k_anonymize == KAnonymity("Age", 5, 0, 1000)
+    with pytest.raises(ValueError):
+        Config.of(SECTIONS | {"spatioTemporal": SECTIONS["spatioTemporal"] | {"differential_privacy": SECTIONS["spatioTemporal"]["differential_privacy"] | {"dp_aggregate_attribute": ["HAT"]}}}, dataset="spatioTemporal")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    config, events = tmp_path / "c.json", tmp_path / "events.json"
+    config.write_text(json.dumps(SECTIONS))
+    events.write_text(json.dumps(list(observations())))
+    cli.main([str(config), str(tmp_path / "out"), str(events), "--dataset", "spatioTemporal", "--documents"])
+    got = {p.name: json.loads(p.read_text()) for p in (tmp_path / "out").iterdir()}
+    assert set(got) == {"suppression_pseudonymization.json", "spatioTemporal_EpsVSMAEperHAT_mean.json", "spatioTemporal_EpsVSMAE_mean.json", "spatioTemporal_noisyQueryOutput_mean.json"}
+    tiles = got["spatioTemporal_noisyQueryOutput_mean.json"]
+    assert tiles and all(set(v) == {"mean of speed", "noisy mean of speed"} for v in tiles.values()) and set(got["spatioTemporal_EpsVSMAEperHAT_mean.json"]) == set(tiles)
+    assert len(got["suppression_pseudonymization.json"]) == 400 and "anonymized: {'rows': 400}" in (said := capsys.readouterr().err) and f"'distinct HAT': {len(tiles)}" in said
+    people = tmp_path / "people.jsonl"
+    people.write_text("".join(json.dumps({"Name": "n", "Patient ID": i, "Phone": i, "Age": i % 60, "Gender": "FM"[i % 2], "PIN Code": i % 3, "Test Result": "Positive", "Days To Negative": i % 50}) + "\n" for i in range(600)))
+    cli.main([str(config), str(tmp_path / "k"), str(people), "--format", "jsonl", "--operation", "k_anonymize", "--operation", "dp", "--query", "count", "--documents"])
+    assert {p.name for p in (tmp_path / "k").iterdir()} == {"medical_k_anon_full_dataset.json", "medical_k_anon_user_counts.json", "medical_EpsVSMAE_count.json", "medical_noisyQueryOutput_count.json"}
+    cli.main([str(config), str(tmp_path / "lines"), str(people), "--format", "jsonl", "--operation", "suppress"])
+    assert spark.read.json(str(tmp_path / "lines" / "anonymized")).count() == 600
+
+
+def test_options_of_the_private_query(spark):
+    rows = [("FM"[i % 2], float(i % 70) - 10) for i in range(600)]
+    df = spark.createDataFrame(rows, "Gender string, d double")
+    for p in (Privacy(output_attribute="d", aggregate=("Gender",), redact_true=True, clamp=True, halved=True), Privacy(output_attribute="d", aggregate=("Gender",), draws=50, epsilon_step=5.0)):
+        out = anonymize.run(df, Config(data_type="medical", operations=("dp",), privacy=p), lambda _: F.lit(0.5))
+        noisy = {r["Gender"]: r["noisy mean of d"] for r in out["noisy"].collect()}
+        assert ("mean of d" in out["noisy"].columns) != p.redact_true and out["errors"].count() > 0
+        for g, mean in noisy.items():
+            own = [min(max(v, 0), 50) if p.clamp else min(v, 50) for s, v in rows if s == g and v != 0]
+            assert mean == pytest.approx(sum(own) / len(own), abs=6e-4)
+
+
+def test_first_of_equal_rows_stays(spark):
+    df = spark.createDataFrame([(3, "a", 1.0, [1]), (1, "a", 1.0, [2]), (2, None, None, None), (4, None, None, [9]), (None, "b", 0.0, None), (7, "b", 0.0, [3])], "n int, `k.x` string, y double, z array<int>")
+    assert sorted((str(r.n), r["k.x"], r.z) for r in transforms.deduplicate(df, ["n"]).collect()) == [("1", "a", [2]), ("2", None, None), ("None", "b", None)]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from veilframe.functions.columns import clip_upper, ratio
+from veilframe.functions.columns import clip_lower, clip_upper, ratio
 
 GRAIN = ("HAT", "Date", "license_plate")
 
@@ -19,6 +19,14 @@ def accumulate(df: DataFrame, value: str, keys: Sequence[str] = GRAIN) -> DataFr
         F.coalesce(F.sum(v.cast("double")), F.lit(0.0)).alias("output_attribute_sum"), F.count(v).alias("output_attribute_count"), F.max(v).alias("output_attribute_max"))
 
 
+def observed(df: DataFrame, seen: dict[str, Observation] | None, name: str, distinct: Sequence[str] = ()) -> DataFrame:
+    """The frame, whose rows and about how many distinct values are counted under ``name`` by the first action that reads it: none of their own."""
+    if seen is None:
+        return df
+    seen[name] = Observation(name)
+    return df.observe(seen[name], F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(f"`{c}`").alias(f"distinct {c}") for c in distinct])
+
+
 def supported(grain: DataFrame, per_day: float, tile: str = "HAT", date: str = "Date") -> DataFrame:
     """Rows of tiles whose plates, counted per day and summed, reach ``per_day`` times the number of days in the frame.
 
@@ -48,9 +56,10 @@ def time_range(grain: DataFrame, date: str = "Date") -> DataFrame:
     return grain.agg((F.datediff(F.max(date), F.min(date)) + 1).cast("long").alias("time_range"))
 
 
-def category_mean(df: DataFrame, group: str, value: str, most: float) -> DataFrame:
-    """Per group sum, count and mean of the values other than 0, those over ``most`` as ``most``; nulls count nowhere but keep their group."""
+def category_mean(df: DataFrame, group: str, value: str, most: float, least: float | None = None) -> DataFrame:
+    """Per group sum, count and mean of the values other than 0, those over ``most`` as ``most`` and, if given, under ``least`` as ``least``; nulls count nowhere but keep their group."""
     v = clip_upper(F.col(f"`{value}`"), most)
+    v = v if least is None else clip_lower(v, least)
     rows = df.filter(~F.col(f"`{value}`").eqNullSafe(F.lit(0))).dropna(subset=[group])
     sums = rows.groupBy(group).agg(F.coalesce(F.sum(v.cast("double")), F.lit(0.0)).alias("sum"), F.count(v).alias("count"))
     return sums.withColumn("query_output", ratio(F.col("sum"), F.col("count")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -43,8 +43,12 @@ def deduplicate(df: DataFrame, order_by: Sequence[str], scope: Sequence[str] = (
     """The first row, by ``order_by``, of those that agree in all columns but arrays and ``order_by``; within ``scope`` only, such as a file."""
     require(df, [*order_by, *scope])
     keys = [f.name for f in df.schema if not isinstance(f.dataType, ArrayType) and f.name not in order_by]
-    window = Window.partitionBy(*[F.col(f"`{c}`") for c in dict.fromkeys([*scope, *keys])]).orderBy(*[F.col(f"`{c}`") for c in order_by])
-    return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
+    keys = list(dict.fromkeys([*scope, *keys]))
+    rest = [c for c in df.columns if c not in keys]
+    # copies go before the exchange, so a row that is much repeated is no large task
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in order_by])).alias("_first")
+    kept = df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(first)
+    return kept.select(*[F.col(f"`{c}`" if c in keys else f"_first.`{c}`").alias(c) for c in df.columns])
 
 
 def generalize_time(df: DataFrame, column: str, keep_time: bool = False) -> DataFrame:
@@ -75,6 +79,17 @@ def grid_cell(lon: Column, lat: Column, resolution: int = 7) -> Column:
     return F.concat(part(lat, 90.0), F.lit("_"), part(lon, 180.0))
 
 
+def h3_cell(lon: Column, lat: Column, resolution: int = 7) -> Column:
+    """A hexagon of the h3 library, which must be installed here and on the workers; in Arrow batches."""
+    import h3
+
+    index = getattr(h3, "latlng_to_cell", None) or h3.geo_to_h3
+    return F.udf(lambda x, y: None if x is None or y is None else index(y, x, resolution), "string", useArrow=True)(lon, lat)
+
+
+INDEXERS = {"grid": grid_cell, "h3": h3_cell}
+
+
 def generalize_place(df: DataFrame, column: str, resolution: int = 7, name: str = "h3index", indexer=grid_cell) -> DataFrame:
     """``name``: the cell of a coordinate pair, by ``indexer``, a function of longitude, latitude and resolution."""
     require(df, [column])

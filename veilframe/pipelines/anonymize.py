@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilframe.config import Config
+from veilframe.functions.columns import clip_lower, clip_upper
 from veilframe.operators import aggregates, kanon, privacy, transforms
 
 
@@ -16,7 +17,7 @@ def common(df: DataFrame, config: Config) -> DataFrame:
     if "suppress" in config.operations:
         out = transforms.suppress(out, config.suppress)
     if "pseudonymize" in config.operations:
-        out = transforms.pseudonymize(out, config.pseudonymize, salt=config.salt)
+        out = transforms.pseudonymize(out, config.pseudonymize, salt=config.salt, separator=config.separator, strict=config.strict_pseudonyms)
     return out.drop("file")
 
 
@@ -24,18 +25,21 @@ def grain(df: DataFrame, config: Config) -> DataFrame:
     """Accumulated rows per tile, date and plate of supported tiles; hours are filtered before cells are made."""
     p = config.privacy
     rows = transforms.filter_hours(transforms.generalize_time(df, config.time), *config.hours)
-    tiles = transforms.add_tile(transforms.generalize_place(rows, config.place, config.resolution))
+    if p.clamp:
+        rows = rows.withColumn(p.output_attribute, clip_lower(clip_upper(F.col(f"`{p.output_attribute}`"), p.most), p.least))
+    tiles = transforms.add_tile(transforms.generalize_place(rows, config.place, config.resolution, indexer=transforms.INDEXERS[config.cells]))
     kept = aggregates.accumulate(tiles.withColumnRenamed(config.plate, "license_plate"), p.output_attribute)
     return aggregates.supported(kept, config.events_per_day)
 
 
-def spatiotemporal(df: DataFrame, config: Config, uniform: privacy.Uniform | None = None) -> dict[str, DataFrame]:
+def spatiotemporal(df: DataFrame, config: Config, uniform: privacy.Uniform | None = None, seen: dict[str, Observation] | None = None) -> dict[str, DataFrame]:
     out: dict[str, DataFrame] = {}
     if {"suppress", "pseudonymize"} & set(config.operations):
-        out["anonymized"] = common(df, config)
+        out["anonymized"] = aggregates.observed(common(df, config), seen, "anonymized")
     if "dp" in config.operations:
         p, uniform = config.privacy, uniform or privacy.fresh()
-        rows, grid = grain(df.drop("file"), config), privacy.epsilon_grid(df.sparkSession, 1.0, 30.0, config.privacy.epsilon_step)
+        rows = aggregates.observed(grain(df.drop("file"), config), seen, "supported", ["HAT", "Date"])
+        grid = privacy.epsilon_grid(df.sparkSession, 1.0, 30.0, config.privacy.epsilon_step)
         if p.query == "mean":
             means = privacy.with_sensitivity(aggregates.mean_query(rows), p.least, p.most)
             noisy = privacy.noised_tile_mean(means, p.epsilon, uniform)
@@ -45,19 +49,19 @@ def spatiotemporal(df: DataFrame, config: Config, uniform: privacy.Uniform | Non
             noisy = privacy.noised_count(aggregates.count_query(rows, p.threshold), p.epsilon, uniform)
             out["errors"] = privacy.count_scale(grid)
         done = privacy.post_process(noisy, p.query).select("HAT", "query_output", "noisy_output")
-        out["noisy"] = privacy.published(done, p.query, p.output_attribute, redact_true=False)
+        out["noisy"] = privacy.published(done, p.query, p.output_attribute, p.redact_true)
     return out
 
 
-def medical(df: DataFrame, config: Config, uniform: privacy.Uniform | None = None) -> dict[str, DataFrame]:
+def medical(df: DataFrame, config: Config, uniform: privacy.Uniform | None = None, seen: dict[str, Observation] | None = None) -> dict[str, DataFrame]:
     out: dict[str, DataFrame] = {}
     if {"suppress", "pseudonymize"} & set(config.operations):
-        out["anonymized"] = common(df, config)
+        out["anonymized"] = aggregates.observed(common(df, config), seen, "anonymized")
     if "k_anonymize" in config.operations:
         k = config.k_anonymize
         hist = aggregates.histogram(df, k.attribute, k.least, k.most)
         bins = kanon.width(hist, k.k, k.attribute, k.least)
-        out["k_anonymous"] = kanon.assign(df.drop("file"), k.attribute, bins, k.least, k.most, k.strict)
+        out["k_anonymous"] = aggregates.observed(kanon.assign(df.drop("file"), k.attribute, bins, k.least, k.most, k.strict), seen, "k_anonymous", [f"{k.attribute} Bin"])
         out["k_counts"] = kanon.assign(hist, k.attribute, bins, k.least, k.most, k.strict)
     if "dp" in config.operations:
         p, uniform = config.privacy, uniform or privacy.fresh()
@@ -66,12 +70,13 @@ def medical(df: DataFrame, config: Config, uniform: privacy.Uniform | None = Non
             noisy = privacy.noised_count(aggregates.category_count(df, group, p.output_attribute, p.selected), p.epsilon, uniform)
             out["errors"] = privacy.count_scale(grid)
         else:
-            means = aggregates.category_mean(df, group, p.output_attribute, p.most)
+            means = aggregates.category_mean(df, group, p.output_attribute, p.most, 0.0 if p.clamp else None)
             noisy = privacy.noised_category_mean(means, p.epsilon, p.most, uniform)
-            out["errors"] = privacy.mean_error_analytic(means, grid, p.most)
-        out["noisy"] = privacy.published(privacy.post_process(noisy, p.query), p.query, p.output_attribute, redact_true=False)
+            out["errors"] = privacy.mean_error_simulated(means, grid, p.most, p.draws) if p.draws else privacy.mean_error_analytic(means, grid, p.most, p.halved)
+        out["noisy"] = privacy.published(privacy.post_process(noisy, p.query), p.query, p.output_attribute, p.redact_true)
     return out
 
 
-def run(df: DataFrame, config: Config, uniform: privacy.Uniform | None = None) -> dict[str, DataFrame]:
-    return (medical if config.data_type == "medical" else spatiotemporal)(df, config, uniform)
+def run(df: DataFrame, config: Config, uniform: privacy.Uniform | None = None, seen: dict[str, Observation] | None = None) -> dict[str, DataFrame]:
+    """The frames by name. ``seen``, if given, is filled with observations that the first action on a frame completes."""
+    return (medical if config.data_type == "medical" else spatiotemporal)(df, config, uniform, seen)

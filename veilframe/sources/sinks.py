@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from veilframe.config import Config
+
 #: Rows beyond which a single-document sink refuses: it passes through the driver.
 SMALL_ROWS = 100_000
 
@@ -58,3 +60,20 @@ def write_table(df: DataFrame, key: str, path: str, column: str = "epsilon", val
     for r in sorted(_small(df.select(key, column, value)), key=lambda r: (str(r[0]), r[1])):
         out.setdefault(str(r[0]), {})[str(r[1])] = r[2]
     _save(path, out)
+
+
+def publish(frames: dict[str, DataFrame], config: Config, folder: str) -> None:
+    """The frames of a pipeline as single documents under their published names, each read once: for results that are small."""
+    kind, query = config.data_type, config.privacy.query if config.privacy else ""
+    group = "HAT" if kind == "spatioTemporal" else config.privacy.aggregate[0] if config.privacy else ""
+    common = "_".join({"suppress": "suppression", "pseudonymize": "pseudonymization"}[o] for o in ("suppress", "pseudonymize") if o in config.operations)
+    writers = {
+        "anonymized": lambda df: write_records(df, f"{folder}/{common}.json"),
+        "k_anonymous": lambda df: write_by_row(df, f"{folder}/medical_k_anon_full_dataset.json"),
+        "k_counts": lambda df: write_by_row(df, f"{folder}/medical_k_anon_user_counts.json"),
+        "errors_by_tile": lambda df: write_table(df, "HAT", f"{folder}/spatioTemporal_EpsVSMAEperHAT_{query}.json"),
+        "errors": lambda df: write_by_key(df, "epsilon", f"{folder}/{kind}_EpsVSMAE_{query}.json"),
+        "noisy": lambda df: write_by_key(df, group, f"{folder}/{kind}_noisyQueryOutput_{query}.json"),
+    }
+    for name, df in frames.items():
+        writers[name](df)
