@@ -16,8 +16,6 @@ from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, St
 
 #: Rows of a batch given to Python are handled in pieces of about so many bytes of text, so memory stays flat.
 PIECE_BYTES = 8 << 20
-#: Checkpoints after which the driver's garbage is collected.
-TIDY = 2
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows, and bytes of all their values, up to which ``bounded`` broadcasts.
 BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
@@ -124,15 +122,12 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_folder(spark)
     out = df.checkpoint(eager=True)
-    sc = spark.sparkContext
-    sc._veilframe_settled = getattr(sc, "_veilframe_settled", 0) + 1
-    if sc._veilframe_settled % TIDY == 0:
-        tidy(spark)
+    tidy(spark)
     return out
 
 
 def tidy(spark: SparkSession) -> None:
-    """Spark frees shuffle files, broadcasts and compiled plans that nobody refers to when the driver collects its garbage: long iterations ask for it."""
+    """Spark frees shuffle files, broadcasts and compiled plans that nobody refers to when the driver collects its garbage, and its heap shrinks: each round begins with little."""
     gc.collect()
     spark._jvm.System.gc()
 
