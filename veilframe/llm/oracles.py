@@ -149,7 +149,49 @@ SELECT doc_id, license, score, coalesce(license, given) AS effective_license, CA
 FROM m LEFT JOIN given USING (dir)"""
 
 
+def _url_filters() -> str:
+    return """
+WITH r(h, p, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+after AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS t FROM pages),
+cut AS (SELECT page_id, regexp_extract(t, '^[^/?#]*') AS h, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM after),
+u AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM cut),
+best AS (
+  SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(verdict, length(r.h || r.p)) AS verdict
+  FROM u JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(path, p) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)"""
+
+
+def _conversation_trie() -> str:
+    """Nodes as lists of turns; every node's own figures are added to each of its beginnings."""
+    return """
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+rows_ AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM conversations),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations), crc),
+turns AS (
+  SELECT ids.conv_id, n, role, text FROM ids JOIN rows_ ON rows_.conv_id = base AND n <= h
+  UNION ALL SELECT conv_id, n, role, text FROM ids JOIN rows_ USING (conv_id) WHERE n > h),
+seq AS (SELECT conv_id, coalesce(list({'role': role, 'text': text} ORDER BY n) FILTER (n IS NOT NULL), []) AS s FROM ids LEFT JOIN turns USING (conv_id) GROUP BY 1),
+m AS (SELECT conv_id, len(s) AS last, d, s[1:d] AS node FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM seq)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last = d), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2),
+kids AS (SELECT node[1:d-1] AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+own AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN nodes.d > 0 THEN length(node[-1].text) ELSE 0 END AS saved FROM nodes LEFT JOIN kids USING (node, d)),
+up AS (SELECT node[1:i] AS node, i AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+       FROM (SELECT *, unnest(range(d + 1)) AS i FROM own) GROUP BY 1, 2)
+SELECT CAST(own.conv_id AS BIGINT) AS conv_id, CAST(d AS BIGINT) AS depth, CAST(p.conv_id AS BIGINT) AS parent_conv_id, CAST(own.n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN up USING (node, d) LEFT JOIN (SELECT node, d + 1 AS d, conv_id FROM nodes) p ON own.d = p.d AND own.node[1:own.d-1] = p.node"""
+
+
 SQL = {
+    "op11_url_filters": _url_filters(),
+    "op13_conversation_trie": _conversation_trie(),
     "op5_license_scan": _license_scan(),
     "op1_quality_rules": _quality_rules(),
     "op7_decontaminate": _decontaminate(),

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import byte_bpe, chat_format, decontaminate, host_extract, kd_sharding, licenses, line_dedup, oracles, quality_classifier, quality_rules, simhash
+from veilframe.llm import (
+    byte_bpe, chat_format, conversation_trie, decontaminate, host_extract, kd_sharding, licenses, line_dedup, oracles, quality_classifier, quality_rules, simhash,
+    token_alignment, url_filters)
 from veilframe.llm.shipping import table
 
 
@@ -75,6 +77,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chunks_removed", "n_lines_removed")
 
 
+#: Allowed and blocked (host, beginning of the path).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(table(spark, sf_dir, "documents"), *files, digest=True).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_best_b")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt, ids = conversation_trie.sharing(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(rebuilt, ids).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -86,5 +109,8 @@ QUERIES = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
+    "op11_url_filters": op11_url_filters,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}

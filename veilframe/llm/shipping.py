@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -126,6 +127,14 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: like ``settle``, for tables of many values, which files hold in a fraction of a checkpoint's bytes."""
+    spark = df.sparkSession
+    path = f"{folder_for(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def tidy(spark: SparkSession) -> None:
     """Spark frees shuffle files, broadcasts and compiled plans that nobody refers to when the driver collects its garbage, and its heap shrinks: each round begins with little."""
     gc.collect()
