@@ -51,9 +51,12 @@ def test_strict_bins_hold_k_and_nothing_else_is_published(spark):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect() == []
 
 
-def test_raw_rows_are_scanned_once(spark):
+def test_raw_rows_are_scanned_once_and_nothing_stays_in_memory(spark):
     df = catalog.QUERIES["st_dp_mean"](spark, "/root/testdata/sf0.001")
-    assert df._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation") == 3
+    plan = df._jdf.queryExecution().toString()
+    assert "Scan ExistingRDD" in plan and "FileScan" not in plan and "InMemoryRelation" not in plan
+    df.collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
 
 
 def test_the_rest_works_without_the_training_half(tmp_path):

@@ -44,6 +44,42 @@ def test_duplicates_ignore_arrays_and_keep_the_first(spark):
     assert sorted(r.i for r in T.deduplicate(df.drop("file"), ["i"]).collect()) == [0, 3]
 
 
+def test_duplicates_by_digest_are_compared_whole(spark, monkeypatch):
+    rows = [(i, f"v{i % 7}" if i % 3 else None, float(i % 2), [i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, v string, x double, a array<int>")
+    first: dict = {}
+    for i, v, x, a in rows:
+        first.setdefault((v, x), (i, v, x, a))
+    want = sorted(first.values(), key=str)
+    got = lambda: sorted((tuple(r) for r in T.deduplicate(df, ["i"]).collect()), key=str)
+    assert got() == want
+    monkeypatch.setattr(T, "row_digest", lambda columns: [F.lit(1), F.lit(2)])  # all collide
+    assert got() == want
+
+
+def test_no_text_in_the_digests_exchange_and_no_large_task_for_a_repeated_row(spark):
+    df = spark.range(300_000).select("id", F.lit("same " * 20).alias("text"))
+    out = T.deduplicate(df.unionByName(spark.createDataFrame([(-1, "other")], "id long, text string")), ["id"])
+    assert sorted(tuple(r) for r in out.collect()) == [(-1, "other"), (0, "same " * 20)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "digest high" in plan
+    counts = [x for x in plan.split("\n") if "Exchange hashpartitioning(digest high" in x]
+    assert counts
+
+
+def test_support_sees_files_that_came_since(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "t").mkdir()
+    put = lambda name, tile: pq.write_table(pa.table({"HAT": [tile] * 4, "Date": ["d"] * 4, "license_plate": list("abcd"), "v": [1.0, 2.0, 3.0, 4.0]}), tmp_path / "t" / name)
+    tiles = lambda: sorted(r.HAT for r in A.mean_query(A.supported(A.accumulate(spark.read.parquet(str(tmp_path / "t")), "v"), 2.0)).collect())
+    put("1.parquet", "9 a")
+    assert tiles() == ["9 a"]
+    put("2.parquet", "9 b")
+    assert tiles() == ["9 a", "9 b"]
+
+
 def test_wall_clock_hours(spark):
     stamps = ["2020-01-01T08:59:59+05:30", "2020-01-01T09:00:00+05:30", "2020-01-01T20:59:59+05:30", "2020-01-01T21:00:00+05:30"]
     df = T.generalize_time(spark.createDataFrame([(s,) for s in stamps], "t string"), "t")

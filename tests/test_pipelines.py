@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from veilframe import cli
 from veilframe.config import MEDICAL_COUNT, MEDICAL_MEAN, Config, KAnonymity, Privacy
 from veilframe.operators import privacy, transforms
 from veilframe.pipelines import anonymize
-from veilframe.sources import readers, sinks
+from veilframe.sources import json_arrays, readers, sinks
 from veilframe.streaming import accumulate
 
 
@@ -53,6 +54,17 @@ def test_stream_gives_the_batch_state(spark, raw, tmp_path):
     assert got == sorted(tuple(r) for r in accumulate.accumulated(raw.drop("file"), SPATIO).collect())
 
 
+def test_stream_clamps_and_cuts_as_the_batch(spark, raw, tmp_path):
+    from dataclasses import replace
+
+    config = replace(SPATIO, privacy=replace(SPATIO.privacy, clamp=True, least=10.0, most=30.0))
+    raw.drop("file").write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.json(str(tmp_path / "in")).schema).json(str(tmp_path / "in"))
+    accumulate.accumulated(stream, config).writeStream.outputMode("complete").format("memory").queryName("clamped").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r.HAT, r.Date, r.license_plate): r.output_attribute_sum for r in spark.table("clamped").collect()}
+    assert got == {(r.HAT, r.Date, r.license_plate): r.output_attribute_sum for r in anonymize.grain(raw.drop("file"), replace(config, events_per_day=0)).collect()}
+
+
 def test_medical(spark):
     rows = [(f"n{i}", i, i % 60, "FM"[i % 2], i % 5, "Positive" if i % 3 else "Negative", i % 70) for i in range(600)]
     df = spark.createDataFrame(rows, "`Name` string, `Patient ID` int, `Age` int, `Gender` string, `PIN Code` int, `Test Result` string, `Days To Negative` int")
@@ -94,6 +106,85 @@ def test_sinks(spark, tmp_path):
     assert json.loads((tmp_path / "t.json").read_text()) == {"a": {"1.0": 2.0, "1.1": 1.0}}
 
 
+def test_documents_of_many_rows_are_written_by_the_tasks(spark, tmp_path):
+    n = 300_000
+    rows = spark.range(0, n, numPartitions=7).select("id", F.when(F.col("id") % 3 == 0, F.lit('a "quoted" é')).alias("t"))
+    sinks.write_by_row(rows, str(tmp_path / "k" / "rows.json"))
+    got = json.loads((tmp_path / "k" / "rows.json").read_text())
+    assert list(got) == [str(i) for i in range(n)] and got["3"] == {"id": 3, "t": 'a "quoted" é'} and got["4"] == {"id": 4, "t": None}
+    assert [p.name for p in (tmp_path / "k").iterdir() if not p.name.endswith(".crc")] == ["rows.json"]
+    sinks.write_records(rows.limit(0), str(tmp_path / "none.json"))
+    sinks.write_by_row(rows.filter("id in (5, 299999)"), str(tmp_path / "two.json"))  # most parts are empty
+    assert json.loads((tmp_path / "none.json").read_text()) == [] and json.loads((tmp_path / "two.json").read_text()) == {"0": {"id": 5, "t": None}, "1": {"id": 299999, "t": None}}
+    table = spark.createDataFrame([(None, 1.0), ("b", None), ('"', 2.0)], "k string, x double")
+    sinks.write_by_key(table, "k", str(tmp_path / "one.json"))
+    assert json.loads((tmp_path / "one.json").read_text()) == {'"': 2.0, "b": None, "None": 1.0}
+    wide = spark.range(600).select(F.concat(F.lit("9 t"), "id").alias("HAT"), F.explode(F.expr("sequence(1, 290)")).alias("i")).select("HAT", (F.col("i") / 10).alias("epsilon"), F.lit(0.5).alias("b"))
+    sinks.write_table(wide, "HAT", str(tmp_path / "wide.json"))
+    got = json.loads((tmp_path / "wide.json").read_text())
+    assert len(got) == 600 and list(got["9 t7"])[:3] == ["0.1", "0.2", "0.3"] and len(got["9 t7"]) == 290
+
+
+def hostile(rnd, depth):
+    k = rnd.random()
+    if k < 0.2 and depth:
+        return {rnd.choice('ab}{"\\['): hostile(rnd, depth - 1) for _ in range(rnd.randint(0, 3))}
+    if k < 0.4 and depth:
+        return [hostile(rnd, depth - 1) for _ in range(rnd.randint(0, 3))]
+    return "".join(rnd.choice('ab}{][",\\é\n 😀') for _ in range(rnd.choice([0, 3, 40]))) if k < 0.8 else rnd.choice([1, 2.5, None, True])
+
+
+@pytest.fixture
+def tiny_ranges(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 97)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_arrays_are_read_in_ranges(spark, tmp_path, tiny_ranges):
+    rnd, want = random.Random(1), []
+    for i in range(6):
+        made = [{"id": i * 1000 + j, "s": hostile(rnd, 2), "t": "}" * rnd.choice([0, 1, 300])} for j in range(rnd.choice([0, 1, 20]) if i else 25)]
+        want += made
+        (tmp_path / f"{i}.json").write_text(json.dumps(made, ensure_ascii=i % 2 == 0, indent=rnd.choice([None, 1])))
+    (tmp_path / "one.json").write_text(json.dumps({"id": -1, "s": {"q": ["}"]}}))
+    want.append({"id": -1, "s": {"q": ["}"]}})
+    norm = lambda x: json.dumps(x, sort_keys=True)
+    assert spark.read.text(str(tmp_path), lineSep="}").rdd.getNumPartitions() > 40
+    found = json_arrays.objects(spark, str(tmp_path))
+    assert sorted(norm(json.loads(r.value)) for r in found.collect()) == sorted(map(norm, want))
+
+
+def test_ranges_and_whole_documents_agree(spark, tmp_path, tiny_ranges):
+    (tmp_path / "a.json").write_text(json.dumps(list(observations(60))))
+    (tmp_path / "b.json").write_text(json.dumps([{k: v for k, v in r.items() if k != "trip_id"} | {"note": "x"} for r in observations(7)]))
+    whole = readers.read(spark, str(tmp_path), with_file=True)
+    ranges = readers.read(spark, str(tmp_path), with_file=True, large=100)
+    assert sorted(ranges.columns) == sorted(whole.columns) and dict(ranges.dtypes) == dict(whole.dtypes)
+    assert sorted(map(str, ranges.select(*[f"`{c}`" for c in whole.columns]).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_what_is_no_array_of_objects_is_an_error(spark, tmp_path, tiny_ranges):
+    for i, text in enumerate(['[1, {"a": 2}]', '[{"a": 1}, {"b": "x', '[{"a": [1, {"c": 2}', '[[{"a": 1}]]']):
+        (tmp_path / f"{i}.json").write_text(text)
+        with pytest.raises(Exception, match="no object|ends within"):
+            json_arrays.objects(spark, str(tmp_path / f"{i}.json")).collect()
+    (tmp_path / "e.json").write_text(" [ ] ")
+    assert json_arrays.objects(spark, str(tmp_path / "e.json")).count() == 0
+
+
+def test_drifting_types_and_misfits(spark, tmp_path):
+    for i, v in enumerate((1, 2.5, "x", {"k": 1})):
+        (tmp_path / f"{i}.json").write_text(json.dumps([{"v": v, "w": i}]))
+    got = {r.w: r.v for r in json_arrays.read(spark, str(tmp_path)).collect()}
+    assert got == {0: "1", 1: "2.5", 2: "x", 3: '{"k":1}'}
+    kept = {r.w: (r.v, r.odd) for r in json_arrays.read(spark, str(tmp_path), "v double, w int", misfits="odd").collect()}
+    assert kept[0] == (1.0, None) and kept[1] == (2.5, None) and all(kept[i][0] is None and '"v"' in kept[i][1] for i in (2, 3))
+
+
 SECTIONS = {
     "data_type": "medical",
     "medical": {

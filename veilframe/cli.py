@@ -1,7 +1,7 @@
 """``python -m veilframe.cli CONFIG OUTPUT FILE...``: run a configured pipeline and write its frames.
 
-As JSON lines, a folder a frame, at any size; with ``--documents`` as single documents under their
-published names, which is for small results. Row counts go to standard error.
+As JSON lines, a folder a frame; with ``--documents`` as single documents under their
+published names. Row counts go to standard error.
 """
 
 from __future__ import annotations

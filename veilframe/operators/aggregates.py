@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilframe.functions.columns import clip_lower, clip_upper, ratio
+from veilframe.sources.shared import settled
 
 GRAIN = ("HAT", "Date", "license_plate")
 
@@ -30,11 +31,13 @@ def observed(df: DataFrame, seen: dict[str, Observation] | None, name: str, dist
 def supported(grain: DataFrame, per_day: float, tile: str = "HAT", date: str = "Date") -> DataFrame:
     """Rows of tiles whose plates, counted per day and summed, reach ``per_day`` times the number of days in the frame.
 
-    The grain is read three times, so it is persisted, lazily and on disk beyond memory: raw rows are scanned once.
+    The grain, which is aggregated, goes to the checkpoint folder when this is called: raw rows are read once, a
+    later call sees files that came since, and nothing stays in executors' memory.
     """
-    grain = grain.persist()
-    days = grain.agg((F.count_distinct(date) * per_day).alias("least"))
-    kept = grain.groupBy(tile).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(days), F.col("n") >= F.col("least")).select(tile)  # one row of days
+    grain = settled(grain)
+    daily = grain.groupBy(tile, date).agg(F.count(F.lit(1)).alias("n"))
+    days = daily.agg((F.count_distinct(date) * per_day).alias("least"))
+    kept = daily.groupBy(tile).agg(F.sum("n").alias("n")).join(F.broadcast(days), F.col("n") >= F.col("least")).select(tile)  # one row of days
     return grain.join(kept, tile, "left_semi")
 
 

@@ -39,16 +39,30 @@ def pseudonymize(df: DataFrame, columns: Sequence[str], salt: str = "", separato
     return df.withColumn(name, F.sha2(F.concat(a, F.lit(separator), b, F.lit(salt)), 256)).drop(*columns)
 
 
+def row_digest(columns: Sequence[Column]) -> list[Column]:
+    """Two 64-bit hashes of a row; equal rows have equal ones, and others hardly ever."""
+    return [F.xxhash64(*columns), F.xxhash64(F.lit("veil"), *columns)]
+
+
 def deduplicate(df: DataFrame, order_by: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
-    """The first row, by ``order_by``, of those that agree in all columns but arrays and ``order_by``; within ``scope`` only, such as a file."""
+    """The first row, by ``order_by``, of those that agree in all columns but arrays and ``order_by``; within ``scope`` only, such as a file.
+
+    Digests are counted first, so no text is shuffled for that. Rows of a digest of its own stay as they are; only rows of a
+    repeated digest are compared, by all their columns, and copies among them go before the exchange, so a much repeated row is no large task.
+    """
     require(df, [*order_by, *scope])
     keys = [f.name for f in df.schema if not isinstance(f.dataType, ArrayType) and f.name not in order_by]
     keys = list(dict.fromkeys([*scope, *keys]))
     rest = [c for c in df.columns if c not in keys]
-    # copies go before the exchange, so a row that is much repeated is no large task
-    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in order_by])).alias("_first")
-    kept = df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(first)
-    return kept.select(*[F.col(f"`{c}`" if c in keys else f"_first.`{c}`").alias(c) for c in df.columns])
+    named = lambda names: [F.col(f"`{c}`") for c in names]
+    high, low = row_digest(named(keys) or [F.lit(0)])
+    hashed = df.withColumns({"digest high": high, "digest low": low})
+    digest = ["digest high", "digest low"]
+    repeated = hashed.groupBy(*digest).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*digest)
+    alone = hashed.join(repeated, digest, "left_anti").select(*named(df.columns))
+    first = F.min_by(F.struct(*named(rest)), F.struct(*named(order_by))).alias("first row")
+    kept = hashed.join(repeated, digest, "left_semi").groupBy(*named(keys)).agg(first)
+    return alone.unionByName(kept.select(*[F.col(f"`{c}`" if c in keys else f"`first row`.`{c}`").alias(c) for c in df.columns]))
 
 
 def generalize_time(df: DataFrame, column: str, keep_time: bool = False) -> DataFrame:

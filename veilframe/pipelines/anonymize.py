@@ -21,15 +21,19 @@ def common(df: DataFrame, config: Config) -> DataFrame:
     return out.drop("file")
 
 
-def grain(df: DataFrame, config: Config) -> DataFrame:
-    """Accumulated rows per tile, date and plate of supported tiles; hours are filtered before cells are made."""
+def tiles(df: DataFrame, config: Config) -> DataFrame:
+    """Rows of a batch or a stream with their tile and ``license_plate``; hours are filtered before cells are made."""
     p = config.privacy
     rows = transforms.filter_hours(transforms.generalize_time(df, config.time), *config.hours)
     if p.clamp:
         rows = rows.withColumn(p.output_attribute, clip_lower(clip_upper(F.col(f"`{p.output_attribute}`"), p.most), p.least))
-    tiles = transforms.add_tile(transforms.generalize_place(rows, config.place, config.resolution, indexer=transforms.INDEXERS[config.cells]))
-    kept = aggregates.accumulate(tiles.withColumnRenamed(config.plate, "license_plate"), p.output_attribute)
-    return aggregates.supported(kept, config.events_per_day)
+    placed = transforms.generalize_place(rows, config.place, config.resolution, indexer=transforms.INDEXERS[config.cells])
+    return transforms.add_tile(placed).withColumnRenamed(config.plate, "license_plate")
+
+
+def grain(df: DataFrame, config: Config) -> DataFrame:
+    """Accumulated rows per tile, date and plate of supported tiles."""
+    return aggregates.supported(aggregates.accumulate(tiles(df, config), config.privacy.output_attribute), config.events_per_day)
 
 
 def spatiotemporal(df: DataFrame, config: Config, uniform: privacy.Uniform | None = None, seen: dict[str, Observation] | None = None) -> dict[str, DataFrame]:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from veilframe.config import Config
-from veilframe.operators import aggregates, transforms
+from veilframe.operators import aggregates
+from veilframe.pipelines.anonymize import tiles
 
 
 def accumulated(stream: DataFrame, config: Config) -> DataFrame:
     """Stateful sums of a stream of raw rows; write it in update or complete mode. Never noise it per trigger."""
-    rows = transforms.filter_hours(transforms.generalize_time(stream, config.time), *config.hours)
-    tiles = transforms.add_tile(transforms.generalize_place(rows, config.place, config.resolution))
-    return aggregates.accumulate(tiles.withColumnRenamed(config.plate, "license_plate"), config.privacy.output_attribute)
+    return aggregates.accumulate(tiles(stream, config), config.privacy.output_attribute)
