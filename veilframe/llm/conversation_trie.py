@@ -6,8 +6,8 @@ of the last so many turns with that of as many before. Every node knows its pare
 
 What a node's subtree holds is added up by pointer jumping: in round k each node hands its sum to the ancestor 2^k above it and
 then points to the ancestor's ancestor, so a depth of n takes log2(n) rounds, not n. A round is an
-aggregation with map-side combining, a join of unique keys and a join whose frequent keys (a node below
-which a third of all conversations lies) are dealt out; it goes to the checkpoint folder.
+aggregation with map-side combining, a join of unique keys and a join in which frequent keys (a node below
+which a third of all conversations lies) are looked up by broadcast; it goes to the checkpoint folder.
 
 ``ends_sha256`` is a digest of ids in order. The ids are sorted by ranges, so a node where very many
 conversations end is divided among tasks, each of which writes its ids as few pieces of text; one stream reads a node's pieces.
@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.components import salted_join
 from veilframe.llm.shipping import settle, ship
 
 #: Characters of ids in a piece of text.
@@ -81,12 +80,19 @@ def members(df: DataFrame, ids: DataFrame | None = None, id_col: str = "conv_id"
     return settle(deep.unionByName(tops)), depth
 
 
-def rolled_up(nodes: DataFrame, depth: int, *values: str) -> DataFrame:
-    """``node`` and, of each value, the sum over its subtree, itself included; ``nodes`` has node, parent and the values."""
+def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """An inner join of ``rows``, ``total`` at most, with ``values``, which has a row per key. Keys of many rows, 10,000 keys at most, are broadcast with their values; the others' rows are shuffled."""
+    frequent = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(256, total // 10_000)).select(key)
+    few = rows.join(F.broadcast(values.join(F.broadcast(frequent), key)), key)
+    return few.unionByName(rows.join(F.broadcast(frequent), key, "left_anti").join(values, key))
+
+
+def rolled_up(nodes: DataFrame, depth: int, total: int, *values: str) -> DataFrame:
+    """``node`` and, of each value, the sum over its subtree, itself included; ``nodes``, ``total`` of them, have node, parent and the values."""
     now, reach = nodes.select("node", F.col("parent").alias("jump"), *values), 1
     while reach <= depth:
         below = now.filter("jump is not null").groupBy(F.col("jump").alias("node")).agg(*[F.sum(v).alias(f"{v} below") for v in values])
-        far = salted_join(now.filter("jump is not null").select("node", "jump"), now.select(F.col("node").alias("jump"), F.col("jump").alias("next")), "jump", "node").select("node", "next")
+        far = looked_up(now.filter("jump is not null").select("node", "jump"), now.select(F.col("node").alias("jump"), F.col("jump").alias("next")), "jump", total).select("node", "next")
         now = settle(now.drop("jump").join(below, "node", "left").join(far, "node", "left").select(
             "node", F.col("next").alias("jump"), *[(F.col(v) + F.coalesce(f"{v} below", F.lit(0).cast("long"))).alias(v) for v in values]))
         reach *= 2
@@ -145,8 +151,9 @@ def trie(df: DataFrame, ids: DataFrame | None = None, id_col: str = "conv_id", t
     children = each.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_children"))
     nodes = settle(each.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))))
     own = nodes.withColumns({"n_leaves": (F.col("n_children") == 0).cast("long"), "saved_tokens": (F.col("n_convs") - 1) * F.col("chars")})
-    sums = rolled_up(own, depth, "n_leaves", "saved_tokens")
-    above = salted_join(nodes.filter("parent is not null").select("node", "parent"), nodes.select(F.col("node").alias("parent"), F.col("id").alias("parent id")), "parent", "node").select("node", "parent id")
+    total = nodes.count()
+    sums = rolled_up(own, depth, total, "n_leaves", "saved_tokens")
+    above = looked_up(nodes.filter("parent is not null").select("node", "parent"), nodes.select(F.col("node").alias("parent"), F.col("id").alias("parent id")), "parent", total).select("node", "parent id")
     ends = ends_digests(found.filter("ends").select("node", "id"))
     return nodes.join(sums, "node").join(above, "node", "left").join(ends, "node", "left").select(
         "node", "parent", F.col("id").alias(id_col), "depth", F.col("parent id").alias(f"parent_{id_col}"), "n_convs", "n_children", "n_leaves", "saved_tokens",
