@@ -165,6 +165,75 @@ def test_error_formula_agrees_with_draws(spark):
     assert math.isclose(exact, drawn, rel_tol=0.02)
 
 
+def test_hmac_vectors(spark):
+    """RFC 4231, cases 1, 2, 6 and 7."""
+    cases = [
+        (b"\x0b" * 20, "Hi There", "b0344c61d8db38535ca8afceaf0bf12b881dc200c9833da726e9376c2e32cff7"),
+        (b"Jefe", "what do ya want for nothing?", "5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843"),
+        (b"\xaa" * 131, "Test Using Larger Than Block-Size Key - Hash Key First", "60e431591ee0b67f0d8a26aacbf5b77f8e0bc6213728c5140546040f0ee37f54"),
+        (b"\xaa" * 131, "This is a test using a larger than block-size key and a larger than block-size data. The key needs to be hashed before being used by the HMAC algorithm.", "9b09ffa71b942fcb27635fbcd5b0e944bfdc63644f0713938a7f51535c3a35e2")]
+    for key, text, want in cases:
+        assert one(spark, C.hmac_sha256(key, F.lit(text))) == want
+    assert one(spark, C.hmac_sha256(b"k", F.lit(None).cast("string"))) is None
+
+
+def test_keyed_pseudonyms(spark):
+    df = spark.createDataFrame([("ab", "c", "x", 1), ("a", "bc", "x", 2), ("a", None, "x", 3)], "a string, b string, c string, n int")
+    first, second, null = [r["Hashed Value"] for r in T.pseudonymize(df, ["a", "b", "c"], key=b"k").orderBy("n").collect()]
+    assert first != second and null is None and len(first) == 64
+    assert {r["Hashed Value"] for r in T.pseudonymize(df, ["a"], key=b"k").collect()} != {r["Hashed Value"] for r in T.pseudonymize(df, ["a"], key=b"l").collect()}
+    with pytest.raises(Exception, match="null in a column"):
+        T.pseudonymize(df, ["a", "b"], strict=True, key=b"k").collect()
+
+
+def test_noise_by_a_secret_is_the_same_at_each_read(spark):
+    df = spark.range(40).select(F.col("id").cast("string").alias("k"), F.lit(10.0).alias("query_output"))
+    read = lambda key, query: {r.k: r.noisy_output for r in privacy.noised_count(df.repartition(3), 1.0, privacy.secret(key, query, "k")).collect()}
+    assert read(b"s", "q") == read(b"s", "q") and len(set(read(b"s", "q").values())) == 40
+    assert read(b"s", "q") != read(b"s", "p") and read(b"s", "q") != read(b"t", "q")
+
+
+def test_geometric_noise_has_its_probabilities(spark):
+    alpha = math.exp(-0.5)
+    edges = spark.range(1, 400_000).select(C.two_sided_geometric(F.col("id") / 400_000, alpha).alias("k")).groupBy("k").count().collect()
+    got = {r.k: r["count"] / 400_000 for r in edges}  # an even grid of uniforms
+    for k in range(-8, 9):
+        assert math.isclose(got[k], (1 - alpha) / (1 + alpha) * alpha ** abs(k), abs_tol=1e-5), k
+
+
+def test_snapped_values(spark):
+    df = spark.range(4000).select(F.col("id").cast("string").alias("k"), F.lit(20.0).alias("query_output"))
+    noisy = [r.noisy_output for r in privacy.noised_snapped(df, F.lit(3.0), 65.0, b"s", "q", "k").collect()]
+    assert all(v % 4 == 0 or abs(v) == 65 for v in noisy) and max(map(abs, noisy)) <= 65
+    assert abs(sum(noisy) / 4000 - 20) < 0.5 and abs(sum(abs(v - 20) for v in noisy) / 4000 - 3) < 0.4
+    u = [r.u for r in df.select(C.full_uniform(F.sha2("k", 256)).alias("u")).collect()]
+    assert all(0 < x < 1 for x in u) and abs(sum(u) / 4000 - 0.5) < 0.02 and one(spark, C.full_uniform(F.lit("0" * 33 + "8" * 31))) < 2**-128
+
+
+def test_contributions_are_bounded_however_the_rows_lie(spark):
+    import hashlib
+
+    rows = [(i, "hot" if i % 2 else f"p{i % 40}", f"t{i % 7}") for i in range(4000)] + [(-1, None, "t1"), (-2, "p1", None)]
+    df = spark.createDataFrame(rows, "trip long, license_plate string, HAT string")
+    held = lambda n: sorted(tuple(r) for r in A.bounded(df.repartition(n), "trip", 3, 2, "salt").collect())
+    got, sha = held(1), lambda *x: hashlib.sha256("|".join(["salt", *map(str, x)]).encode()).hexdigest()
+    assert got == held(7)
+    want = []
+    for plate in {p for _, p, _ in rows if p}:
+        for tile in sorted({t for _, p, t in rows if p == plate and t}, key=lambda t: sha(plate, t))[:2]:
+            want += sorted((sha(i), (plate, tile, i)) for i, p, t in rows if (p, t) == (plate, tile))[:3]
+    assert got == sorted(w for _, w in want)
+    assert "WindowGroupLimit" in A.bounded(df, "trip", 3, 2, "salt")._jdf.queryExecution().executedPlan().toString()  # the least few, before the exchange
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([("a", 100.0, 40, 2.5), ("b", 30.0, 0, None)], "g string, sum double, count long, query_output double")
+    grid = privacy.epsilon_grid(spark, 0.5, 2.0, 0.5)
+    read = lambda n: [(r.epsilon, round(r.mae, 9)) for r in privacy.mean_error_simulated(df.repartition(n), grid, 8.0, draws=500, seed=1).orderBy("epsilon").collect()]
+    assert read(1) == read(5) and len(read(1)) == 3
+    assert privacy.mean_error_simulated(df, grid, 8.0, draws=500).count() == 3
+
+
 def test_grids(spark):
     assert privacy.epsilon_grid(spark, 0.01, 10.0, 0.1).count() == 100
     assert privacy.epsilon_grid(spark, 1.0, 30.0, 0.1).count() == 290

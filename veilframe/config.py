@@ -58,7 +58,10 @@ class KAnonymity:
 
 @dataclass(frozen=True)
 class Config:
-    """``data_type`` chooses the pipeline, ``operations`` what it does; nothing else runs."""
+    """``data_type`` chooses the pipeline, ``operations`` what it does; nothing else runs.
+
+    ``pseudonym_key``: pseudonyms by HMAC, of any number of columns. ``noise_key``: noise that this secret and the query decide, the same at each read.
+    """
 
     data_type: str
     operations: tuple[str, ...]
@@ -77,6 +80,8 @@ class Config:
     separator: str = ""
     strict_pseudonyms: bool = False
     cells: str = "grid"
+    pseudonym_key: str = ""
+    noise_key: str = ""
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):

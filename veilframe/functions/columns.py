@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,35 @@ def ratio(a: Column, b: Column) -> Column:
 
 def seeded_uniform(seed: str, key: Column) -> Column:
     """For tests only: a uniform value in (0, 1) that the key decides. Predictable noise protects nobody."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}|"), key), 256)
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    return hex_uniform(F.sha2(F.concat(F.lit(f"{seed}|"), key), 256))
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC-SHA-256 of the text's UTF-8 bytes (or of binary values), as lowercase hex; null of null."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def hex_uniform(digest: Column, first: int = 1) -> Column:
+    """A value in (0, 1) from 13 hex digits, 52 bits."""
+    return (F.conv(F.substring(digest, first, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+
+
+def full_uniform(digest: Column) -> Column:
+    """A value in (0, 1) as close to a real draw as doubles are: the leading zeros of 128 bits are its exponent, 52 further bits its fraction."""
+    zeros = F.length(F.regexp_extract(F.substring(digest, 1, 32), "^(0*)", 1))
+    lead = F.substring(digest, zeros + 1, F.lit(1))
+    within = F.when(lead == "1", 3).when(lead.isin("2", "3"), 2).when(lead.isin("4", "5", "6", "7"), 1).otherwise(0)
+    return F.pow(F.lit(2.0), -(4 * zeros + within + 1)) * (1 + F.conv(F.substring(digest, 33, 13), 16, 10).cast("long") / float(1 << 52))
+
+
+def two_sided_geometric(uniform: Column, alpha: Column | float) -> Column:
+    """A whole number k with probability (1 - alpha) / (1 + alpha) * alpha^|k|, by inversion; ``uniform`` should be bound beforehand."""
+    alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
+    side = 1 - 2 * F.abs(uniform - 0.5)
+    size = F.greatest(F.ceil(F.ln(side * (1 + alpha) / 2) / F.ln(alpha)) - 1, F.lit(0))
+    return F.when(uniform < 0.5, -size).otherwise(size).cast("long")
 
 
 def drawn_uniform(seed: int | None = None) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.columns import clip_lower, clip_upper, ratio
@@ -41,6 +41,19 @@ def supported(grain: DataFrame, per_day: float, tile: str = "HAT", date: str = "
     return grain.join(kept, tile, "left_semi")
 
 
+def bounded(df: DataFrame, row: str, per_tile: int, tiles: int, salt: str, tile: str = "HAT", plate: str = "license_plate") -> DataFrame:
+    """At most ``per_tile`` rows a plate and tile and ``tiles`` tiles a plate: those of least salted digest, of the tile's name and of the column ``row``.
+
+    The least few are kept in each task before the exchange and again after it, so a plate with half of all rows is no
+    large task, and any split of the rows keeps the same ones. Rows without plate or tile are left out.
+    """
+    rows = df.dropna(subset=[tile, plate])
+    digest = lambda *columns: F.sha2(F.concat_ws("|", F.lit(salt), *[F.col(f"`{c}`").cast("string") for c in columns]), 256)
+    least = lambda of, keys, n: of.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("digest"))).filter(F.col("at") <= n).drop("at", "digest")
+    chosen = least(rows.select(plate, tile).distinct().withColumn("digest", digest(plate, tile)), [plate], tiles)
+    return least(rows.join(chosen, [plate, tile], "left_semi").withColumn("digest", digest(row)), [plate, tile], per_tile)
+
+
 def mean_query(grain: DataFrame, tile: str = "HAT", plate: str = "license_plate") -> DataFrame:
     """Mean per tile, with what its sensitivity needs: the most observations of a plate in the tile."""
     by_plate = grain.groupBy(tile, plate).agg(F.sum("output_attribute_sum").alias("s"), F.sum("output_attribute_count").alias("c"))

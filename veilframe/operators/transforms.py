@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from veilframe.functions.columns import tile
+from veilframe.functions.columns import hmac_sha256, tile
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> None:
@@ -24,19 +24,23 @@ def suppress(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*columns)
 
 
-def pseudonymize(df: DataFrame, columns: Sequence[str], salt: str = "", separator: str = "", strict: bool = False, name: str = "Hashed Value") -> DataFrame:
+def pseudonymize(df: DataFrame, columns: Sequence[str], salt: str = "", separator: str = "", strict: bool = False, name: str = "Hashed Value", key: bytes = b"") -> DataFrame:
     """The columns give way to the SHA-256 of their values joined by ``separator`` and followed by ``salt``.
 
     Two columns are asked for. Without a separator "ab" + "c" meets "a" + "bc". A null value gives
-    a null pseudonym, or an error if ``strict``.
+    a null pseudonym, or an error if ``strict``. With a ``key`` the pseudonym is the HMAC-SHA-256 of any number of columns, each
+    after its length, so that only who has the key can try values out, and no two rows of values meet.
     """
     require(df, columns)
-    if len(columns) != 2:
-        raise ValueError("a pseudonym is made of two columns")
-    a, b = (F.col(f"`{c}`").cast("string") for c in columns)
+    if not key and len(columns) != 2 or not columns:
+        raise ValueError("a pseudonym is made of two columns, or with a key of any number")
+    values = [F.col(f"`{c}`").cast("string") for c in columns]
     if strict:
-        a, b = (F.coalesce(c, F.raise_error(F.lit("null in a column of a pseudonym"))) for c in (a, b))
-    return df.withColumn(name, F.sha2(F.concat(a, F.lit(separator), b, F.lit(salt)), 256)).drop(*columns)
+        values = [F.coalesce(c, F.raise_error(F.lit("null in a column of a pseudonym"))) for c in values]
+    if key:
+        said = F.concat(*[part for v in values for part in (F.length(v).cast("string"), F.lit(":"), v)], F.lit(salt))
+        return df.withColumn(name, hmac_sha256(key, said)).drop(*columns)
+    return df.withColumn(name, F.sha2(F.concat(values[0], F.lit(separator), values[1], F.lit(salt)), 256)).drop(*columns)
 
 
 def row_digest(columns: Sequence[Column]) -> list[Column]:

@@ -17,7 +17,7 @@ def common(df: DataFrame, config: Config) -> DataFrame:
     if "suppress" in config.operations:
         out = transforms.suppress(out, config.suppress)
     if "pseudonymize" in config.operations:
-        out = transforms.pseudonymize(out, config.pseudonymize, salt=config.salt, separator=config.separator, strict=config.strict_pseudonyms)
+        out = transforms.pseudonymize(out, config.pseudonymize, salt=config.salt, separator=config.separator, strict=config.strict_pseudonyms, key=config.pseudonym_key.encode())
     return out.drop("file")
 
 
@@ -36,12 +36,18 @@ def grain(df: DataFrame, config: Config) -> DataFrame:
     return aggregates.supported(aggregates.accumulate(tiles(df, config), config.privacy.output_attribute), config.events_per_day)
 
 
+def _noise(config: Config, *keys: str) -> privacy.Uniform:
+    """Fresh noise, or by the secret key, the query with its bounds, and the rows' group."""
+    p = config.privacy
+    return privacy.secret(config.noise_key.encode(), f"{config.data_type}|{p}", *keys) if config.noise_key else privacy.fresh()
+
+
 def spatiotemporal(df: DataFrame, config: Config, uniform: privacy.Uniform | None = None, seen: dict[str, Observation] | None = None) -> dict[str, DataFrame]:
     out: dict[str, DataFrame] = {}
     if {"suppress", "pseudonymize"} & set(config.operations):
         out["anonymized"] = aggregates.observed(common(df, config), seen, "anonymized")
     if "dp" in config.operations:
-        p, uniform = config.privacy, uniform or privacy.fresh()
+        p, uniform = config.privacy, uniform or _noise(config, "HAT")
         rows = aggregates.observed(grain(df.drop("file"), config), seen, "supported", ["HAT", "Date"])
         grid = privacy.epsilon_grid(df.sparkSession, 1.0, 30.0, config.privacy.epsilon_step)
         if p.query == "mean":
@@ -68,7 +74,7 @@ def medical(df: DataFrame, config: Config, uniform: privacy.Uniform | None = Non
         out["k_anonymous"] = aggregates.observed(kanon.assign(df.drop("file"), k.attribute, bins, k.least, k.most, k.strict), seen, "k_anonymous", [f"{k.attribute} Bin"])
         out["k_counts"] = kanon.assign(hist, k.attribute, bins, k.least, k.most, k.strict)
     if "dp" in config.operations:
-        p, uniform = config.privacy, uniform or privacy.fresh()
+        p, uniform = config.privacy, uniform or _noise(config, *config.privacy.aggregate)
         (group,), grid = p.aggregate, privacy.epsilon_grid(df.sparkSession, 0.01, 10.0, p.epsilon_step)
         if p.query == "count":
             noisy = privacy.noised_count(aggregates.category_count(df, group, p.output_attribute, p.selected), p.epsilon, uniform)

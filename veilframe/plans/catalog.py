@@ -67,6 +67,14 @@ def suppress_pseudonymize(spark, d):
     return transforms.pseudonymize(suppress(spark, d), ["c_name", "c_custkey"], name="hashed_value")
 
 
+#: For tests and comparisons: keys of a real release are secrets.
+KEY = b"not a secret"
+
+
+def pseudonymize_keyed(spark, d):
+    return transforms.pseudonymize(_table(spark, d, "customer", "c_name", "c_custkey", "c_nationkey", "c_mktsegment"), ["c_name", "c_custkey", "c_nationkey"], name="hashed_value", key=KEY)
+
+
 def dedup_keep_first(spark, d):
     return transforms.deduplicate(_table(spark, d, "documents", "doc_id", "text", "lang", "source"), ["doc_id"]).select("doc_id", "lang", "source")
 
@@ -139,6 +147,37 @@ def st_dp_count(spark, d):
     return privacy.post_process(privacy.noised_count(counts, EPSILON, privacy.keyed("seed", "HAT")), "count").select("HAT", F.round("query_output", 6).alias("query_output"), "noisy_output")
 
 
+def st_dp_mean_keyed(spark, d):
+    noisy = privacy.noised_tile_mean(_means(spark, d), EPSILON, privacy.secret(KEY, "mean of speed", "HAT"))
+    return privacy.post_process(noisy, "mean").select("HAT", F.round("query_output", 6).alias("query_output"), "noisy_output")
+
+
+def st_dp_mean_snapped(spark, d):
+    noisy = privacy.noised_snapped(_means(spark, d), F.col("sensitivity") / EPSILON, MOST, KEY, "mean of speed", "HAT")
+    return noisy.select("HAT", F.round("query_output", 6).alias("query_output"), "noisy_output")
+
+
+#: Observations that a plate gives to a tile, and tiles of a plate, at most.
+PER_TILE, TILES = 2, 4
+
+
+def _bounded(spark, d):
+    rows = aggregates.bounded(_tiles(spark, d), "trip_id", PER_TILE, TILES, "salt")
+    return aggregates.mean_query(aggregates.accumulate(rows, "speed"))
+
+
+def st_mean_bounded(spark, d):
+    """Means of bounded contributions, the sensitivity that the bounds give, and the one that the data give without them."""
+    free = privacy.with_sensitivity(aggregates.mean_query(_grain(spark, d)), LEAST, MOST).select("HAT", F.round("sensitivity", 6).alias("sensitivity"))
+    held = _bounded(spark, d).select("HAT", "sum_of_counts", F.round("query_output", 6).alias("query_output"), F.lit(PER_TILE * MOST).alias("bound_of_sum"), F.lit(PER_TILE).cast("long").alias("bound_of_count"))
+    return held.join(free, "HAT")
+
+
+def st_dp_mean_bounded(spark, d):
+    noisy = privacy.noised_bounded_mean(_bounded(spark, d), EPSILON, PER_TILE, TILES, LEAST, MOST, privacy.keyed("seed", "HAT"))
+    return privacy.post_process(noisy, "mean").select("HAT", "noisy_output")
+
+
 def _tests(spark, d):
     return _table(spark, d, "orders", "o_custkey", "o_orderstatus").join(_table(spark, d, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
 
@@ -159,6 +198,10 @@ def med_dp_count(spark, d):
     return privacy.post_process(privacy.noised_count(med_count_query(spark, d), EPSILON, privacy.keyed("seed", "c_nationkey")), "count")
 
 
+def med_dp_count_geometric(spark, d):
+    return privacy.noised_count_geometric(med_count_query(spark, d), 0.2, privacy.keyed("seed", "c_nationkey"))
+
+
 def med_dp_mean(spark, d):
     means = aggregates.category_mean(_days(spark, d), "l_returnflag", "days", DAYS_MOST)
     return _rounded(privacy.post_process(privacy.noised_category_mean(means, EPSILON, DAYS_MOST, privacy.keyed("seed", "l_returnflag")), "mean"), "query_output")
@@ -175,7 +218,13 @@ def med_mean_mae_analytic(spark, d):
 
 def med_mean_mae_mc(spark, d):
     means = aggregates.category_mean(_days(spark, d), "l_returnflag", "days", DAYS_MOST)
-    return privacy.mean_error_simulated(means, _medical_grid(spark), DAYS_MOST, seed=7)
+    return _rounded(privacy.mean_error_simulated(means, _medical_grid(spark), DAYS_MOST, seed=7), "mae")
+
+
+def med_mean_mae_mc_few(spark, d):
+    """The same at 2,000 draws."""
+    means = aggregates.category_mean(_days(spark, d), "l_returnflag", "days", DAYS_MOST)
+    return _rounded(privacy.mean_error_simulated(means, _medical_grid(spark), DAYS_MOST, draws=2_000, seed=7), "mae")
 
 
 def normalized_mae(spark, d):
@@ -226,9 +275,9 @@ def k_assign_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    suppress, pseudonymize, suppress_pseudonymize, dedup_keep_first, dedup_arrays_aside, temporal_generalize, temporal_filter, hat_create, coords_parse,
+    suppress, pseudonymize, pseudonymize_keyed, suppress_pseudonymize, dedup_keep_first, dedup_arrays_aside, temporal_generalize, temporal_filter, hat_create, coords_parse,
     st_accumulate, st_event_filter, st_mean_query, st_count_query, st_time_range, st_sensitivity, st_eps_table, st_eps_table_avg, st_count_eps_table,
-    st_dp_mean, st_dp_count, med_count_query, med_mean_query, med_dp_count, med_dp_mean, med_count_eps_table, med_mean_mae_analytic, med_mean_mae_mc,
+    st_dp_mean, st_dp_count, st_dp_mean_keyed, st_dp_mean_snapped, st_mean_bounded, st_dp_mean_bounded, med_dp_count_geometric, med_mean_mae_mc_few, med_count_query, med_mean_query, med_dp_count, med_dp_mean, med_count_eps_table, med_mean_mae_analytic, med_mean_mae_mc,
     normalized_mae, age_histogram, k_width, k_assign_full, k_assign_counts, k_assign_strict, k_strict_sizes, k_unattainable)}
 
 _G = """o AS (SELECT CAST(event_id AS VARCHAR) AS trip_id, CAST(user_id AS VARCHAR) AS license_plate, ts, value AS speed, CAST(hour(ts) AS INT) AS slot,
@@ -261,6 +310,29 @@ def _lap(key: str, scale: str, name: str = "noise") -> str:
     return f"(-({scale}) * sign({u}) * ln(1 - 2 * abs({u})))"
 
 
+def _hmac(message: str) -> str:
+    """HMAC-SHA-256 of a text, written out."""
+    inner, outer = ("".join(f"{b ^ pad:02x}" for b in KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
+
+
+def _simulated(draws: int) -> str:
+    unit = lambda first: f"((CAST('0x' || d[{first}:{first + 12}] AS BIGINT) + 0.5) / 4503599627370496.0 - 0.5)"
+    lap = lambda x: f"(-sign({x}) * ln(1 - 2 * abs({x})))"
+    return f"""SELECT epsilon, round(avg(abs((s * epsilon + a) / (c * epsilon + b) - s / c)), 6) AS mae FROM (
+        SELECT s, c::DOUBLE AS c, 8 * {lap(unit(1))} AS a, {lap(unit(14))} AS b FROM (SELECT *, sha256('7|' || l_returnflag || '|' || i) AS d FROM {_DAYS}, range({draws}) t(i))), {_EM} GROUP BY 1"""
+
+
+_SNAP = f"""SELECT HAT, q, b, pow(2, ceil(log2(b))) AS l, CASE WHEN d[64] < '8' THEN -1 ELSE 1 END AS side,
+  pow(2.0, -(4 * z + CASE WHEN n = '1' THEN 3 WHEN n IN ('2', '3') THEN 2 WHEN n IN ('4', '5', '6', '7') THEN 1 ELSE 0 END + 1)) * (1 + CAST('0x' || d[33:45] AS BIGINT) / 4503599627370496.0) AS u
+  FROM (SELECT *, d[z+1] AS n FROM (SELECT *, length(d[1:32]) - length(ltrim(d[1:32], '0')) AS z FROM (
+    SELECT HAT, query_output AS q, CAST(sensitivity AS DOUBLE) / 2 AS b, {_hmac("'mean of speed|snap|' || HAT")} AS d FROM {_MEANS.format('f')})))"""
+_BOUND = """, k AS (SELECT HAT, license_plate FROM (SELECT DISTINCT HAT, license_plate FROM o WHERE slot BETWEEN 9 AND 20)
+  QUALIFY row_number() OVER (PARTITION BY license_plate ORDER BY sha256('salt|' || license_plate || '|' || HAT)) <= 4),
+e AS (SELECT * FROM o SEMI JOIN k USING (HAT, license_plate) QUALIFY row_number() OVER (PARTITION BY HAT, license_plate ORDER BY sha256('salt|' || trip_id)) <= 2),
+h AS (SELECT HAT, count(speed) AS n, coalesce(sum(speed), 0) AS s FROM e WHERE Date IS NOT NULL GROUP BY 1)"""
+
+
 def _post(value: str, scale: int) -> str:
     return f"round_even(greatest({value}, 0) * {scale}, 0) / {scale}"
 
@@ -306,6 +378,17 @@ ORACLES = {
     "med_count_eps_table": f"SELECT epsilon, round(1 / epsilon, 6) AS b FROM {_EM}",
     "med_mean_mae_analytic": f"""SELECT epsilon, round(avg((a * a + a * k + k * k) / ((a + k) * c)), 6) AS mae
         FROM (SELECT epsilon, 8 / epsilon AS a, s / c / epsilon AS k, c FROM {_DAYS}, {_EM}) GROUP BY 1""",
+    "med_mean_mae_mc": _simulated(1_000_000),
+    "med_mean_mae_mc_few": _simulated(2_000),
+    "med_dp_count_geometric": f"""SELECT c_nationkey, q AS query_output, CAST(q + CASE WHEN u < 0 THEN -1 ELSE 1 END * greatest(ceil(ln((1 - 2 * abs(u)) * (1 + exp(-0.2::DOUBLE)) / 2) / -0.2::DOUBLE) - 1, 0) AS BIGINT) AS noisy_output
+        FROM (SELECT *, {_U.format('CAST(c_nationkey AS VARCHAR)', 'noise')} AS u FROM {_POSITIVE})""",
+    "pseudonymize_keyed": "SELECT c_mktsegment, " + _hmac("length(c_name) || ':' || c_name || length(CAST(c_custkey AS VARCHAR)) || ':' || c_custkey || length(CAST(c_nationkey AS VARCHAR)) || ':' || c_nationkey") + " AS hashed_value FROM customer",
+    "st_dp_mean_keyed": f"""WITH {_G} SELECT HAT, round(query_output, 6) AS query_output, {_post('query_output - CAST(sensitivity AS DOUBLE) / 2 * sign(u) * ln(1 - 2 * abs(u))', 1000)} AS noisy_output
+        FROM (SELECT *, (CAST('0x' || {_hmac("'mean of speed|noise|' || HAT")}[1:13] AS BIGINT) + 0.5) / 4503599627370496.0 - 0.5 AS u FROM {_MEANS.format('f')})""",
+    "st_dp_mean_snapped": f"WITH {_G} SELECT HAT, round(q, 6) AS query_output, greatest(least(round_even((greatest(least(q, 65), -65) + side * b * ln(u)) / l, 0) * l, 65), -65) AS noisy_output FROM ({_SNAP})",
+    "st_mean_bounded": f"""WITH {_G}{_BOUND} SELECT HAT, CAST(n AS BIGINT) AS sum_of_counts, round(s / n, 6) AS query_output, 130.0::DOUBLE AS bound_of_sum, CAST(2 AS BIGINT) AS bound_of_count, round(CAST(sensitivity AS DOUBLE), 6) AS sensitivity
+        FROM h JOIN {_MEANS.format('g')} USING (HAT)""",
+    "st_dp_mean_bounded": f"""WITH {_G}{_BOUND} SELECT HAT, {_post('(s + ' + _lap('HAT', '2 * 65 / 0.25::DOUBLE', 'sum') + ') / (n + ' + _lap('HAT', '2 / 0.25::DOUBLE', 'count') + ')', 1000)} AS noisy_output FROM h""",
     "normalized_mae": f"WITH {_G} SELECT epsilon, round(avg(CAST(sensitivity AS DOUBLE) / epsilon / query_output), 6) AS normalized_mae FROM {_MEANS.format('f')}, {_E} GROUP BY 1",
     "age_histogram": f"WITH {_HIST} SELECT a AS p_size, n AS Count FROM h",
     "k_width": f"WITH {_WIDTH} SELECT 200 AS k, width FROM k",
