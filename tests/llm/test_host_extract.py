@@ -1,6 +1,8 @@
 import re
 from html import unescape
 
+import pytest
+
 from veilframe.llm import host_extract as X
 from veilframe.llm.queries import op3_host_extract
 
@@ -89,3 +91,59 @@ def test_hostile_pages_take_time_in_proportion():
             X.votes(piece * n)
             took.append(time.process_time() - began)
         assert took[1] < 30 * took[0] + 0.5, (piece, took)
+
+
+@pytest.mark.parametrize("name", ["discussion", "related-work", "notice", "share-prices", "replies", "comments-on-the-text"])
+def test_sections_of_an_article_stay_whatever_their_name(name):
+    inner = f'<section id="{name}"><h2>Head</h2><p>{BODY}</p><p>{BODY}</p></section>'
+    assert X.main_text(f"<body><article><p>{BODY}</p>{inner}<p>{BODY}</p></article>", None) == f"{BODY} Head {BODY} {BODY} {BODY}"
+
+
+@pytest.mark.parametrize("inner", [
+    f'<section class="comments"><h2>Comments</h2><p>{BODY}</p><p>{BODY}</p></section>', f'<div id="discussion"><ul><li>{BODY}</li><li>{BODY}</li></ul></div>',
+    '<aside class=x><p>Other words that are long enough to count, really.</p></aside>', f'<div class="related"><p><a href=x>{BODY}</a></p><p><a href=y>{BODY}</a></p></div>',
+    f'<div class="cookie-notice"><h3>Cookies</h3><p>{BODY}</p><p>{BODY}</p></div>', f'<div class="replies"><div class="reply"><p>{BODY}</p></div><div class="reply"><p>{BODY}</p></div></div>'])
+def test_what_is_no_section_goes(inner):
+    assert X.main_text(f"<body><article><p>{BODY}</p>{inner}<p>{BODY}</p></article>", None) == f"{BODY} {BODY}"
+
+
+def test_a_section_that_a_hosts_pages_repeat_goes(spark):
+    notice = f'<section class="notice"><h2>Rights</h2><p>{BODY}</p><p>{BODY}</p></section>'
+    own = lambda i: f'<section class="notice"><h2>Rights</h2><p>{BODY} {i}.</p><p>{BODY}</p></section>'
+    rows = [(i, "http://h.org/", f"<body><article><p>{BODY} {i}</p>{notice if i % 2 else own(i)}</article>") for i in range(8)]
+    got = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"{BODY} {i}" if i % 2 else f"{BODY} {i} Rights {BODY} {i}. {BODY}") for i in range(8))
+
+
+def test_quoted_values_of_any_length_are_no_text():
+    html = f'<article><p>{BODY}</p><img src="data:{"A" * 50_000}"><p data-x=\'{"<b>y" * 3000}\'>{BODY}</p></article>'
+    assert X.main_text(html, None) == f"{BODY} {BODY}"
+
+
+def test_a_page_of_very_many_equal_posts():
+    import time
+
+    html = "<body>" + '<div class=post><p>Some words of a post, and some more of them.</p></div>' * 50_000
+    began = time.process_time()
+    text = X.main_text(html, [X.Page("<body><div class=post>x").nodes[-1].path])
+    assert len(html) > 3_500_000 and text.count("Some") == 50_000 and time.process_time() - began < 10
+    late = "<body>" + "<div class=post></div>" * 60 + f"<div class=post><p>{BODY}</p></div><div class=other><p>{BODY} {BODY}</p></div>"
+    assert X.main_text(late, [X.Page("<body><div class=post>x").nodes[-1].path]) == BODY
+
+
+def test_a_host_with_more_templates_than_its_pages_carry(spark, monkeypatch):
+    rows = [(i, "http://h.org/", f"<body><div class=t{'abcdefgh'[i % 8]}><p>{BODY} {i}</p></div><div class=extra><p>Extra words.</p></div>") for i in range(40)]
+    rows.append((40, "http://h.org/", f"<body><div class=tc><p>Tiny.</p></div><div class=extra><p>{BODY} {BODY}</p></div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda: sorted(tuple(r) for r in X.extract(df.union(df.limit(1))).collect())
+    want = texts()
+    assert want[-1][-1] == "Tiny." and len(want) == 42
+    monkeypatch.setattr(X, "TEMPLATES", 3)
+    assert texts() == want
+
+
+def test_ties_between_paths_are_settled_by_name(spark):
+    rows = [(i, "http://h.org/", f"<body><article class={c}><p>{BODY} {c}</p></article><article class={d}><p>{BODY} {d}</p></article>") for i, (c, d) in enumerate([("x", "y"), ("y", "x")] * 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = sorted(X.extract(df).collect())
+    assert len({r.text for r in texts}) == 1 and texts == sorted(X.extract(df.repartition(3)).collect())
