@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from veilframe.llm import decontaminate as D
 from veilframe.llm.queries import op7_decontaminate
 
@@ -46,6 +48,22 @@ def test_blocks_overlaps_and_offsets(spark, monkeypatch):
     assert D.scan(df, bench.limit(0)).agg({"n_hit": "sum"}).first()[0] == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_ten_blocks_find_what_one_does_with_one_automaton_a_stage(spark, monkeypatch, few):
+    items = [(f"q{i:02}", " ".join(f"w{(7 * i + k) % 90}" for k in range(12))) for i in range(40)] + [(None, "w1 w2"), ("dup", "w1 w2"), ("none", None)]
+    docs = [(i, " ".join(f"w{(7 * (i % 50) + k) % 90}" for k in range(i % 30))) for i in range(200)] + [(None, None), (7, ""), (7, "w1 W2, w3")] + [(1000 + i, "w1 w2 " * 30) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    df = spark.createDataFrame([(i, t, "x", "clash") for i, t in docs], "doc_id long, text string, digest string, `all runs` string")
+    read = lambda: sorted(map(str, D.scan(df, bench, window=5, keep_columns=True).collect()))
+    want = read()
+    monkeypatch.setattr(D, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(D, "small", lambda _: few)
+    assert len(list(D._blocks(bench, "item_id", "text"))) >= 10
+    assert read() == want
+    plan = D.scan(df, bench, window=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_query(spark, sf_dir):
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     windows = {}

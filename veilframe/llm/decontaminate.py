@@ -7,8 +7,9 @@ scan costs a step per word, whatever the number of items. A word inside an occur
 runs of hit words are mapped back to character offsets of the original text.
 
 The items are a test set that the driver reads in blocks of ``BLOCK_WORDS`` words; each block
-is one broadcast automaton. A set beyond one block is scanned block after block, and the runs
-found so far travel with the row, so memory stays bounded and nothing is left out.
+is one broadcast automaton. A set beyond one block takes a job a block: what a block finds is kept by the digest of the
+text, in the checkpoint folder, before the next block is read, so a worker has one automaton at a time however many
+there are, the driver one block, and nothing is left out.
 
 Defined cases: null and empty texts have no words and no hits; a null item id is written as
 the empty string; rows with equal item ids count as one item; repeated documents get equal
@@ -21,13 +22,16 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.shipping import keep, map_batches
+from veilframe.llm.components import SALTS
+from veilframe.llm.shipping import keep, map_batches, settle, small
 
 #: Some 1.1 KB of a worker a word: a block's automaton takes about 230 MB.
 WINDOW, BLOCK_WORDS = 10, 200_000
@@ -122,34 +126,72 @@ def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str
     picked = df.drop(*ADDED) if keep_columns else df.select(f"`{id_col}`", f"`{text_col}`")
     names, at = picked.columns, picked.columns.index(text_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
-    n = len(names)
-    found_so_far = "runs array<int>, items array<string>"
-    now = picked.select("*", F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"))
+    added = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
     blocks = _blocks(benchmark, item_col, item_text_col)
-    block = next(blocks)
-    while block is not None:
-        after = next(blocks, None)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        shared, name = df.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batch: pa.RecordBatch, name=uuid.uuid4().hex, shared=df.sparkSession.sparkContext.broadcast(block), last=after is None) -> pa.RecordBatch:
-            machine, runs, items, n_words, spans = _automaton(name, shared, window), [], [], [], []
-            for text, old_runs, old_items in zip(*(batch.column(k).to_pylist() for k in (at, n, n + 1))):
+        def once(batch: pa.RecordBatch) -> pa.RecordBatch:
+            machine, texts, scanned = _automaton(name, shared, window), batch.column(at).to_pylist(), []
+            for text in texts:
                 words = words_of(text)
-                pairs, found = machine.scan(words)
-                if old_runs:
-                    pairs = merged([*zip(old_runs[::2], old_runs[1::2]), *pairs])
-                runs.append(pairs)
-                items.append(sorted(found.union(old_items)))
-                n_words.append(len(words))
-                spans.append(offsets(text, pairs) if last else None)
-            named = pa.array(items, pa.list_(pa.string()))
-            if not last:
-                flat = pa.array([[x for pair in pairs for x in pair] for pairs in runs], pa.list_(pa.int32()))
-                return pa.RecordBatch.from_arrays([*batch.columns[:n], flat, named], names=[*names, "runs", "items"])
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            n_hit = [sum(b - a for a, b in pairs) for pairs in runs]
-            return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), named, pa.array(spans, span)], names=[*names, *ADDED])
-
-        added = found_so_far if after is not None else "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-        now = map_batches(now, run, f"{kinds}, {added}", text_at=at)
-        block = after
+                scanned.append((*machine.scan(words), len(words)))
+            return _figures(batch, names, texts, scanned)
+
+        now = map_batches(picked, once, f"{kinds}, {added}", text_at=at)
+        return now if keep_columns else now.select(f"`{id_col}`", *ADDED)
+
+    aside = picked.toDF(*[f"column {i}" for i in range(len(names))])  # names that no result has
+    digest = F.unhex(F.sha2(F.col(f"`column {at}`"), 256))
+    texts, found = aside.select(digest.alias("digest"), F.col(f"`column {at}`").alias("text")).filter("text is not null"), []
+    for n, block in enumerate(chain([block, after], blocks)):
+        found.append(settle(_hits(texts, block, window).dropDuplicates(["digest"]).withColumn("block", F.lit(n))))  # a text's copies all find the same
+    hits = settle(reduce(DataFrame.unionByName, found).groupBy("digest").agg(  # at most a row a block
+        F.flatten(F.collect_list("runs")).alias("all runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("all items")))
+    keyed = aside.withColumn("digest of text", digest).withColumn("salt of row", F.monotonically_increasing_id())
+    renamed = hits.withColumnRenamed("digest", "digest of text")
+    joined = keyed.join(F.broadcast(renamed), "digest of text", "left") if small(hits) else _met(keyed, renamed)
+    met = joined.select(*[F.col(f"`{c}`") for c in aside.columns], "all runs", "all items")
+
+    def together(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, runs, items = (batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1))
+        scanned = [(merged([*zip(r[::2], r[1::2])]) if r else [], i or [], len(words_of(t))) for t, r, i in zip(texts, runs, items)]
+        return _figures(batch, names, texts, scanned)
+
+    now = map_batches(met, together, f"{kinds}, {added}", text_at=at)
     return now if keep_columns else now.select(f"`{id_col}`", *ADDED)
+
+
+def _hits(texts: DataFrame, block: list, window: int) -> DataFrame:
+    """``digest``, ``runs`` (first, end, first, end, ...) and ``items`` of the texts that hold something of the block."""
+    shared, name = texts.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        machine, at, runs, items = _automaton(name, shared, window), [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            pairs, names = machine.scan(words_of(text))
+            if pairs:
+                at.append(i)
+                runs.append([x for pair in pairs for x in pair])
+                items.append(sorted(names))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at, pa.int32())), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["digest", "runs", "items"])
+
+    return map_batches(texts, run, "digest binary, runs array<int>, items array<string>")
+
+
+def _met(keyed: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows with their text's hits; the copies of a text are dealt out."""
+    salt = F.pmod(F.col("salt of row"), F.lit(SALTS)).cast("int")
+    copies = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.withColumn("salt", salt).join(copies, ["digest of text", "salt"], "left").drop("salt")
+
+
+def _figures(batch: pa.RecordBatch, names: list[str], texts: list[str | None], scanned: list[tuple]) -> pa.RecordBatch:
+    """The batch's first columns with what was found in each text: runs of hit words, items, number of words."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    columns = [
+        pa.array([n for *_, n in scanned], pa.int64()), pa.array([sum(b - a for a, b in pairs) for pairs, _, _ in scanned], pa.int64()),
+        pa.array([sorted(items) for _, items, _ in scanned], pa.list_(pa.string())), pa.array([offsets(t, pairs) for t, (pairs, _, _) in zip(texts, scanned)], span)]
+    return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, *ADDED])
