@@ -93,6 +93,56 @@ def test_place_from_arrays_and_text(spark):
     assert out.x == out.y and "_" in out.x
 
 
+def test_hexagons(spark):
+    import random
+
+    draw = random.Random(4)
+    points = [(draw.uniform(-180, 180), math.degrees(math.asin(draw.uniform(-1, 1)))) for _ in range(3000)] + [(180.0, 10.0), (-180.0, 10.0), (0.0, 90.0), (0.0, -90.0), (None, 1.0)]
+    df = spark.createDataFrame(points, "lon double, lat double").withColumn("cell", T.hex_cell(F.col("lon"), F.col("lat"), 3))
+    lon, lat = T.hex_centre(F.col("cell"), 3)
+    rows = df.withColumns({"x": lon, "y": lat, "parent": T.hex_parent(F.col("cell"), 3), "near": T.hex_neighbours(F.col("cell"), 3)}).collect()
+    side, around = T._hexagons(3)
+    at = {(r.lon, r.lat): r for r in rows}
+    assert at[180.0, 10.0].cell == at[-180.0, 10.0].cell and at[None, 1.0].cell is None
+    flat = lambda lon, lat: (math.radians(lon) * T.RADIUS, math.sin(math.radians(lat)) * T.RADIUS)
+    for r in rows:
+        if r.lon is None or abs(r.y) > 80:
+            continue
+        (px, py), (cx, cy) = flat(r.lon, r.lat), flat(r.x, r.y)
+        dx = abs(px - cx)
+        assert math.hypot(min(dx, 2 * math.pi * T.RADIUS - dx), py - cy) <= side * (1 + 1e-9)  # no further than a corner
+        assert len(set(r.near)) == 6 and r.cell not in r.near
+    again = spark.createDataFrame([(r.x, r.y, r.cell) for r in rows if r.lon is not None and abs(r.y) < 80], "x double, y double, cell string")
+    assert again.filter(T.hex_cell(F.col("x"), F.col("y"), 3) != F.col("cell")).count() == 0  # a centre is in its own cell
+    near = {r.cell: set(r.near) for r in rows if r.cell}
+    back = spark.createDataFrame([(c, n) for c, x in near.items() for n in x], "c string, n string").filter(~F.array_contains(T.hex_neighbours(F.col("n"), 3), F.col("c")))
+    assert back.count() == 0
+    assert {r.parent.split("x")[0] for r in rows if r.parent} == {"2"}
+
+
+def test_cells_of_a_library_in_arrow_batches(spark, monkeypatch):
+    import sys
+    import types
+
+    h3 = types.ModuleType("h3")
+    h3.latlng_to_cell = lambda lat, lon, resolution: f"{resolution}:{lat}:{lon}"
+    monkeypatch.setitem(sys.modules, "h3", h3)
+    df = spark.createDataFrame([([77.5, 12.9],), ([None, 1.0],), (None,)], "a array<double>")
+    out = T.generalize_place(df, "a", name="x", indexer=T.INDEXERS["h3"])
+    assert [r.x for r in out.collect()] == ["7:12.9:77.5", None, None]
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_sums_of_a_large_domain(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.col("id").alias("a"), F.floor(F.col("id") / 450).alias("block"), (F.col("id") % 7).alias("n"))
+    sums = kanon.running_sums(rows)
+    assert "SinglePartition" not in sums._jdf.queryExecution().executedPlan().toString()
+    upto = lambda i: (i // 7) * 21 + sum(range(i % 7 + 1))
+    got = {r.a: r.upto for r in sums.filter("a % 997 = 0 or a = 199999").collect()}
+    assert all(got[i] == upto(i) for i in got) and len(got) > 200
+
+
 def test_accumulator_nulls_and_splits(spark):
     rows = [("t", "d", "p", 1.0), ("t", "d", "p", None), ("t", "d", "q", None), (None, "d", "p", 5.0)]
     df = spark.createDataFrame(rows, "HAT string, Date string, license_plate string, v double")

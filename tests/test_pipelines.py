@@ -9,7 +9,7 @@ from veilframe.config import MEDICAL_COUNT, MEDICAL_MEAN, Config, KAnonymity, Pr
 from veilframe.operators import privacy, transforms
 from veilframe.pipelines import anonymize
 from veilframe.sources import json_arrays, readers, sinks
-from veilframe.streaming import accumulate
+from veilframe.streaming import accumulate, release
 
 
 def observations(n=400):
@@ -65,6 +65,76 @@ def test_stream_clamps_and_cuts_as_the_batch(spark, raw, tmp_path):
     assert got == {(r.HAT, r.Date, r.license_plate): r.output_attribute_sum for r in anonymize.grain(raw.drop("file"), replace(config, events_per_day=0)).collect()}
 
 
+def test_release_from_a_stream(spark, tmp_path):
+    import shutil
+    from dataclasses import replace
+
+    config = replace(SPATIO, events_per_day=1, privacy=replace(SPATIO.privacy, epsilon=0.5))
+    (tmp_path / "in").mkdir()
+    days = [[r for r in observations(300) if r["observationDateTime"].startswith(f"2021-03-0{d}")] for d in (1, 2, 3)]
+    days.append([{**days[0][0], "observationDateTime": "2021-03-09T12:00:00+05:30"}])
+    put = lambda i: (tmp_path / "in" / f"{i}.json").write_text("".join(json.dumps(r) + "\n" for r in days[i]))
+    for i in (0, 1, 2):
+        put(i)
+    schema = spark.read.json(str(tmp_path / "in")).schema
+    out, ledger, state = (str(tmp_path / x) for x in ("out", "ledger", "state"))
+
+    def run(name="mean", budget=1.0, checkpoint=state, **other):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        query = release.start(readers.flatten(stream), replace(config, **other), b"key", name, out, ledger, checkpoint, budget, availableNow=True)
+        query.awaitTermination(180)
+        return query
+
+    published = lambda: {w.name: sorted(x.read_text() for x in w.glob("*.json")) for w in (tmp_path / "out").iterdir()} if (tmp_path / "out").exists() else {}
+    entries = lambda: sorted(tuple(r) for r in release.spent(spark, ledger).collect())
+    run()
+    first = published()
+    assert set(first) == {"window=2021-03-01T00-00-00", "window=2021-03-02T00-00-00"} and all(any(v) for v in first.values())
+    assert entries() == [(f"2021-03-0{d}T00-00-00", "mean", 0.5) for d in (1, 2)]
+    last = max(int(p.name) for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit())
+    for n in (last - 1, last):  # as if it had failed before its last batches were committed
+        for p in (tmp_path / "state" / "commits").glob(f"*{n}*"):
+            p.unlink()
+    shutil.rmtree(tmp_path / "out")
+    run()
+    again = published()
+    assert again and all(again[w] == first[w] for w in again) and len(entries()) == 2
+    put(3)
+    run()
+    assert "window=2021-03-03T00-00-00" in published() and len(entries()) == 3
+    rows = spark.read.json(out)
+    assert rows.select("window", "HAT").distinct().count() == rows.count() and all(9 <= int(r.HAT.split()[0]) <= 20 for r in rows.collect())
+    run("other", checkpoint=str(tmp_path / "second"))  # the budget allows two halves
+    assert len(entries()) == 6
+    with pytest.raises(Exception, match="are spent"):
+        run("third", checkpoint=str(tmp_path / "third"))
+    assert len(entries()) == 6
+
+
+def test_ledger(spark, tmp_path):
+    ledger = str(tmp_path / "l")
+    release.spend(spark, ledger, "w", "a", 0.4, 1.0)
+    release.spend(spark, ledger, "w", "a", 0.4, 1.0)
+    with pytest.raises(release.OverBudget):
+        release.spend(spark, ledger, "w", "a", 0.3, 1.0)
+    release.spend(spark, ledger, "w", "b", 0.6, 1.0)
+    with pytest.raises(release.OverBudget):
+        release.spend(spark, ledger, "w", "c", 0.01, 1.0)
+    release.spend(spark, ledger, "v", "c", 1.0, 1.0)
+    assert release.spent(spark, ledger).count() == 3
+
+
+def test_secrets_and_hexagons_of_the_configuration(spark, raw):
+    from dataclasses import replace
+
+    config = replace(SPATIO, cells="hex", pseudonym_key="p", pseudonymize=("license_plate", "trip_id", "id"), suppress=("location.type",), noise_key="n")
+    out = [{r.HAT: r["noisy mean of speed"] for r in anonymize.run(raw, config)["noisy"].collect()} for _ in range(2)]
+    assert out[0] and out[0] == out[1] and all(h.split(" ")[1].startswith("7x") for h in out[0])
+    assert {r.HAT: r["noisy mean of speed"] for r in anonymize.run(raw, replace(config, noise_key="m"))["noisy"].collect()} != out[0]
+    hashed = anonymize.run(raw, config)["anonymized"]
+    assert {"license_plate", "trip_id", "id"}.isdisjoint(hashed.columns) and hashed.select("Hashed Value").distinct().count() > 300
+
+
 def test_medical(spark):
     rows = [(f"n{i}", i, i % 60, "FM"[i % 2], i % 5, "Positive" if i % 3 else "Negative", i % 70) for i in range(600)]
     df = spark.createDataFrame(rows, "`Name` string, `Patient ID` int, `Age` int, `Gender` string, `PIN Code` int, `Test Result` string, `Days To Negative` int")

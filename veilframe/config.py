@@ -97,8 +97,8 @@ class Config:
             raise ValueError("k_anonymize is for medical data")
         if self.dedup_scope not in ("file", "global"):
             raise ValueError("dedup_scope is file or global")
-        if self.cells not in ("grid", "h3"):
-            raise ValueError("cells are grid or h3")
+        if self.cells not in ("grid", "hex", "h3"):
+            raise ValueError("cells are grid, hex or h3")
 
     @classmethod
     def load(cls, path: str, **choice) -> Config:

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from veilframe.functions.columns import bin_label
 
 
+def running_sums(rows: DataFrame) -> DataFrame:
+    """``a`` and ``upto``, the sum of ``n`` over all up to ``a``: within each ``block``, plus the sums of the blocks before; about as many blocks as a block has rows."""
+    within = F.sum("n").over(Window.partitionBy("block").orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
+    sums = rows.groupBy("block").agg(F.sum("n").alias("n"))
+    before = sums.select("block").join(F.broadcast(sums.toDF("earlier", "n")), F.col("earlier") < F.col("block")).groupBy("block").agg(F.sum("n").alias("before"))  # the root of the domain's size
+    return rows.withColumn("within", within).join(F.broadcast(before), "block", "left").select("a", (F.col("within") + F.coalesce("before", F.lit(0))).alias("upto"))
+
+
 def width_table(hist: DataFrame, k: int, value: str, least: int = 0) -> DataFrame:
     """``width``, one row: of a histogram whose domain begins at ``least``.
 
@@ -20,8 +28,8 @@ def width_table(hist: DataFrame, k: int, value: str, least: int = 0) -> DataFram
     whole = at.agg(F.max("a").alias("mx"), F.sum("n").alias("total"))
     tries = whole.select("mx", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mx") + 1)).alias("r"))
     # running sums over the domain, a row per value: a bin of any width is the difference of two, mx ln mx bins in all
-    domain = whole.select(F.explode(F.sequence(F.lit(0).cast("long"), "mx")).alias("a")).join(at.filter("a >= 1").groupBy("a").agg(F.sum("n").alias("n")), "a", "left")
-    upto = domain.select("a", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    domain = whole.select(F.explode(F.sequence(F.lit(0).cast("long"), "mx")).alias("a"), F.ceil(F.sqrt(F.col("mx") + 1)).alias("long")).join(at.filter("a >= 1").groupBy("a").agg(F.sum("n").alias("n")), "a", "left")
+    upto = running_sums(domain.select("a", F.floor(F.col("a") / F.col("long")).alias("block"), F.coalesce("n", F.lit(0)).alias("n")))
     edges = tries.filter("r <= mx").select("mx", "r", F.explode(F.expr("sequence(0L, mx div r - 1)")).alias("bin")).select(
         "r", (F.col("bin") * F.col("r")).alias("low"), F.when(F.col("bin") == F.expr("mx div r - 1"), F.col("mx")).otherwise((F.col("bin") + 1) * F.col("r")).alias("high"))
     bins = edges.join(upto.toDF("low", "before"), "low").join(upto.toDF("high", "upto"), "high").select("r", (F.col("upto") - F.col("before")).alias("c"))

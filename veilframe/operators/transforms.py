@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -97,15 +99,72 @@ def grid_cell(lon: Column, lat: Column, resolution: int = 7) -> Column:
     return F.concat(part(lat, 90.0), F.lit("_"), part(lon, 180.0))
 
 
+#: Of the sphere that has the earth's surface, in km.
+RADIUS, SURFACE = 6371.0072, 510_072_000.0
+
+
+def _hexagons(resolution: int) -> tuple[float, int]:
+    """Side in km, and how many lie around the equator: the side is fitted to a whole number of them."""
+    side = (SURFACE / (2 + 120 * 7**resolution) * 2 / (3 * math.sqrt(3))) ** 0.5
+    around = max(round(2 * math.pi * RADIUS / (math.sqrt(3) * side)), 1)
+    return 2 * math.pi * RADIUS / (math.sqrt(3) * around), around
+
+
+def _hex_name(resolution: int, q: Column, r: Column) -> Column:
+    around = _hexagons(resolution)[1]
+    return F.concat(F.lit(f"{resolution}x"), F.pmod(q, F.lit(around)).cast("string"), F.lit("x"), r.cast("string"))
+
+
+def hex_cell(lon: Column, lat: Column, resolution: int = 7) -> Column:
+    """A hexagon of a grid of our own over an equal-area projection: all have one area, and the grid closes at the 180th meridian. Its names, resolution x column x row, are no other system's."""
+    side, _ = _hexagons(resolution)
+    x, y = F.radians(lon) * RADIUS, F.sin(F.radians(lat)) * RADIUS
+    q, r = (x * math.sqrt(3) / 3 - y / 3) / side, y * 2 / 3 / side
+    # round all three of q, r and -q-r, and let the one that moved most follow from the others
+    rq, rr, rs = F.rint(q), F.rint(r), F.rint(-q - r)
+    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs + q + r)
+    return _hex_name(resolution, F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq).cast("long"), F.when((dr >= dq) & (dr > ds), -rq - rs).otherwise(rr).cast("long"))
+
+
+def _hex_parts(cell: Column) -> tuple[Column, Column]:
+    parts = F.split(cell, "x")
+    return F.get(parts, F.lit(1)).cast("long"), F.get(parts, F.lit(2)).cast("long")
+
+
+def hex_centre(cell: Column, resolution: int = 7) -> tuple[Column, Column]:
+    """Longitude and latitude of a cell's centre; centres beyond a pole stand at it."""
+    (q, r), (side, _) = _hex_parts(cell), _hexagons(resolution)
+    lon = F.degrees((q + r / 2) * (math.sqrt(3) * side / RADIUS))
+    return lon - 360 * F.floor((lon + 180) / 360), F.degrees(F.asin(F.greatest(F.least(r * (1.5 * side / RADIUS), F.lit(1.0)), F.lit(-1.0))))
+
+
+def hex_parent(cell: Column, resolution: int = 7) -> Column:
+    """The cell of the next coarser resolution that holds the cell's centre."""
+    return hex_cell(*hex_centre(cell, resolution), resolution - 1)
+
+
+def hex_neighbours(cell: Column, resolution: int = 7) -> Column:
+    """The cells around a cell; those that would lie wholly beyond a pole are left out."""
+    q, r = _hex_parts(cell)
+    side, _ = _hexagons(resolution)
+    around = F.array(*[F.struct((q + i).alias("q"), (r + j).alias("r")) for i, j in ((1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1), (1, -1))])
+    return F.transform(F.filter(around, lambda c: F.abs(c["r"]) * (1.5 * side) < RADIUS + side), lambda c: _hex_name(resolution, c["q"], c["r"]))
+
+
 def h3_cell(lon: Column, lat: Column, resolution: int = 7) -> Column:
     """A hexagon of the h3 library, which must be installed here and on the workers; in Arrow batches."""
     import h3
 
     index = getattr(h3, "latlng_to_cell", None) or h3.geo_to_h3
-    return F.udf(lambda x, y: None if x is None or y is None else index(y, x, resolution), "string", useArrow=True)(lon, lat)
+
+    @F.pandas_udf("string")
+    def cells(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else index(b, a, resolution) for a, b in zip(x, y)], dtype=object)
+
+    return cells(lon, lat)
 
 
-INDEXERS = {"grid": grid_cell, "h3": h3_cell}
+INDEXERS = {"grid": grid_cell, "hex": hex_cell, "h3": h3_cell}
 
 
 def generalize_place(df: DataFrame, column: str, resolution: int = 7, name: str = "h3index", indexer=grid_cell) -> DataFrame:

@@ -101,6 +101,13 @@ def coords_parse(spark, d):
     return transforms.generalize_place(rows, "location.coordinates", name="cell")
 
 
+def coords_hex(spark, d):
+    """Hexagons of points all over the globe, their parents and how many neighbours they have."""
+    lon, lat = F.expr("(user_id * 37 % 3600) / 10.0d - 180.0d + 0.0123d"), F.expr("(event_id * 53 % 1790) / 10.0d - 89.5d + 0.0071d")
+    cells = _table(spark, d, "events").select("event_id", transforms.hex_cell(lon, lat, 5).alias("cell"))
+    return cells.withColumn("parent", transforms.hex_parent(F.col("cell"), 5)).withColumn("n_neighbours", F.size(transforms.hex_neighbours(F.col("cell"), 5)))
+
+
 def st_accumulate(spark, d):
     return _rounded(_grain(spark, d), "output_attribute_sum")
 
@@ -275,7 +282,7 @@ def k_assign_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    suppress, pseudonymize, pseudonymize_keyed, suppress_pseudonymize, dedup_keep_first, dedup_arrays_aside, temporal_generalize, temporal_filter, hat_create, coords_parse,
+    suppress, pseudonymize, pseudonymize_keyed, suppress_pseudonymize, dedup_keep_first, dedup_arrays_aside, temporal_generalize, temporal_filter, hat_create, coords_parse, coords_hex,
     st_accumulate, st_event_filter, st_mean_query, st_count_query, st_time_range, st_sensitivity, st_eps_table, st_eps_table_avg, st_count_eps_table,
     st_dp_mean, st_dp_count, st_dp_mean_keyed, st_dp_mean_snapped, st_mean_bounded, st_dp_mean_bounded, med_dp_count_geometric, med_mean_mae_mc_few, med_count_query, med_mean_query, med_dp_count, med_dp_mean, med_count_eps_table, med_mean_mae_analytic, med_mean_mae_mc,
     normalized_mae, age_histogram, k_width, k_assign_full, k_assign_counts, k_assign_strict, k_strict_sizes, k_unattainable)}
@@ -348,7 +355,29 @@ def _bin(fold: bool) -> str:
 
 
 _SIDE = round((510_072_000 / (2 + 120 * 7**7)) ** 0.5 / 111.32, 4)
+
+
+def _hex(lon: str, lat: str, resolution: int, source: str, keep: str, name: str) -> str:
+    """Cells written out in SQL: project, round all three coordinates, correct the one that moved most."""
+    side, around = transforms._hexagons(resolution)
+    return f"""SELECT {keep}, '{resolution}x' || (((fq % {around}) + {around}) % {around}) || 'x' || fr AS {name}, fq, fr FROM (
+  SELECT *, CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS fq, CAST(CASE WHEN dr >= dq AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS fr FROM (
+  SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FROM (SELECT *, round_even(q, 0) AS rq, round_even(r, 0) AS rr, round_even(-q - r, 0) AS rs FROM (
+  SELECT *, (x * sqrt(3) / 3 - y / 3) / {side!r} AS q, y * 2 / 3 / {side!r} AS r FROM (SELECT *, radians({lon}) * 6371.0072::DOUBLE AS x, sin(radians({lat})) * 6371.0072::DOUBLE AS y FROM {source})))))"""
+
+
+def _hexes() -> str:
+    side, around = transforms._hexagons(5)
+    cells = _hex("(user_id * 37 % 3600) / 10.0::DOUBLE - 180.0::DOUBLE + 0.0123::DOUBLE", "(event_id * 53 % 1790) / 10.0::DOUBLE - 89.5::DOUBLE + 0.0071::DOUBLE", 5, "events", "event_id", "cell")
+    centre = f"(SELECT event_id, cell, fr AS row, ((fq % {around}) + {around}) % {around} + fr / 2.0::DOUBLE AS across FROM ({cells}))"
+    lon = f"degrees(across * (sqrt(3) * {side!r} / 6371.0072::DOUBLE))"
+    up = _hex(f"{lon} - 360 * floor(({lon} + 180) / 360)", f"degrees(asin(greatest(least(row * (1.5 * {side!r} / 6371.0072::DOUBLE), 1.0), -1.0)))", 4, centre, "event_id, cell, row", "parent")
+    near = " + ".join(f"{n} * CAST(abs(row + {j}) * (1.5 * {side!r}) < 6371.0072 + {side!r} AS INT)" for j, n in ((-1, 2), (0, 2), (1, 2)))
+    return f"SELECT event_id, cell, parent, CAST({near} AS INT) AS n_neighbours FROM ({up})"
+
+
 ORACLES = {
+    "coords_hex": _hexes(),
     "suppress": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "pseudonymize": "SELECT c_nationkey, sha256(c_name || CAST(c_custkey AS VARCHAR)) AS hashed_value FROM customer",
     "suppress_pseudonymize": "SELECT c_nationkey, sha256(c_name || CAST(c_custkey AS VARCHAR)) AS hashed_value FROM customer",
