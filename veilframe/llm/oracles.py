@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm.licenses import templates
+from veilframe.llm.licenses import EXPRESSION, MENTION, identifiers, templates
 from veilframe.llm.quality_rules import RULES, STOP_WORDS
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -123,23 +123,29 @@ FROM h GROUP BY conv_id"""
 
 def _license_scan() -> str:
     """Without licence files by name: the stand-in paths end in numbers."""
-    rows = ", ".join(f"({i}, '{a}', '{b}', {least}::DOUBLE)" for i, (a, b, least) in enumerate(templates()))
-    mention = "(?i)licen[sc]|copyright|public domain|\\bCC[ -]BY|\\bCC0|SPDX|rights reserved|redistribution and use|permission is hereby granted|permission to use|free software"
-    marks, order = r"^[ \t\r]*(//+|#+|/\*+|\*+/?|--+|;+|%+|<!--+)?[ \t]*", "{'named': license <> 'Proprietary', 'score': score, 'license': license}"
+    listed = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]::VARCHAR[]"
+    rows = ", ".join(f"({i}, '{a}', '{b}', {least}::DOUBLE, {rank}, {listed(must)}, {listed(never)})" for i, (a, b, least, rank, must, never) in enumerate(templates()))
+    mention, known = MENTION, ", ".join(f"'{k}': '{v}'" for k, v in identifiers().items())
+    marks, order = r"^[ \t\r]*(//+|#+|/\*+|\*+/?|--+|;+|%+|<!--+)?[ \t]*", "{'named': license <> 'Proprietary', 'rank': rank, 'score': score, 'license': license}"
     return f"""
-WITH t(template, license, statement, least) AS (VALUES {rows}),
+WITH t(template, license, statement, least, rank, must, never) AS (VALUES {rows}),
 speaking AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '{mention}')),
 p AS (SELECT doc_id, 0 AS kind, trim(unnest(string_split(replace(text, chr(10), '. '), '. ')), ' ') AS statement FROM speaking UNION ALL
       SELECT doc_id, 1, trim(replace(unnest(string_split_regex(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '{marks}', '')), chr(10)), '\n\n+')), chr(10), ' '), ' ') FROM speaking),
 said AS (SELECT doc_id, kind, statement, count(*) AS n FROM p WHERE regexp_matches(statement, '{mention}') GROUP BY ALL),
-every AS (SELECT DISTINCT statement, -1 AS template, '' AS license FROM said UNION ALL SELECT statement, template, license FROM t),
+spdx AS (SELECT statement, regexp_extract(statement, '{EXPRESSION}', 1) AS e FROM (SELECT DISTINCT statement FROM said)),
+written AS (SELECT statement, list_transform(regexp_split_to_array(e, '[ \t]+'), lambda x: MAP {{{known}}}[x]) AS ids FROM spdx WHERE e <> ''),
+every AS (SELECT statement, -1 AS template, '' AS license FROM spdx WHERE e = '' UNION ALL SELECT statement, template, license FROM t),
 tf AS (SELECT statement, template, license, term, count(*) AS tf FROM (SELECT *, unnest(regexp_extract_all(lower(statement), '[a-z0-9]+')) AS term FROM every) GROUP BY ALL),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM every)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
 w AS (SELECT statement, template, license, term, tf * idf AS w FROM tf JOIN idf USING (term)),
 norm AS (SELECT statement, template, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
 dot AS (SELECT a.statement, b.statement AS other, b.template, b.license, sum(a.w * b.w) AS dot FROM w a JOIN w b USING (term) WHERE a.template = -1 AND b.template >= 0 GROUP BY ALL),
 cos AS (SELECT dot.statement, dot.template, license, round(dot / (x.norm * y.norm), 6) AS score FROM dot JOIN norm x ON x.statement = dot.statement AND x.template = -1 JOIN norm y ON y.template = dot.template),
-best AS (SELECT statement, max({order}) AS b FROM cos JOIN (SELECT template, least FROM t) USING (template) WHERE score >= least GROUP BY 1),
+agree AS (SELECT cos.statement, cos.license, score, rank FROM cos JOIN t USING (template) WHERE score >= least
+          AND list_has_all(regexp_extract_all(lower(cos.statement), '[a-z0-9]+'), must) AND NOT list_has_any(regexp_extract_all(lower(cos.statement), '[a-z0-9]+'), never)
+          UNION ALL SELECT statement, array_to_string(ids, ' '), 1.0, 0 FROM written WHERE len(list_filter(ids, lambda x: x IS NULL)) = 0),
+best AS (SELECT statement, max({order}) AS b FROM agree GROUP BY 1),
 own AS (SELECT doc_id, max(b) AS b, greatest(coalesce(sum(k) FILTER (kind = 0), 0), coalesce(sum(k) FILTER (kind = 1), 0)) AS stated
         FROM (SELECT *, n * len(regexp_extract_all(lower(statement), '[a-z0-9]+')) AS k FROM said) JOIN best USING (statement) GROUP BY 1),
 m AS (SELECT doc_id, source || '/' || lang AS dir, b.license AS license, b.score AS score, coalesce(stated >= 0.9 * len(regexp_extract_all(lower(text), '[a-z0-9]+')), false) AS whole
