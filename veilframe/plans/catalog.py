@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.operators import aggregates, kanon, privacy, transforms
+from veilframe.sources import json_arrays, shared, sinks
 
 FIRST_HOUR, LAST_HOUR, THRESHOLD, LEAST, MOST, EPSILON, STEP = 9, 20, 60.0, 0.0, 65.0, 2.0, 0.1
 #: Plates a day that a tile needs, for each event of the table: the tables differ in users, and a fixed bound would keep all tiles of one and none of another.
@@ -75,6 +76,25 @@ def pseudonymize_keyed(spark, d):
     return transforms.pseudonymize(_table(spark, d, "customer", "c_name", "c_custkey", "c_nationkey", "c_mktsegment"), ["c_name", "c_custkey", "c_nationkey"], name="hashed_value", key=KEY)
 
 
+def document_round_trip(spark, d):
+    """The orders as one JSON document, written by the tasks, and read again in byte ranges."""
+    shared.use_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/documents/orders.json"
+    sinks.write_records(_table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), path)
+    return json_arrays.read(spark, path, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").drop("file")
+
+
+def schema_drift(spark, d):
+    """Events whose value is now a number and now a text, from a document of such objects: their kinds are found in one pass and no row is lost."""
+    shared.use_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/documents/events.json"
+    value = F.when(F.col("event_id") % 3 == 0, F.to_json(F.array(F.col("value").cast("string")))).otherwise(F.to_json(F.array("value")))
+    text = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"value":'), F.substring(value, F.lit(2), F.length(value) - 2), F.lit("}"))
+    sinks.write_document(_table(spark, d, "events", "event_id", "value").select(text.alias("value")), path, "[", "]")
+    found = json_arrays.read(spark, path)
+    return found.select("event_id", F.round(F.col("value").cast("double"), 6).alias("value"), F.lit(dict(found.dtypes)["value"]).alias("kind"))
+
+
 def dedup_keep_first(spark, d):
     return transforms.deduplicate(_table(spark, d, "documents", "doc_id", "text", "lang", "source"), ["doc_id"]).select("doc_id", "lang", "source")
 
@@ -282,7 +302,7 @@ def k_assign_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    suppress, pseudonymize, pseudonymize_keyed, suppress_pseudonymize, dedup_keep_first, dedup_arrays_aside, temporal_generalize, temporal_filter, hat_create, coords_parse, coords_hex,
+    suppress, pseudonymize, pseudonymize_keyed, document_round_trip, schema_drift, suppress_pseudonymize, dedup_keep_first, dedup_arrays_aside, temporal_generalize, temporal_filter, hat_create, coords_parse, coords_hex,
     st_accumulate, st_event_filter, st_mean_query, st_count_query, st_time_range, st_sensitivity, st_eps_table, st_eps_table_avg, st_count_eps_table,
     st_dp_mean, st_dp_count, st_dp_mean_keyed, st_dp_mean_snapped, st_mean_bounded, st_dp_mean_bounded, med_dp_count_geometric, med_mean_mae_mc_few, med_count_query, med_mean_query, med_dp_count, med_dp_mean, med_count_eps_table, med_mean_mae_analytic, med_mean_mae_mc,
     normalized_mae, age_histogram, k_width, k_assign_full, k_assign_counts, k_assign_strict, k_strict_sizes, k_unattainable)}
@@ -378,6 +398,8 @@ def _hexes() -> str:
 
 ORACLES = {
     "coords_hex": _hexes(),
+    "document_round_trip": "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "schema_drift": "SELECT event_id, round(value, 6) AS value, 'string' AS kind FROM events",
     "suppress": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "pseudonymize": "SELECT c_nationkey, sha256(c_name || CAST(c_custkey AS VARCHAR)) AS hashed_value FROM customer",
     "suppress_pseudonymize": "SELECT c_nationkey, sha256(c_name || CAST(c_custkey AS VARCHAR)) AS hashed_value FROM customer",
