@@ -4,6 +4,9 @@ import random
 import zlib
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from veilframe.llm import kd_sharding as K
 from veilframe.llm.queries import op8_kd_sharding
 
@@ -26,7 +29,9 @@ def test_query(spark, sf_dir):
     laws([(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in rows], texts, 8, 0.1)
 
 
-def test_groups_stay_together_and_hot_ones_are_cut(spark):
+@pytest.mark.parametrize("node_rows", [10_000, 1500, 0])
+def test_groups_stay_together_and_hot_ones_are_cut(spark, monkeypatch, node_rows):
+    monkeypatch.setattr(K, "node_rows", lambda _: node_rows)
     rnd = random.Random(5)
     texts = ["hot passage " * 20] * 3000 + ["".join(rnd.choices("abcdé ", k=rnd.randint(1, 400))) for _ in range(3000)]
     texts += [t for t in texts[3000:3300] for _ in range(2)] + [None, "", ""]
@@ -49,8 +54,10 @@ def test_few_rows_nulls_and_targets(spark):
     assert len({r.shard for r in K.shards_for(many, 1200).collect()}) == 5
 
 
-def test_cuts_against_plain_recursion(spark):
-    """Shards, axes and all, of a small table without equal texts, by sorting."""
+@pytest.mark.parametrize("node_rows", [10_000, 60, 0])
+def test_cuts_against_plain_recursion(spark, monkeypatch, node_rows):
+    """Shards, axes and all, of a small table without equal texts, by sorting; in one task, in two tiers and by bins alone."""
+    monkeypatch.setattr(K, "node_rows", lambda _: node_rows)
     import random
     import zlib
 
@@ -80,3 +87,17 @@ def test_cuts_against_plain_recursion(spark):
     split(list(rows), 0, 6, [])
     assert {r.doc_id: (r.shard, r.axes) for r in K.shard(df, 6).collect()} == want
     assert len({a for _, axes in want.values() for a in axes.split(">")}) >= 2
+
+
+def test_ten_thousand_leaves_and_equal_spreads(spark):
+    """Nearly as many shards as rows; two axes of equal spread are settled by their order."""
+    assert [K.node_rows(n) for n in (10, 10**7, 10**10)] == [1 << 14, 50_000, 1 << 19]
+    rows = spark.range(40_000).select("id", F.lit(100).cast("long").alias("size"), F.xxhash64("id").bitwiseAND(0xFFFFFFFF).alias("crc"), (F.col("id") * 7919 % 40_000).alias("by_size"), (F.col("id") * 7919 % 40_000).alias("by_density"), F.lit(0).cast("long").alias("by_lines"))
+    got = K.leaves(rows, 10_000).groupBy("shard").agg(F.count("*").alias("n"), F.min("axes").alias("axes")).collect()
+    assert len(got) == 10_000 and {r.n for r in got} == {4} and {a for r in got for a in r.axes.split(">")} == {"by_size"}
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000)] + [(i, "ab") for i in range(2, 12)], "doc_id long, text string")
+    rows = K.shard(df, 2).collect()
+    assert len(rows) == 11 and len({r.shard for r in rows if r.doc_id > 1}) == 1

@@ -7,9 +7,10 @@ A node for k leaves, so many as its bytes are targets, is split for floor(k/2) a
 share of the node's bytes. A key is a coordinate followed by the CRC-32, which only breaks ties, so cuts pass between
 groups; only a group of more than ``LOOSE`` of a leaf's bytes is itself cut, along hashed ids.
 
-Medians are found without sorting: all nodes narrow their brackets together, each pass one
-aggregation into ``BINS`` bins in all, to one of its bins each time. The driver holds the tree,
-a row for each shard (up to some tens of thousands, shards of gigabytes at 100 TB), and the bins; what is broadcast has a row for each node. Texts are read once; later passes read narrow checkpointed tables.
+Two tiers. Nodes of over ``node_rows`` rows are split together, level by level: their medians are found without sorting, each pass one
+aggregation into ``BINS`` bins in all, to one of its bins each time. The driver holds these nodes, whose number goes with the rows, not
+with the shards, and the bins; what is broadcast has a row for each node. A node of fewer rows is one task's, which sorts its
+narrow rows and splits them down to the leaves. Texts are read once; later passes read narrow checkpointed tables.
 
 Defined cases: a null text has no bytes and weight 1, the CRC-32 of the empty text; null and
 repeated ids get slots like others; with fewer groups than leaves some shards stay empty; an
@@ -18,15 +19,24 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.shipping import bounded, settle
+from veilframe.llm.shipping import bounded, settle, ship
 
 BINS, LOOSE = 1 << 15, 0.002
 AXES = ("by_size", "by_density", "by_lines")
 
 
+def node_rows(total: int) -> int:
+    """Rows, of some 100 bytes, that one task splits: a 200th of all, for many tasks, but neither trifles nor more than a task holds with ease."""
+    return min(max(total // 200, 1 << 14), 1 << 19)
+
+
 def measured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, ``size``, ``crc`` and a 31-bit coordinate for each axis."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -110,22 +120,85 @@ def _id_key() -> Column:
     return F.shiftrightunsigned(F.xxhash64("id"), 1)
 
 
+def _split(axes: list[np.ndarray], sizes: np.ndarray, crc: np.ndarray, hashed: np.ndarray, whole: list[float], first: int, k: int) -> tuple[np.ndarray, list[str]]:
+    """Leaf and axes of each of a node's rows: the same rule, by sorting."""
+    leaf, names = np.empty(len(sizes), np.int32), [""] * len(sizes)
+    stack = [(np.arange(len(sizes)), first, k, "")]
+    while stack:
+        rows, first, k, said = stack.pop()
+        if k == 1 or not len(rows):
+            leaf[rows] = first
+            for i in rows.tolist():
+                names[i] = said
+            continue
+        axis = int(np.argmax([round(float(np.std(a[rows])) / w, 9) for a, w in zip(axes, whole)]))
+        key, weight = axes[axis][rows] << 32 | crc[rows], sizes[rows]
+        order = np.argsort(key, kind="stable")
+        key, goal = key[order], weight.sum() * (k // 2) / k
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        at = np.add.reduceat(weight[order], begins)
+        below = np.cumsum(at) - at
+        group = min(int(np.searchsorted(below + at, goal)), len(at) - 1)  # the group in which the goal lies
+        end = begins[group + 1] if group + 1 < len(begins) else len(rows)
+        rest, fine = goal - below[group], LOOSE / 4 * weight.sum() / k
+        if end - begins[group] > 1 and at[group] > 4 * fine:
+            inside = order[begins[group] : end]
+            inside = inside[np.argsort(hashed[rows[inside]], kind="stable")]
+            upto = np.cumsum(weight[inside])
+            n = int(np.searchsorted(upto, rest))
+            n += n < len(upto) and rest - (upto[n] - weight[inside[n]]) >= weight[inside[n]] / 2
+            order, cut = np.concatenate([order[: begins[group]], inside, order[end:]]), begins[group] + n
+        else:
+            cut = begins[group] if rest < at[group] / 2 else end
+        said = f"{said}>{AXES[axis]}" if said else AXES[axis]
+        stack += [(rows[order[:cut]], first, k // 2, said), (rows[order[cut:]], first + k // 2, k - k // 2, said)]
+    return leaf, names
+
+
+def _subtrees(rows: DataFrame, nodes: dict[int, int], whole: dict[str, float]) -> DataFrame:
+    """``rows`` of nodes that a task can hold, split down to their leaves."""
+    spark = rows.sparkSession
+    ship(spark)
+    known = spark.createDataFrame(list(nodes.items()), "node int, leaves int")
+    unit, columns = [whole[a] for a in AXES], rows.columns
+
+    def split(table: pa.Table) -> pa.Table:
+        of = lambda name: table.column(name).to_numpy()
+        leaf, names = _split([of(a) for a in AXES], of("size"), of("crc"), of("hashed"), unit, int(of("node")[0]), int(of("leaves")[0]))
+        above = table.column("axes").to_pylist()
+        done = table.set_column(table.column_names.index("node"), "node", pa.array(leaf, pa.int32()))
+        return done.set_column(table.column_names.index("axes"), "axes", pa.array([">".join(filter(None, x)) for x in zip(above, names)], pa.string())).select(columns)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.join(F.broadcast(known), "node").withColumn("hashed", _id_key()).groupBy("node").applyInArrow(split, kinds)
+
+
 def leaves(rows: DataFrame, n_leaves: int) -> DataFrame:
     """``rows`` of :func:`measured` with ``shard``, 0 .. ``n_leaves`` - 1, and ``axes``, those of the cuts down to it."""
     nodes = {0: n_leaves}  # a node is the number of its first leaf
-    rows, whole = rows.withColumns({"node": F.lit(0), "axes": F.lit("")}), _spreads(rows)
-    if rows.isEmpty():
-        return rows.withColumnRenamed("node", "shard")
-    while max(nodes.values()) > 1:
+    rows, whole, done, most = rows.withColumns({"node": F.lit(0), "axes": F.lit("")}), _spreads(rows), [], None
+    while nodes:
+        counted = {r.node: r.n for r in rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
+        most = node_rows(sum(counted.values())) if most is None else most
+        nodes = {n: k for n, k in nodes.items() if n in counted}
+        small = {n: k for n, k in nodes.items() if k == 1 or counted[n] <= most}
+        if one := [n for n, k in small.items() if k == 1]:
+            done.append(rows.join(F.broadcast(rows.sparkSession.createDataFrame([(n,) for n in one], "node int")), "node").select(*rows.columns))
+        if some := {n: k for n, k in small.items() if k > 1}:
+            done.append(_subtrees(rows, some, whole).select(*rows.columns))
+        nodes = {n: k for n, k in nodes.items() if n not in small}
+        if not nodes:
+            break
         cuts = _level(rows, nodes, whole)
         key = _key()
         goes = (key > F.col("cut")) | (F.col("id_cut").isNotNull() & (key == F.col("cut")) & (_id_key() > F.col("id_cut")))
         names = [c for c in rows.columns if c not in ("node", "axes")]
         of_axis = F.element_at(F.array(*[F.lit(a) for a in AXES]), F.col("axis") + 1)
-        down = F.when(F.col("cut").isNotNull(), F.concat_ws(">", F.when(F.col("axes") != "", F.col("axes")), of_axis)).otherwise(F.col("axes")).alias("axes")
-        rows = settle(rows.join(F.broadcast(cuts), "node", "left").select(*names, down, F.when(F.col("cut").isNotNull() & goes, F.col("node") + F.col("half")).otherwise(F.col("node")).alias("node")))
-        nodes = {n: k for n, k in nodes.items() if k == 1} | {m: j for n, k in nodes.items() if k > 1 for m, j in ((n, k // 2), (n + k // 2, k - k // 2))}
-    return rows.withColumnRenamed("node", "shard")
+        down = F.concat_ws(">", F.when(F.col("axes") != "", F.col("axes")), of_axis).alias("axes")
+        rows = settle(rows.join(F.broadcast(cuts), "node").select(*names, down, F.when(goes, F.col("node") + F.col("half")).otherwise(F.col("node")).alias("node")))
+        nodes = {m: j for n, k in nodes.items() for m, j in ((n, k // 2), (n + k // 2, k - k // 2))}
+    found = rows.limit(0) if not done else reduce(DataFrame.unionByName, done)
+    return found.withColumnRenamed("node", "shard")
 
 
 def _slots(rows: DataFrame) -> DataFrame:
