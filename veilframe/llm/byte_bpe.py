@@ -38,9 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from veilframe.llm.shipping import keep, map_batches
 
 #: States of the transducer and memorised words that a worker keeps, for flat memory; results don't depend on them.
-MAX_STATES, MAX_WORDS = 150_000, 150_000
+MAX_STATES, MAX_WORDS = 100_000, 100_000
 #: Pieces encoded at a time, bytes of new ones that go side by side, and bytes from which a piece is read on its own and not kept.
-BLOCK_PIECES, SIDE_BYTES, LONG_PIECE = 1 << 16, 1 << 17, 256
+BLOCK_PIECES, SIDE_BYTES, LONG_PIECE = 1 << 15, 1 << 17, 256
 #: Bytes of a long piece after which what is settled is emitted, a few times the longest entry.
 HELD_BYTES = 4096
 #: Characters from which a text's pieces are not held all together, and ids that a decoder turns into text at a time.
