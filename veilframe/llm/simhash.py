@@ -41,7 +41,7 @@ from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship, sm
 
 SEED = 42
 #: Points of a shard; larger cells are divided by vantage points. A local leaf compares all its points.
-SHARD_POINTS, LEAF, ONE_TREE = 1 << 14, 128, 256
+SHARD_POINTS, LEAF, ONE_TREE = 1 << 14, 128, 4
 #: Vantage points of a cell in a round, and the share of its points that a side may keep for a division to count as one.
 AXES, KEPT = 6, 0.9
 #: Hashes whose bits are unpacked at a time.
