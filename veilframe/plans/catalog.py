@@ -161,7 +161,10 @@ def st_eps_table_avg(spark, d):
 
 
 def st_count_eps_table(spark, d):
-    return _rounded(privacy.count_scale(_grid(spark)), "b")
+    """Scales of the tiles' counts, what they are of the counts on average, and of how many tiles."""
+    counts = aggregates.count_query(_supported(spark, d), THRESHOLD).agg(F.count(F.lit(1)).alias("tiles"), F.avg("query_output").alias("mean"))
+    scales = privacy.count_scale(_grid(spark)).crossJoin(F.broadcast(counts))  # one row
+    return _rounded(scales.select("epsilon", "b", "tiles", (F.col("b") / F.col("mean")).alias("share")), "b", "share")
 
 
 def st_dp_mean(spark, d):
@@ -235,7 +238,10 @@ def med_dp_mean(spark, d):
 
 
 def med_count_eps_table(spark, d):
-    return _rounded(privacy.count_scale(_medical_grid(spark)), "b")
+    """Scales of the categories' counts, what they are of the counts on average, and of how many categories."""
+    counts = med_count_query(spark, d).agg(F.count(F.lit(1)).alias("categories"), F.avg("query_output").alias("mean"))
+    scales = privacy.count_scale(_medical_grid(spark)).crossJoin(F.broadcast(counts))  # one row
+    return _rounded(scales.select("epsilon", "b", "categories", (F.col("b") / F.col("mean")).alias("share")), "b", "share")
 
 
 def med_mean_mae_analytic(spark, d):
@@ -418,7 +424,7 @@ ORACLES = {
     "st_sensitivity": f"WITH {_G} SELECT HAT, round(CAST(sensitivity AS DOUBLE), 6) AS sensitivity FROM {_MEANS.format('f')}",
     "st_eps_table": f"WITH {_G} SELECT HAT, epsilon, round(CAST(sensitivity AS DOUBLE) / epsilon, 6) AS b FROM {_MEANS.format('f')}, {_E}",
     "st_eps_table_avg": f"WITH {_G} SELECT epsilon, round(avg(CAST(sensitivity AS DOUBLE) / epsilon), 6) AS b FROM {_MEANS.format('f')}, {_E} GROUP BY 1",
-    "st_count_eps_table": f"SELECT epsilon, round(1 / epsilon, 6) AS b FROM {_E}",
+    "st_count_eps_table": f"WITH {_G} SELECT epsilon, round(1 / epsilon, 6) AS b, tiles, round(1 / epsilon / mean, 6) AS share FROM {_E}, (SELECT count(*) AS tiles, avg(query_output) AS mean FROM {_COUNTS.format('f')})",
     "st_dp_mean": f"WITH {_G} SELECT HAT, round(query_output, 6) AS query_output, {_post('query_output + ' + _lap('HAT', 'CAST(sensitivity AS DOUBLE) / 2'), 1000)} AS noisy_output FROM {_MEANS.format('f')}",
     "st_dp_count": f"WITH {_G} SELECT HAT, round(query_output, 6) AS query_output, {_post('query_output + ' + _lap('HAT', '0.5'), 1)} AS noisy_output FROM {_COUNTS.format('f')}",
     "med_count_query": f"SELECT c_nationkey, q AS query_output FROM {_POSITIVE}",
@@ -426,7 +432,7 @@ ORACLES = {
     "med_dp_count": f"SELECT c_nationkey, q AS query_output, {_post('q + ' + _lap('CAST(c_nationkey AS VARCHAR)', '0.5'), 1)} AS noisy_output FROM {_POSITIVE}",
     "med_dp_mean": f"""SELECT l_returnflag, round(s / c, 6) AS query_output,
         {_post('(s + ' + _lap('l_returnflag', '8.0', 'sum') + ') / (c + ' + _lap('l_returnflag', '1.0', 'count') + ')', 1000)} AS noisy_output FROM {_DAYS}""",
-    "med_count_eps_table": f"SELECT epsilon, round(1 / epsilon, 6) AS b FROM {_EM}",
+    "med_count_eps_table": f"SELECT epsilon, round(1 / epsilon, 6) AS b, categories, round(1 / epsilon / mean, 6) AS share FROM {_EM}, (SELECT count(*) AS categories, avg(q) AS mean FROM {_POSITIVE})",
     "med_mean_mae_analytic": f"""SELECT epsilon, round(avg((a * a + a * k + k * k) / ((a + k) * c)), 6) AS mae
         FROM (SELECT epsilon, 8 / epsilon AS a, s / c / epsilon AS k, c FROM {_DAYS}, {_EM}) GROUP BY 1""",
     "med_mean_mae_mc": _simulated(1_000_000),
