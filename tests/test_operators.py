@@ -120,6 +120,27 @@ def test_hexagons(spark):
     assert {r.parent.split("x")[0] for r in rows if r.parent} == {"2"}
 
 
+def test_parents_of_centres_on_an_edge(spark):
+    """Their last bits decide, so all steps must round as in the SQL: Java's arcsine gave other parents to the first three."""
+    import duckdb
+
+    from veilframe.plans import catalog
+
+    cells = [(380, 380), (828, -414), (1928, -414), (1171, -12), (1327, -312), (2031, -311), (860, -430), (1912, -430), (0, 432), (7, -432)]
+    names = [f"5x{q}x{r}" for q, r in cells]
+    frame = spark.createDataFrame([(n,) for n in [*names, None]], "cell string")
+    got = {r.cell: r.parent for r in frame.select("cell", T.hex_parent(F.col("cell"), 5).alias("parent")).collect()}
+    sql = catalog.ORACLES["coords_hex"]
+    inner = catalog._hex("(user_id * 37 % 3600) / 10.0::DOUBLE - 180.0::DOUBLE + 0.0123::DOUBLE", "(event_id * 53 % 1790) / 10.0::DOUBLE - 89.5::DOUBLE + 0.0071::DOUBLE", 5, "events", "event_id", "cell")
+    assert inner in sql
+    given = ", ".join(f"({k}, '{n}', {q}::BIGINT, {r}::BIGINT)" for k, (n, (q, r)) in enumerate(zip(names, cells)))
+    want = duckdb.sql(sql.replace(inner, f"SELECT * FROM (VALUES {given}) t(event_id, cell, fq, fr)")).fetchall()
+    assert got == {None: None} | {cell: parent for _, cell, parent, _ in want}
+    angles = [k / 1000 for k in range(-1000, 1001)]
+    rows = spark.createDataFrame([(x,) for x in [*angles, None]], "x double").select("x", T._asin(F.col("x")).alias("a")).collect()
+    assert {r.x: r.a for r in rows} == {None: None} | {x: math.asin(x) for x in angles}
+
+
 def test_cells_of_a_library_in_arrow_batches(spark, monkeypatch):
     import sys
     import types

@@ -131,15 +131,25 @@ def _hex_parts(cell: Column) -> tuple[Column, Column]:
     return F.get(parts, F.lit(1)).cast("long"), F.get(parts, F.lit(2)).cast("long")
 
 
+def _asin(sine: Column) -> Column:
+    """The C library's arcsine, rounded as SQL engines round it, in Arrow batches. Java's is one unit off in a few values of a hundred, which moves a point that lies on an edge."""
+
+    @F.pandas_udf("double")
+    def angles(x: pd.Series) -> pd.Series:
+        return x.map({v: math.asin(v) for v in x.dropna().unique().tolist()})
+
+    return angles(sine)
+
+
 def hex_centre(cell: Column, resolution: int = 7) -> tuple[Column, Column]:
     """Longitude and latitude of a cell's centre; centres beyond a pole stand at it."""
     (q, r), (side, _) = _hex_parts(cell), _hexagons(resolution)
     lon = F.degrees((q + r / 2) * (math.sqrt(3) * side / RADIUS))
-    return lon - 360 * F.floor((lon + 180) / 360), F.degrees(F.asin(F.greatest(F.least(r * (1.5 * side / RADIUS), F.lit(1.0)), F.lit(-1.0))))
+    return lon - 360 * F.floor((lon + 180) / 360), F.degrees(_asin(F.greatest(F.least(r * (1.5 * side / RADIUS), F.lit(1.0)), F.lit(-1.0))))
 
 
 def hex_parent(cell: Column, resolution: int = 7) -> Column:
-    """The cell of the next coarser resolution that holds the cell's centre."""
+    """The cell of the next coarser resolution that holds the cell's centre. Of a centre on an edge, as one cell in 800 has it, the last bit of its coordinates decides."""
     return hex_cell(*hex_centre(cell, resolution), resolution - 1)
 
 
