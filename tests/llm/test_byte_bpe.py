@@ -100,3 +100,28 @@ def test_query_against_the_library(spark, sf_dir):
         assert r.n_tokens == len(tokens)
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(tokens)}I", *tokens)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_what_a_worker_holds_at_a_time(spark, monkeypatch):
+    """A batch of any size is coded in small pieces, so its texts, ids and decoded texts never stand in memory all at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw, held = random.Random(3), {}
+    words = ["".join(draw.choices("abcdefgh ", k=5)) for _ in range(500)]
+    texts = [" ".join(draw.choices(words, k=400)) for _ in range(3000)]
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: held.update(run=run))
+    byte_bpe.transcode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    assert batch.nbytes > 6 << 20
+    for _ in held["run"](iter([batch.slice(0, 50)])):  # the tables
+        pass
+    tracemalloc.start()
+    try:
+        n = sum(out.num_rows for out in held["run"](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == len(texts) and peak < 20 << 20

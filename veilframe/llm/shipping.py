@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampType
 
-#: Rows of a batch given to Python are handled in pieces of about so many bytes of text, so memory stays flat.
-PIECE_BYTES = 8 << 20
+#: Rows of a batch given to Python are handled in pieces of about so many bytes of text, so memory stays flat: a piece is there several times over, as Arrow, as Python objects and as results, on both sides of the pipe.
+PIECE_BYTES = 2 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows, and bytes of all their values, up to which ``bounded`` broadcasts.
 BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
@@ -65,13 +66,21 @@ def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 _kept: dict = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: the C library and Arrow's pool would keep it for the worker's life."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def enter(owner: str) -> None:
     """Free what another operator keeps in this worker: workers outlive stages, and their tables must not add up."""
     if _kept.get("owner") != owner:
         _kept.clear()
         _kept["owner"] = owner
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def keep(owner: str, key, make: Callable):
