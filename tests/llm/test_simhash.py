@@ -171,3 +171,40 @@ def test_short_copies_are_all_found(spark, monkeypatch):
     want = {i for i, root in plain_roots(range(len(rows)), pairs).items() if i == root}
     got = {r.doc_id for r in S.distinct_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_copies_of_a_point_do_not_grow_with_the_table(spark, monkeypatch):
+    """A table of 8 times the points, in 8 times the shards, has as many copies of each: 4, one for each quarter of the bits; and a close pair meets in one of them."""
+    monkeypatch.setattr(S, "SHARD_POINTS", 200)
+    rnd = random.Random(10)
+    points = sorted({signed(rnd.getrandbits(64)) for _ in range(9600)})
+    for some in (points[:1200], points):
+        near = [signed((p ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64)) & (1 << 64) - 1) for p in some[:200]]
+        rows = [(p, p) for p in sorted({*some, *near})]
+        placed = S.shards(spark.createDataFrame(rows, "node long, fp long"), 3).collect()
+        assert len(placed) <= 4.2 * len(rows)
+        where = {}
+        for r in placed:
+            where.setdefault(r.node, set()).add(tuple(r.shard))
+        assert all(where[p] & where[q] for p, q in zip(some, near))
+
+
+def test_a_frequent_passage_makes_few_pairs_of_short_texts(spark):
+    """Texts of one passage and a few own words, 70 to 90 % alike: each similar pair once, and hardly any of those that own words keep apart."""
+    rnd = random.Random(11)
+    passage, texts = own_words(rnd, 60), []
+    for k in range(120):  # most share 51 of 61 shingles with no own one in common
+        own = own_words(rnd, 9 if k % 4 else 3)
+        texts.append(own + passage)
+    for k in range(30):
+        other = list(passage)
+        for at in rnd.sample(range(60), 1):
+            other[at] = f"changed{k}"
+        texts.append(other)
+    sets = [np.unique(S.shingle_hashes(" ".join(t), 5)) for t in texts]
+    like = lambda i, j: (c := len(np.intersect1d(sets[i], sets[j]))) / (len(sets[i]) + len(sets[j]) - c)
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if like(i, j) >= 0.8}
+    prefix, _ = S._prefixes(spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, few binary"), 0.8)
+    got = [(r.a, r.b) for r in S.short_pairs(prefix, 0.8, spark.createDataFrame([], "node long, label long")).collect()]
+    assert want and want <= set(got) and len(got) == len(set(got))
+    assert len(got) <= 1.2 * len(want) < 0.4 * len(sets) ** 2 / 2

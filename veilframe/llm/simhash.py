@@ -10,10 +10,11 @@ Search for all pairs within ``radius`` bits, exactly:
   many of ``AXES`` at a time as their size asks for, each at the median distance of the cell: inner and outer points. By the
   triangle inequality no pair crosses but between points that lie within r of that boundary, so of
   the outer points only these are sent to the inner side as well.
-* That overlap is a quarter of a cell, since whole distances lie close together. Beyond ``ONE_TREE`` shards
-  two trees cost less: a pair at most r bits apart is at most r // 2 apart in the lower or in the upper half of
-  its bits, and tree t divides by distance within half t; every third round takes whole distances,
-  where a half no longer tells points apart.
+* That overlap is a quarter of a cell, since whole distances lie close together, and a quarter again in each cell
+  below: the copies of a point grow with a power of the table. Beyond ``ONE_TREE`` shards r + 1 trees take its place: a pair
+  at most r bits apart agrees in one of r + 1 equal parts of its bits, and tree t divides by distance within
+  part t, so such a pair is on one side of every boundary and nothing overlaps: r + 1 copies of a point in a table of any size. Every
+  third round takes whole distances, where a part no longer tells points apart.
 * A cell that neither divides, a dense ball, is dealt out in pieces, and each pair of pieces is a shard.
 * Within a shard a local tree splits at the median distance from its vantage point, and only
   the points within r of that boundary are compared across it.
@@ -41,7 +42,7 @@ from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship, sm
 
 SEED = 42
 #: Points of a shard; larger cells are divided by vantage points. A local leaf compares all its points.
-SHARD_POINTS, LEAF, ONE_TREE = 1 << 14, 128, 4
+SHARD_POINTS, LEAF, ONE_TREE = 1 << 14, 128, 1
 #: Vantage points of a cell in a round, and the share of its points that a side may keep for a division to count as one.
 AXES, KEPT = 6, 0.9
 #: Hashes whose bits are unpacked at a time.
@@ -210,11 +211,14 @@ def shard_links(key: np.ndarray, side: np.ndarray, points: _Shard) -> tuple[np.n
     return moved, root[moved]
 
 
-def _distance(fp, vantage, whole: bool):
-    """Hamming distance of the tree's half of the bits, or of all."""
-    differ = fp.bitwiseXOR(vantage)
-    half = F.when(F.col("tree") % 2 == 0, differ.bitwiseAND(F.lit((1 << 32) - 1))).otherwise(F.shiftrightunsigned(differ, 32))
-    return F.bit_count(differ if whole else half)
+def _distance(fp, vantage, radius: int, whole: bool):
+    """Hamming distance within the tree's part of the bits, or of all."""
+    differ, width = fp.bitwiseXOR(vantage), 64 // (radius + 1)
+    if whole:
+        return F.bit_count(differ)
+    masks = [((1 << width) - 1) << width * t for t in range(radius + 1)]  # bits that are left over are in no part: pairs agree in one all the same
+    own = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+    return F.bit_count(differ.bitwiseAND(F.get(own, F.col("tree") % (radius + 1))))
 
 
 def _large(rows: DataFrame) -> DataFrame:
@@ -230,8 +234,8 @@ def _crossed(sides, own):
 
 def _divided(rows: DataFrame, large: DataFrame, radius: int, whole: bool, mark) -> tuple[DataFrame, DataFrame]:
     """The rows of the large cells in the cells below: each point on its side of each boundary, those just outside on the inner one too. And the cells that whole distances do not divide, whose rows are left out. ``mark``: for tables of a row per large cell, for broadcast if these are few."""
-    cell, bound = ["tree", "cell"], radius if whole else radius // 2
-    away = [_distance(F.col("fp"), F.col(f"v{k}"), whole) for k in range(AXES)]
+    cell, bound = ["tree", "cell"], radius if whole else 0
+    away = [_distance(F.col("fp"), F.col(f"v{k}"), radius, whole) for k in range(AXES)]
     each = rows.join(large, cell).select(*cell, F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), d.alias("d")) for k, d in enumerate(away)])).alias("at")).select(*cell, "at.*")
     counts = settle(each.groupBy(*cell, "axis", "d").agg(F.count(F.lit(1)).alias("n")))  # 65 distances at most
     axis = Window.partitionBy(*cell, "axis")
@@ -265,11 +269,11 @@ def shards(points: DataFrame, radius: int = 3) -> DataFrame:
     like, and perhaps ``segments``, an array of more, any of which may meet any.
     """
     prints = [c for c in points.columns if c not in ("node", "segments")]
-    halves = points.limit(SHARD_POINTS * ONE_TREE + 1).count() > SHARD_POINTS * ONE_TREE
-    trees = range(2 if halves else 1)
-    at = F.array(*[F.struct(F.lit(2 * k + t).alias("tree"), F.col(c).alias("fp")) for k, c in enumerate(prints) for t in trees])
+    parts = points.limit(SHARD_POINTS * ONE_TREE + 1).count() > SHARD_POINTS * ONE_TREE
+    trees = range(radius + 1 if parts else 1)
+    at = F.array(*[F.struct(F.lit((radius + 1) * k + t).alias("tree"), F.col(c).alias("fp")) for k, c in enumerate(prints) for t in trees])
     if "segments" in points.columns:
-        at = F.concat(at, *[_in_tree("segments", 2 * len(prints) + t) for t in trees])
+        at = F.concat(at, *[_in_tree("segments", (radius + 1) * len(prints) + t) for t in trees])
     rows = points.select("node", F.explode(at).alias("at")).select("node", "at.*", F.lit("").alias("cell"))
     alone = F.lit("").alias("pieces"), F.lit(0).alias("side")
     done, turn = [], 0
@@ -277,7 +281,7 @@ def shards(points: DataFrame, radius: int = 3) -> DataFrame:
         turn += 1
         mark = F.broadcast if small(large) else (lambda df: df)
         done.append(rows.join(mark(large.select("tree", "cell")), ["tree", "cell"], "left_anti").select("*", *alone))
-        below, stuck = _divided(rows, mark(large), radius, not halves or turn % 3 == 0, mark)
+        below, stuck = _divided(rows, mark(large), radius, not parts or turn % 3 == 0, mark)
         balls = large.join(stuck, ["tree", "cell"], "left_semi")
         if not balls.isEmpty():
             done.append(_pieces(rows, balls))
@@ -438,7 +442,7 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
 
 
 def _prefixes(points: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Of ``points`` (``node``, ``few``: packed shingle hashes) ``node``, ``n``, ``h`` and ``many``: what decides about each distinct set, and ``same`` and ``node`` of points of equal sets.
+    """Of ``points`` (``node``, ``few``: packed shingle hashes) ``node``, ``n``, ``h``, ``many`` and ``at``, how many shingles of the set come before: what decides about each distinct set, and ``same`` and ``node`` of points of equal sets.
 
     Sets of n and m shingles of similarity j share one of the first n - ceil(j n) + 1 in any order
     common to all; rare ones come first here, so that a shingle of many texts seldom counts.
@@ -455,7 +459,7 @@ def _prefixes(points: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     many = settle(held.groupBy("h").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
     first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1
     ranked = held.join(bounded(many), "h", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "h"))).alias("all"))
-    prefix = settle(ranked.select("node", "n", F.explode(F.slice("all", 1, first)).alias("x")).select("node", "n", "x.h", "x.many").filter("many > 1"))
+    prefix = settle(ranked.select("node", "n", F.posexplode(F.slice("all", 1, first)).alias("at", "x")).select("node", "n", "x.h", "x.many", "at").filter("many > 1"))
     return prefix, known.filter("node <> same").select("same", "node")
 
 
@@ -463,7 +467,8 @@ def short_pairs(prefix: DataFrame, similarity: float, label: DataFrame | None =
     """``a`` and ``b``: texts that share a shingle of their prefixes and may have the similarity.
 
     Without labels a star for each shingle; with ``label`` (``node``, ``label``) all pairs of unequal
-    labels, from shingles of more than one label.
+    labels that may have it, once each: at the first shingle that both prefixes hold. No more than this one and what comes after it
+    in the shorter rest is common to such a pair, which refuses most of a group that shares one passage and little else, before a row is made.
     """
     size = F.least("na", "nb") + 1e-9 >= similarity * F.greatest("na", "nb")
     if label is None:
@@ -471,12 +476,16 @@ def short_pairs(prefix: DataFrame, similarity: float, label: DataFrame | None =
         return salted_join(prefix.select("node", "n", "h"), star, "h", "node").select(F.col("to.node").alias("a"), F.col("to.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).filter(size & (F.col("a") != F.col("b"))).select("a", "b")
     named = prefix.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = settle(named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h"))
-    named = named.join(bounded(mixed), "h", "left_semi")
+    held = named.join(bounded(mixed), "h", "left_semi").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("at", "h", "many"))).alias("all"))
+    named = held.select("node", "n", "label", F.col("all.h").alias("every"), F.explode("all").alias("x")).select("node", "n", "label", "every", "x.*")
     salt = F.when(F.col("many") > FREQUENT, F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.sequence(F.lit(0), F.when(F.col("many") > FREQUENT, SALTS - 1).otherwise(0))
-    left = named.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "h", salt.alias("salt"))
-    right = named.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "h", F.explode(salts).alias("salt"))
-    return left.join(right, ["h", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & size).select("a", "b")
+    side = lambda x: [F.col(c).alias(f"{to}{x}") for c, to in (("n", "n"), ("label", "l"), ("at", "at_"), ("every", "every_"))]
+    left = named.select(F.col("node").alias("a"), *side("a"), "h", salt.alias("salt"))
+    right = named.select(F.col("node").alias("b"), *side("b"), "h", F.explode(salts).alias("salt"))
+    common = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b")) + 1e-9 >= similarity / (1 + similarity) * (F.col("na") + F.col("nb"))
+    once = F.get(F.array_intersect("every_a", "every_b"), F.lit(0)) == F.col("h")
+    return left.join(right, ["h", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & size & common & once).select("a", "b")
 
 
 def _alike(points: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, most: int) -> DataFrame:
