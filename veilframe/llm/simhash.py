@@ -7,7 +7,7 @@ of the shingles have it. Texts without words, null ones included, have fingerpri
 Search for all pairs within ``radius`` bits, exactly:
 
 * Cells of more than ``SHARD_POINTS`` points are divided in Spark by vantage points of their own, as
-  many of ``AXES`` at a time as their size asks for, each at the median distance of the cell: inner and outer points. By the
+  many at a time as their size asks for, up to a bound, each at the median distance of the cell: inner and outer points. By the
   triangle inequality no pair crosses but between points that lie within r of that boundary, so of
   the outer points only these are sent to the inner side as well.
 * That overlap is a quarter of a cell, since whole distances lie close together, and a quarter again in each cell
@@ -43,7 +43,7 @@ from veilframe.llm.shipping import bounded, enter, map_batches, settle, ship, sm
 SEED = 42
 #: Points of a shard; larger cells are divided by vantage points. A local leaf compares all its points.
 SHARD_POINTS, LEAF, ONE_TREE = 1 << 14, 128, 1
-#: Vantage points of a cell in a round, and the share of its points that a side may keep for a division to count as one.
+#: Vantage points of a cell in a round (twice as many where nothing overlaps), and the share of its points that a side may keep for a division to count as one.
 AXES, KEPT = 6, 0.9
 #: Hashes whose bits are unpacked at a time.
 BLOCK = 1 << 15
@@ -221,10 +221,10 @@ def _distance(fp, vantage, radius: int, whole: bool):
     return F.bit_count(differ.bitwiseAND(F.get(own, F.col("tree") % (radius + 1))))
 
 
-def _large(rows: DataFrame) -> DataFrame:
-    """The cells of more than ``SHARD_POINTS`` points: their size and vantage points, members of the cell, by a hash that differs from that of the cell above."""
+def _large(rows: DataFrame, axes: int) -> DataFrame:
+    """The cells of more than ``SHARD_POINTS`` points: their size and ``axes`` vantage points, members of the cell, by a hash that differs from that of the cell above."""
     return settle(rows.groupBy("tree", "cell").agg(
-        F.count(F.lit(1)).alias("n"), *[F.min_by("fp", F.xxhash64("fp", F.lit(k), "cell")).alias(f"v{k}") for k in range(AXES)]).filter(F.col("n") > SHARD_POINTS))
+        F.count(F.lit(1)).alias("n"), *[F.min_by("fp", F.xxhash64("fp", F.lit(k), "cell")).alias(f"v{k}") for k in range(axes)]).filter(F.col("n") > SHARD_POINTS))
 
 
 def _crossed(sides, own):
@@ -235,22 +235,25 @@ def _crossed(sides, own):
 def _divided(rows: DataFrame, large: DataFrame, radius: int, whole: bool, mark) -> tuple[DataFrame, DataFrame]:
     """The rows of the large cells in the cells below: each point on its side of each boundary, those just outside on the inner one too. And the cells that whole distances do not divide, whose rows are left out. ``mark``: for tables of a row per large cell, for broadcast if these are few."""
     cell, bound = ["tree", "cell"], radius if whole else 0
-    away = [_distance(F.col("fp"), F.col(f"v{k}"), radius, whole) for k in range(AXES)]
-    each = rows.join(large, cell).select(*cell, F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), d.alias("d")) for k, d in enumerate(away)])).alias("at")).select(*cell, "at.*")
+    axes = len(large.columns) - 3
+    away = [_distance(F.col("fp"), F.col(f"v{k}"), radius, whole) for k in range(axes)]
+    asked = F.least(F.lit(axes), F.greatest(F.lit(1), F.ceil(F.log(F.col("n") / SHARD_POINTS) / float(np.log(1.5))))).cast("int")
+    each = rows.join(large, cell).select(*cell, F.explode(F.slice(F.array(*[F.struct(F.lit(k).alias("axis"), d.alias("d")) for k, d in enumerate(away)]), F.lit(1), asked)).alias("at")).select(*cell, "at.*")
     counts = settle(each.groupBy(*cell, "axis", "d").agg(F.count(F.lit(1)).alias("n")))  # 65 distances at most
     axis = Window.partitionBy(*cell, "axis")
     upto = counts.withColumn("upto", F.sum("n").over(axis.orderBy("d"))).withColumn("of", F.sum("n").over(axis))
-    middle = upto.withColumn("middle", F.min(F.when(2 * F.col("upto") >= F.col("of"), F.col("d"))).over(axis))
+    nearest = F.min_by("d", F.struct(F.abs(2 * F.col("upto") - F.col("of")), "d"))  # a part has few distances: where nothing overlaps, the one that leaves the evener sides
+    middle = upto.withColumn("middle", (F.min(F.when(2 * F.col("upto") >= F.col("of"), F.col("d"))) if bound else nearest).over(axis))
     cuts = middle.groupBy(*cell, "axis").agg(
         F.first("middle").alias("middle"), F.first("of").alias("of"), F.sum(F.when(F.col("d") <= F.col("middle") + bound, F.col("n"))).alias("inner"))
     cuts = cuts.withColumn("cut", F.when(F.col("inner") <= KEPT * F.col("of"), F.col("middle")).otherwise(64))  # at 64 bits all are inner: no division
     cuts = cuts.withColumn("cut", F.when(F.col("of") > SHARD_POINTS * F.pow(F.lit(1.5), F.col("axis")), F.col("cut")).otherwise(64))
-    known = settle(large.drop("n").join(cuts.groupBy(*cell).agg(*[F.max(F.when(F.col("axis") == k, F.col("cut"))).alias(f"c{k}") for k in range(AXES)]), cell))
-    uncut = F.least(*[F.col(f"c{k}") for k in range(AXES)]) == 64
+    known = settle(large.drop("n").join(cuts.groupBy(*cell).agg(*[F.coalesce(F.max(F.when(F.col("axis") == k, F.col("cut"))), F.lit(64)).alias(f"c{k}") for k in range(axes)]), cell))
+    uncut = F.least(*[F.col(f"c{k}") for k in range(axes)]) == 64
     stuck = known.filter(uncut if whole else F.lit(False)).select(*cell)
     known = mark(known.filter(~uncut) if whole else known)
-    sides = F.array(F.lit(0))
-    for k, d in enumerate(away):
+    sides = F.array(F.lit(0) if bound else sum((F.when(d > F.col(f"c{k}"), 1 << k).otherwise(0) for k, d in enumerate(away)), F.lit(0)))
+    for k, d in enumerate(away if bound else ()):
         own = F.when(d <= F.col(f"c{k}"), F.array(F.lit(0))).when(d <= F.col(f"c{k}") + bound, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
         sides = _crossed(sides, own)
     below = F.transform(sides, lambda s: F.concat_ws(".", "cell", s.cast("string")))
@@ -276,16 +279,16 @@ def shards(points: DataFrame, radius: int = 3) -> DataFrame:
         at = F.concat(at, *[_in_tree("segments", (radius + 1) * len(prints) + t) for t in trees])
     rows = points.select("node", F.explode(at).alias("at")).select("node", "at.*", F.lit("").alias("cell"))
     alone = F.lit("").alias("pieces"), F.lit(0).alias("side")
-    done, turn = [], 0
-    while not (large := _large(rows)).isEmpty():  # a division leaves KEPT of a cell together at most
-        turn += 1
+    done, turn, whole = [], 1, not parts
+    while not (large := _large(rows, AXES if whole else 2 * AXES)).isEmpty():  # a division leaves KEPT of a cell together at most
         mark = F.broadcast if small(large) else (lambda df: df)
         done.append(rows.join(mark(large.select("tree", "cell")), ["tree", "cell"], "left_anti").select("*", *alone))
-        below, stuck = _divided(rows, mark(large), radius, not parts or turn % 3 == 0, mark)
+        below, stuck = _divided(rows, mark(large), radius, whole, mark)
         balls = large.join(stuck, ["tree", "cell"], "left_semi")
         if not balls.isEmpty():
             done.append(_pieces(rows, balls))
-        rows = below
+        turn += 1
+        rows, whole = below, not parts or turn % 3 == 0
     done.append(rows.select("*", *alone))
     columns = [F.struct("tree", "cell", "pieces").alias("shard"), "side", "fp", "node"]
     out = done[0].select(*columns)
